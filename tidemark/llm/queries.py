@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_of_id, table
+import public_tokenizers
+
+from tidemark.llm.common import crc_of_id, shared_dir, table
+from tidemark.llm.decontam import contaminated
+from tidemark.llm.packing import pack, token_pieces
 from tidemark.llm.quality import score_quality, train_quality
+from tidemark.llm.sharding import shard_by_bytes
 from tidemark.llm.simhash import hex_of, near_groups
+from tidemark.llm.token_files import digests, read_token_files, with_starts, write_token_files
 from tidemark.llm.toxicity import score_toxicity, train_toxicity
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -22,11 +32,39 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(table(spark, sf_dir, "documents"), TOKENIZER)
+    digest = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return pack(digest, ["doc_id", "piece"])
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_token_files(table(spark, sf_dir, "documents"), path, TOKENIZER)
+    return with_starts(digests(read_token_files(spark, path))).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train_toxicity(docs, table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op8_toxicity": op8_toxicity}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_simhash": op2_simhash,
+    "op4_packing": op4_packing,
+    "op6_sharding": op6_sharding,
+    "op7_token_files": op7_token_files,
+    "op8_toxicity": op8_toxicity,
+    "op10_decontamination": op10_decontamination,
+}
 ORACLES: dict[str, str] = {}
