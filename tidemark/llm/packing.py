@@ -4,8 +4,9 @@ Only the histogram of piece lengths, at most ``capacity`` rows, reaches the driv
 lengths are put in groups of equal numbers of pieces and rounded up to their group's
 largest; configurations of these few sizes are optimised as a linear program by column
 generation; whole multiples of its configurations become sequences; actual lengths take the
-rounded places, which leaves the true room; what is left of the large pieces and then all
-small ones go best-fit, longest first, into the fullest sequence with room. All of this works
+rounded places, the last place of a configuration to the length that leaves least room; what
+is left of the large pieces and all small ones go best-fit, longest first, into the fullest
+sequence with room. The best of ``GROUPS`` numbers of groups is kept. All of this works
 on runs of equal sequences, so its work depends on the capacity and not on the number of
 pieces. The plan names, for ranks lo to hi among pieces of a length, the sequences and
 offsets; Spark ranks the pieces within each length, in buckets so that a common length
@@ -14,7 +15,7 @@ is dealt over many tasks, and joins the plan.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from tidemark.llm.tokens import encoded
 
 CAPACITY, END_ID = 1024, 2
 #: Lengths over this share of the capacity are large; numbers of groups tried.
-SMALL, GROUPS = 1 / 8, (24, 48, 96)
+SMALL, GROUPS = 1 / 4, (8, 10, 12, 16, 24, 48)
 #: Buckets in which the pieces of a length are ranked.
 BUCKETS = 256
 
@@ -123,27 +124,37 @@ def plan(histogram: dict[int, int], capacity: int, groups: int) -> tuple[int, li
         rank[length] += n
         left[length] -= n
 
+    def fill(runs: list, choose: Callable[[int], int | None], again: bool = False) -> list:
+        """Give each sequence of ``runs`` one more piece, or while any fits; runs split where a length ends."""
+        done, waiting = [], list(reversed(runs))
+        while waiting:
+            lo, hi, used = waiting.pop()
+            x = choose(capacity - used) if lo < hi else None
+            if x is None:
+                done.append((lo, hi, used))
+                continue
+            n = min(hi - lo, left[x])
+            put(x, n, lo, 1, used)
+            if lo + n < hi:
+                waiting.append((lo + n, hi, used))
+            (waiting if again else done).append((lo, lo + n, used + x))
+        return done
+
+    lengths = sorted(left, reverse=True)
     large = sorted((x for x in left if x > capacity * SMALL), reverse=True)
     if large and groups:
         members = equal_groups(large, left, groups)
         sizes = np.array([g[0] for g in members])
         demand = np.array([sum(left[x] for x in g) for g in members], dtype=float)
         for shape, times in configurations(sizes, demand, capacity):
+            slots = np.repeat(np.arange(len(sizes)), shape)
+            times = min(times, sum(left[x] for x in members[slots[0]]))
             runs = [(opened, opened + times, 0)]  # first, end, used
             opened += times
-            for g in np.repeat(np.arange(len(sizes)), shape):
-                after = []
-                for lo, hi, used in runs:
-                    while lo < hi:
-                        x = next((x for x in members[g] if left[x]), None)
-                        if x is None:
-                            after.append((lo, hi, used))
-                            break
-                        n = min(hi - lo, left[x])
-                        put(x, n, lo, 1, used)
-                        after.append((lo, lo + n, used + x))
-                        lo += n
-                runs = after
+            for g in slots[:-1]:
+                runs = fill(runs, lambda room, g=g: next((x for x in members[g] if left[x]), None))
+            # the last place of a configuration goes to the actual length that leaves least room, and so on
+            runs = fill(runs, lambda room: next((x for x in lengths if x <= room and left[x]), None), again=True)
             for lo, hi, used in runs:
                 room.setdefault(capacity - used, []).append((lo, hi))
     for x in sorted(left, reverse=True):

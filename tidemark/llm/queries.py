@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from tidemark.llm.ann import nearest
 from tidemark.llm.common import crc_of_id, shared_dir, table
 from tidemark.llm.decontam import contaminated
+from tidemark.llm.html import extract
+from tidemark.llm.licenses import scan, scan_sql
 from tidemark.llm.packing import pack, token_pieces
 from tidemark.llm.quality import score_quality, train_quality
 from tidemark.llm.sharding import shard_by_bytes
@@ -32,12 +35,20 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(table(spark, sf_dir, "documents"), TOKENIZER)
     digest = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(digest, ["doc_id", "piece"])
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -54,6 +65,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -61,10 +76,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
+    "op3_html": op3_html,
     "op4_packing": op4_packing,
+    "op5_licenses": op5_licenses,
     "op6_sharding": op6_sharding,
     "op7_token_files": op7_token_files,
     "op8_toxicity": op8_toxicity,
+    "op9_neighbours": op9_neighbours,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_licenses": scan_sql()}
