@@ -27,7 +27,9 @@ from tidemark.llm.common import cut
 
 #: Vectors that the index is fitted on at most, and neighbours of each in their graph.
 SAMPLE, NEIGHBOURS = 4096, 16
-PARTS, PROBES, SHARE, K, SEED = 16, 6, 4096, 10, 5
+PARTS, SHARE, K, SEED = 16, 4096, 10, 5
+#: Share of the neighbours of held-out sample vectors that the probed parts must hold; one vector in so many is held out.
+TARGET, HELD = 0.95, 8
 HIDDEN, EPOCHS, BATCH, RATE = 64, 40, 128, 0.01
 
 
@@ -38,6 +40,7 @@ class Router:
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
+    probes: int
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return np.maximum((x - self.mean) @ self.w1 + self.b1, 0) @ self.w2 + self.b2
@@ -90,11 +93,15 @@ def balanced_parts(x: np.ndarray, near: np.ndarray, parts: int) -> np.ndarray:
 
 
 def fit(x: np.ndarray, parts: int = PARTS, seed: int = SEED) -> Router:
-    """Partition the neighbour graph of ``x`` and learn in which parts a row and its neighbours lie."""
+    """Partition the neighbour graph of ``x`` and learn in which parts a row and its neighbours lie.
+
+    Held-out vectors tell how many parts must be probed for ``TARGET`` of the neighbours.
+    """
+    whole, x = x, x[len(x) // HELD :]
     rng = np.random.default_rng(seed)
     mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
     scale = float(np.sqrt(((x - mean) ** 2).sum(axis=1).mean())) if len(x) else 1.0
-    r = Router(mean, rng.normal(0, 1, (x.shape[1], HIDDEN)) / (scale or 1.0), np.zeros(HIDDEN), rng.normal(0, np.sqrt(2 / HIDDEN), (HIDDEN, parts)), np.zeros(parts))
+    r = Router(mean, rng.normal(0, 1, (x.shape[1], HIDDEN)) / (scale or 1.0), np.zeros(HIDDEN), rng.normal(0, np.sqrt(2 / HIDDEN), (HIDDEN, parts)), np.zeros(parts), parts)
     if len(x) < 2 * parts:
         return r
     near = neighbour_graph(x, NEIGHBOURS)
@@ -123,6 +130,11 @@ def fit(x: np.ndarray, parts: int = PARTS, seed: int = SEED) -> Router:
                 step = RATE * (1 - epoch / EPOCHS) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
                 setattr(r, k, getattr(r, k) - step)
     r.w1 /= scale or 1.0
+    score = r.scores(whole)
+    lies = score.argmax(axis=1)[neighbour_graph(whole, K)[: len(whole) // HELD]]
+    rank = np.argsort(np.argsort(-score[: len(lies)], axis=1, kind="stable"), axis=1)
+    reached = np.bincount(np.take_along_axis(rank, lies, axis=1).ravel(), minlength=parts).cumsum() / max(1, lies.size)
+    r.probes = int(np.searchsorted(reached, TARGET - 1e-12)) + 1
     return r
 
 
@@ -137,12 +149,13 @@ def stacked(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 
 
-def nearest(rows: DataFrame, queries: Column, k: int = K, parts: int = PARTS, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
+def nearest(rows: DataFrame, queries: Column, k: int = K, parts: int = PARTS, probes: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the ``k`` nearest of each row that ``queries`` picks.
 
     ``rows`` has vec_id and embedding. Vectors that aren't ``usable`` or don't have the commonest
     length take no part. Ties go to the smaller vec_id; extra columns are ignored; an empty table gives
-    no rows. Rows of one vec_id are one row.
+    no rows. Rows of one vec_id are one row. ``probes`` is the number of parts each query is routed to,
+    by default what the fitted index needs for ``TARGET``.
     """
     out = "query_id long, rank int, vec_id long, score double"
     spark = rows.sparkSession
@@ -167,7 +180,7 @@ def nearest(rows: DataFrame, queries: Column, k: int = K, parts: int = PARTS, pr
                     yield b.assign(part=top[:, j].astype(np.int32))
 
     placed = cut(first.select("vec_id", "v").mapInPandas(lambda it: route(it, 1), "vec_id long, v array<double>, part int"), "placed")
-    asked = cut(known.where(queries).mapInPandas(lambda it: route(it, probes), "vec_id long, v array<double>, part int"), "asked")
+    asked = cut(known.where(queries).mapInPandas(lambda it: route(it, probes or shared.value.probes), "vec_id long, v array<double>, part int"), "asked")
     # one row a part: how many shares its rows and its queries are dealt to
     shares = placed.groupBy("part").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
     blocks = asked.groupBy("part").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("blocks"))
