@@ -159,3 +159,16 @@ def score_quality(docs: DataFrame, net: ByteConvNet, keep: tuple[str, ...] = ("d
 
     schema = docs.select(*keep).schema.add("score", "double")
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+
+
+def keep_quality(docs: DataFrame, net: ByteConvNet, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with all their columns."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = text_bytes(batch.column(at))
+            p = [probabilities(net, texts[a:b]) for a, b in blocks(texts)]
+            yield batch.filter(pa.array(np.concatenate(p) >= least)) if p else batch
+
+    return docs.mapInArrow(run, docs.schema)

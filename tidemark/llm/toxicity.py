@@ -147,3 +147,16 @@ def score_toxicity(docs: DataFrame, model: NBLinear, keep: tuple[str, ...] = ("d
 
     schema = docs.select(*keep).schema.add("score", "double")
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+
+
+def drop_toxic(docs: DataFrame, model: NBLinear, most: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score less than ``most``, with all their columns."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            p = [probabilities(shared.value, texts[a:b]) for a, b in blocks(texts)]
+            yield batch.filter(pa.array(np.concatenate(p) < most)) if p else batch
+
+    return docs.mapInArrow(run, docs.schema)
