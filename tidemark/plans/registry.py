@@ -1,6 +1,133 @@
-"""All registered queries and the SQL they are checked against."""
+"""All registered queries and the SQL they are checked against.
+
+Each entry names its columns once, for both sides: ``x:d`` is a double rounded to six places,
+``x:p`` a price to two, ``x:i`` a long; others are as they are.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark import config as C
+from tidemark.functions.windows import log_return, rolling, simple_return
+from tidemark.operators import audit, backtest, compare, events, indicators, metrics, pathvol, regimes, resample, signals
+from tidemark.plans import sql as S
+from tidemark.sources.bars import derived_bars, derived_rates, hourly_bars
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+SHOCK, GAP, DRAWS = 0.005, 3, 50
+
+
+def shaped(df: DataFrame, columns: str) -> DataFrame:
+    out = []
+    for c in columns.split():
+        name, _, kind = c.partition(":")
+        x = F.col(name)
+        out.append({"d": F.round(x, 6) + 0.0, "p": F.round(x, 2) + 0.0, "i": x.cast("long"), "": x}[kind].alias(name))
+    return df.select(*out)
+
+
+def shaped_sql(inner: str, columns: str) -> str:
+    out = []
+    for c in columns.split():
+        name, _, kind = c.partition(":")
+        out.append({"d": f"ROUND(CAST({name} AS DOUBLE), 6) + 0.0", "p": f"ROUND({name}, 2) + 0.0", "i": f"CAST({name} AS BIGINT)", "": name}[kind] + f" AS {name}")
+    return f"SELECT {', '.join(out)} FROM ({inner}) _q"
+
+
+def register(name: str, columns: str, query: Query, select: str, *needs: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: shaped(query(spark, sf_dir), columns)
+    ORACLES[name] = shaped_sql(S.query(select, *needs), columns)
+
+
+def on_bars(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: f(derived_bars(spark, d))
+
+
+def on_frames(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: f(*events.frames(indicators.add_indicators(derived_bars(spark, d))))
+
+
+# --- audit and windows
+register("audit_coverage", "ticker first last n:i rows_per_year:d", on_bars(audit.coverage),
+         "SELECT ticker, min(date) AS first, max(date) AS last, count(*) AS n, round(count(*) / (CAST(max(date) - min(date) AS DOUBLE) / 365.25), 1) AS rows_per_year FROM bars GROUP BY 1", "bars")
+register("audit_nulls", "name n_null:i n_nonpositive:i", on_bars(audit.missing),
+         " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) - count({c}) AS n_null, coalesce(sum(CASE WHEN {c} <= 0 THEN 1 ELSE 0 END), 0) AS n_nonpositive FROM bars" for c in audit.COLUMNS), "bars")
+register("audit_duplicates", "n_duplicate:i", on_bars(audit.duplicates), "SELECT count(*) - count(DISTINCT (ticker, date)) AS n_duplicate FROM bars", "bars")
+register("audit_ohlc", "ticker n_violation:i adjustment:d", on_bars(audit.ohlc_summary),
+         "SELECT ticker, sum(CASE WHEN high < low OR high < open OR high < close OR low > open OR low > close THEN 1 ELSE 0 END) AS n_violation, round(avg(abs(close - adj_close) / close), 6) AS adjustment FROM bars GROUP BY 1", "bars")
+register("audit_gaps", "ticker after date days:i", on_bars(lambda b: audit.gaps(b, GAP)),
+         f"SELECT * FROM (SELECT ticker, lag(date) OVER ({S.ORDER}) AS after, date, date - lag(date) OVER ({S.ORDER}) AS days FROM bars) WHERE days >= {GAP}", "bars")
+register("shock_days", "ticker date daily_return:d", on_bars(lambda b: signals.shocks(b, SHOCK)),
+         f"SELECT * FROM (SELECT ticker, date, close / lag(close) OVER ({S.ORDER}) - 1 AS daily_return FROM bars) WHERE abs(daily_return) >= {SHOCK}", "bars")
+register("shock_pivot", "year:i down:i up:i", on_bars(lambda b: audit.shock_pivot(signals.shocks(b, SHOCK))),
+         f"SELECT year(date) AS year, count(*) FILTER (WHERE r < 0) AS down, count(*) FILTER (WHERE r >= 0) AS up FROM (SELECT date, close / lag(close) OVER ({S.ORDER}) - 1 AS r FROM bars) WHERE abs(r) >= {SHOCK} GROUP BY 1", "bars")
+register("calendar_differences", "date side", lambda s, d: audit.calendar_differences(derived_bars(s, d), derived_rates(s, d)),
+         "SELECT DISTINCT date, 'price_only' AS side FROM bars WHERE date NOT IN (SELECT date FROM rates) UNION ALL SELECT DISTINCT date, 'rate_only' FROM rates WHERE date NOT IN (SELECT date FROM bars)", "bars", "rates")
+register("log_return", "ticker date log_ret:d ret:d", on_bars(lambda b: b.withColumns({"log_ret": log_return(F.col("close")), "ret": simple_return(F.col("close"))})),
+         f"SELECT ticker, date, lr AS log_ret, close / lag(close) OVER ({S.ORDER}) - 1 AS ret FROM nb", "nb")
+register("rolling_abs_return", "ticker date value:d", on_bars(lambda b: b.withColumn("a", F.abs(log_return(F.col("close")))).withColumn("value", rolling(F.avg, F.col("a"), 20))),
+         f"SELECT ticker, date, {S.full('avg', 'a', -19, 0)} AS value FROM (SELECT ticker, date, abs(lr) AS a FROM nb)", "nb")
+register("true_range", "ticker date true_range:p tr_source", on_bars(indicators.true_range),
+         "SELECT ticker, date, tr AS true_range, CASE WHEN tr IS NULL THEN NULL WHEN tr = hl THEN 'tr_hl' WHEN tr = hc THEN 'tr_hc' ELSE 'tr_lc' END AS tr_source FROM tr", "tr")
+register("bollinger", "ticker date gap:d bb_percent_b:d bb_width:d", on_bars(lambda b: indicators.bollinger(b).withColumn("gap", F.col("bb_middle") / F.col("close"))),
+         "SELECT ticker, date, mid / close AS gap, CASE WHEN up - dn = 0 THEN 0.5 ELSE (close - dn) / NULLIF(up - dn, 0) END AS bb_percent_b, (up - dn) / mid * 100 AS bb_width FROM bb", "bb")
+register("regime_stats", "ticker regime n:i cum_return:d ann_log_return:d cagr:d volatility:d skew:d kurtosis:d skew_se:d kurtosis_se:d max_drawdown:d first last", on_bars(regimes.return_statistics),
+         f"SELECT ticker, regime, count(*) AS n, exp(sum(lr)) - 1 AS cum_return, avg(lr) * 252 AS ann_log_return, pow(exp(sum(lr)), 252.0 / count(*)) - 1 AS cagr, stddev_samp(lr) * sqrt(252) AS volatility, skewness(lr) AS skew, kurtosis(lr) AS kurtosis, sqrt(6.0 / count(*)) AS skew_se, sqrt(24.0 / count(*)) AS kurtosis_se, min(dd) AS max_drawdown, min(date) AS first, max(date) AS last FROM (SELECT *, close / max(close) OVER (PARTITION BY ticker, regime ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS dd FROM (SELECT *, {S.REGIME} AS regime FROM nb) WHERE lr IS NOT NULL AND regime IS NOT NULL) GROUP BY 1, 2", "nb")
+WIDTH = f"SELECT ticker, {S.REGIME} AS regime, (up - dn) / mid * 100 AS x FROM bb WHERE mid IS NOT NULL"
+DIST = f"SELECT ticker, regime, count(x) AS n, avg(x) AS mean, stddev_samp(x) AS std, stddev_samp(x) / abs(avg(x)) AS cv, quantile_cont(x, 0.05) AS q05, quantile_cont(x, 0.25) AS q25, quantile_cont(x, 0.5) AS q50, quantile_cont(x, 0.75) AS q75, quantile_cont(x, 0.95) AS q95, min(x) AS low, max(x) AS high FROM ({WIDTH}) WHERE regime IS NOT NULL GROUP BY 1, 2"
+register("regime_distribution", "ticker regime n:i mean:d std:d cv:d q05:d q25:d q50:d q75:d q95:d low:d high:d", on_bars(lambda b: regimes.distribution(indicators.bollinger(b), "bb_width")), DIST, "bb")
+register("regime_spread", "ticker max_mean:d min_mean:d max_regime min_regime ratio:d", on_bars(lambda b: regimes.spread(regimes.distribution(indicators.bollinger(b), "bb_width"))),
+         f"SELECT ticker, max(mean) AS max_mean, min(mean) AS min_mean, max_by(regime, mean) AS max_regime, min_by(regime, mean) AS min_regime, max(mean) / min(mean) AS ratio FROM ({DIST}) GROUP BY 1", "bb")
+register("hourly_bars", "ticker ts open:d high:d low:d close:d volume:i", hourly_bars,
+         "SELECT event_type AS ticker, date_trunc('hour', ts) AS ts, min_by(value, ts) AS open, max(value) AS high, min(value) AS low, max_by(value, ts) AS close, count(*) AS volume FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
+
+# --- recursive indicators
+register("rsi_simple", "ticker date rsi_simple_14:d", on_bars(indicators.rsi_simple),
+         f"SELECT ticker, date, {S.rsi('ag', 'al')} AS rsi_simple_14 FROM (SELECT ticker, date, {S.full('avg', 'g', -13, 0)} AS ag, {S.full('avg', 'l', -13, 0)} AS al FROM gl)", "gl")
+register("rsi_wilder", "ticker date rsi_wilder_14:d", on_bars(indicators.rsi_wilder), "SELECT ticker, date, rsi AS rsi_wilder_14 FROM ind", "ind")
+register("rsi_wilder_first", "ticker date rsi_wilder_14_first:d", on_bars(lambda b: indicators.rsi_wilder(b, seed="first")),
+         f"SELECT nb.ticker, nb.date, {S.rsi('fg.y', 'fl.y')} AS rsi_wilder_14_first FROM nb LEFT JOIN fg ON fg.ticker = nb.ticker AND fg.rn = nb.rn LEFT JOIN fl ON fl.ticker = nb.ticker AND fl.rn = nb.rn", "nb", "fg", "fl")
+register("macd", "ticker date line:d signal:d hist:d", on_bars(lambda b: indicators.macd(b).selectExpr("ticker", "date", "macd_line / close * 100 AS line", "macd_signal / close * 100 AS signal", "macd_hist / close * 100 AS hist")),
+         "SELECT ticker, date, line / close * 100 AS line, sig / close * 100 AS signal, (line - sig) / close * 100 AS hist FROM ind", "ind")
+register("atr", "ticker date atr_pct:d", on_bars(lambda b: indicators.atr(b).withColumn("atr_pct", F.col("atr_14") / F.col("close") * 100)),
+         "SELECT tr.ticker, tr.date, atr.y / tr.close * 100 AS atr_pct FROM tr LEFT JOIN atr ON atr.ticker = tr.ticker AND atr.rn = tr.rn", "tr", "atr")
+
+# --- signals and events
+register("signals_long", "ticker date signal_id condition signal", on_bars(lambda b: signals.make_signals(indicators.add_indicators(b))), "SELECT ticker, date, signal_id, condition, signal FROM sigs", "sigs")
+register("s3_bollinger_events", "ticker date", on_bars(lambda b: signals.make_signals(indicators.bollinger(b), [x for x in signals.SIGNALS if x[0] == "S3"]).where("signal")),
+         f"SELECT ticker, date FROM (SELECT *, coalesce(close < dn, false) AND NOT coalesce(lag(coalesce(close < dn, false)) OVER ({S.ORDER}), false) AS e FROM bb) WHERE e", "bb")
+register("forward_returns", "ticker date fwd_ret_1:d fwd_ret_5:d fwd_ret_10:d fwd_ret_20:d", on_bars(signals.forward_returns), "SELECT ticker, date, f1 AS fwd_ret_1, f5 AS fwd_ret_5, f10 AS fwd_ret_10, f20 AS fwd_ret_20 FROM fwd", "fwd")
+register("signal_counts", "signal_id days:i level_days:i events:i level_pct:d mean_duration:d", on_frames(lambda r, _: events.signal_counts(r)),
+         "SELECT signal_id, count(*) AS days, count(*) FILTER (WHERE condition) AS level_days, count(*) FILTER (WHERE signal) AS events, count(*) FILTER (WHERE condition) * 100.0 / count(*) AS level_pct, CAST(count(*) FILTER (WHERE condition) AS DOUBLE) / NULLIF(count(*) FILTER (WHERE signal), 0) AS mean_duration FROM ev GROUP BY 1", "ev")
+register("run_lengths", "signal_id n:i mean:d median:d p90:d longest:i", on_frames(lambda r, _: events.run_lengths(r)),
+         "SELECT signal_id, count(*) AS n, avg(c) AS mean, median(c) AS median, quantile_cont(c, 0.9) AS p90, max(c) AS longest FROM (SELECT signal_id, run, count(*) AS c FROM (SELECT *, sum(CAST(signal AS INT)) OVER (PARTITION BY signal_id ORDER BY date) AS run FROM ev) WHERE condition GROUP BY 1, 2) GROUP BY 1", "ev")
+register("regime_crosstab", "signal_id " + " ".join(f"{r.key}:i" for r in C.REGIMES), on_frames(lambda r, _: events.contingency(r)),
+         "SELECT signal_id, " + ", ".join(f"count(*) FILTER (WHERE regime = '{r.key}') AS {r.key}" for r in C.REGIMES) + " FROM ev WHERE signal GROUP BY 1", "ev")
+register("horizon_baseline", "h:i n_all:i mean_all:d sd_all:d", on_frames(lambda _, c: events.baseline(c)), "SELECT h, count(ret) AS n_all, avg(ret) AS mean_all, stddev_samp(ret) AS sd_all FROM calh GROUP BY 1", "calh")
+register("event_study", "signal_id h:i n:i mean:d median:d sd:d win_pct:d n_all:i mean_all:d sd_all:d difference:d", on_frames(events.event_study), "SELECT * FROM study", "study")
+register("overlap", "signal_id events:i median_gap:d min_gap:i mean_gap:d severe", on_frames(lambda r, _: events.overlap(r)),
+         "SELECT signal_id, count(*) AS events, median(gap) AS median_gap, min(gap) AS min_gap, avg(gap) AS mean_gap, concat_ws(';', CASE WHEN median(gap) < 1 THEN '1' END, CASE WHEN median(gap) < 5 THEN '5' END, CASE WHEN median(gap) < 10 THEN '10' END, CASE WHEN median(gap) < 20 THEN '20' END) AS severe FROM (SELECT signal_id, rn - lag(rn) OVER (PARTITION BY signal_id ORDER BY date) AS gap FROM ev WHERE signal) GROUP BY 1", "ev")
+register("variance_diag", "signal_id h:i n:i sd_ratio:d t_naive:d t_adj:d variance_class", on_frames(lambda r, c: events.variance_diagnostic(events.event_study(r, c))),
+         "SELECT signal_id, h, n, sd / sd_all AS sd_ratio, difference / (sd_all / sqrt(n)) AS t_naive, difference / (sd / sqrt(n)) AS t_adj, CASE WHEN sd IS NULL THEN NULL WHEN sd / sd_all > 1.5 THEN 'high' WHEN sd / sd_all >= 1.2 THEN 'raised' ELSE 'normal' END AS variance_class FROM study", "study")
+register("regime_diag", "signal_id regime days:i events:i rate:d rate_ratio:d share_signal:d share_days:d mean_signal:d mean_all:d", on_frames(lambda r, _: events.regime_diagnostic(r)),
+         "SELECT signal_id, regime, days, events, CAST(events AS DOUBLE) / days AS rate, (CAST(events AS DOUBLE) / days) / NULLIF(CAST(sum(events) OVER w AS DOUBLE) / sum(days) OVER w, 0) AS rate_ratio, CAST(events AS DOUBLE) / NULLIF(sum(events) OVER w, 0) AS share_signal, CAST(days AS DOUBLE) / sum(days) OVER w AS share_days, mean_signal, mean_all FROM (SELECT signal_id, regime, count(*) AS days, count(*) FILTER (WHERE signal) AS events, avg(f20) FILTER (WHERE signal) AS mean_signal, avg(f20) AS mean_all FROM ev GROUP BY 1, 2) WINDOW w AS (PARTITION BY signal_id)", "ev")
+register("event_path", "signal_id tau:i n:i mean_change:d", on_frames(events.event_path),
+         "SELECT signal_id, tau, count(*) AS n, avg(c.close / e.close) - 1 AS mean_change FROM (SELECT *, unnest(range(-5, 6)) AS tau FROM ev WHERE signal) e JOIN cal c ON c.rn = e.rn + e.tau GROUP BY 1, 2", "ev", "cal")
+register("drop_days", "signal_id n:i mean_full:d n_kept:i mean_kept:d", on_frames(lambda r, _: events.without_worst(r)),
+         "SELECT signal_id, count(*) AS n, avg(f20) AS mean_full, count(*) FILTER (WHERE nth > 3) AS n_kept, avg(f20) FILTER (WHERE nth > 3) AS mean_kept FROM (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY f20, date) AS nth FROM ev WHERE signal AND f20 IS NOT NULL) GROUP BY 1", "ev")
+register("concentration", "signal_id n:i share_of_losses:d share_of_deviation:d", on_frames(events.concentration),
+         "SELECT signal_id, count(*) AS n, sum(f20) FILTER (WHERE nth <= 5) / NULLIF(sum(f20) FILTER (WHERE f20 < 0), 0) AS share_of_losses, sum(f20 - mu) FILTER (WHERE nth <= 5) / NULLIF(sum(f20 - mu), 0) AS share_of_deviation FROM (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY f20, date) AS nth, (SELECT avg(f20) FROM cal) AS mu FROM ev WHERE signal AND f20 IS NOT NULL) GROUP BY 1", "ev", "cal")
+LAGS = " + ".join(f"{(2.0 * (20 - j) / 20) ** 2!r} * sum(d2 * l{j})" for j in range(1, 20))
+register("variance_ratio", "ticker n:i vr:d se_iid:d theta:d effective_n:d se_robust:d z_iid:d z_robust:d", on_frames(lambda _, c: events.variance_ratio(c)),
+         f"SELECT *, (vr - 1) / se_iid AS z_iid, sqrt(theta / n) AS se_robust, (vr - 1) / sqrt(theta / n) AS z_robust FROM (SELECT ticker, count(r) AS n, var_samp(rh) / (20 * var_samp(r)) AS vr, sqrt(2.0 * 39 * 19 / (60.0 * count(r))) AS se_iid, ({LAGS}) * count(r) / (sum(d2) * sum(d2)) AS theta, count(r) / 20.0 AS effective_n FROM (SELECT *, "
+         + ", ".join(f"lag(d2, {j}) OVER ({S.ORDER}) AS l{j}" for j in range(1, 20)) + f" FROM (SELECT *, pow(r - avg(r) OVER (PARTITION BY ticker), 2) AS d2 FROM (SELECT ticker, date, ln(close) - ln(lag(close) OVER ({S.ORDER})) AS r, ln(close) - ln(lag(close, 20) OVER ({S.ORDER})) AS rh FROM cal))) GROUP BY 1)", "cal")
+register("firing_rate", "ticker regime judged:i fired:i rate:d", on_bars(lambda b: regimes.firing_rate(indicators.rsi_wilder(b).withColumn("flag", signals.judge(F.col("rsi_wilder_14"), 30.0)), "flag")),
+         f"SELECT ticker, regime, count(rsi) AS judged, count(*) FILTER (WHERE rsi < 30) AS fired, count(*) FILTER (WHERE rsi < 30) * 100.0 / NULLIF(count(rsi), 0) AS rate FROM (SELECT *, {S.REGIME} AS regime FROM ind) WHERE regime IS NOT NULL GROUP BY 1, 2", "ind")
+register("correlation", "ticker width_return:d rsi_return:d", on_bars(lambda b: indicators.add_indicators(b).withColumn("a", F.abs(log_return(F.col("close")))).withColumn("m", rolling(F.avg, F.col("a"), 20)).groupBy("ticker").agg(F.corr("bb_width", "m").alias("width_return"), F.corr("rsi_wilder_14", "m").alias("rsi_return"))),
+         f"SELECT ticker, corr((up - dn) / mid * 100, m) AS width_return, corr(rsi, m) AS rsi_return FROM (SELECT *, {S.full('avg', 'a', -19, 0)} AS m FROM (SELECT *, abs(lr) AS a FROM ind)) GROUP BY 1", "ind")
