@@ -54,6 +54,6 @@ def disagreement(df: DataFrame, a: str, b: str, around: int = 3) -> DataFrame:
     d = df.where(x.isNotNull() & y.isNotNull()).withColumns({"_na": F.max(x.cast("int")).over(w) == 1, "_nb": F.max(y.cast("int")).over(w) == 1})
     only_a, only_b = x & ~y, y & ~x
     return d.groupBy("ticker").agg(
-        F.count_if(x & y).alias("both"), F.count_if(only_a).alias("only_a"), F.count_if(only_b).alias("only_b"), F.count_if(~x & ~y).alias("neither"),
+        F.count_if(x & y).alias("n_both"), F.count_if(only_a).alias("only_a"), F.count_if(only_b).alias("only_b"), F.count_if(~x & ~y).alias("neither"),
         F.count_if((only_a & F.col("_nb")) | (only_b & F.col("_na"))).alias("timing"), F.count_if((only_a & ~F.col("_nb")) | (only_b & ~F.col("_na"))).alias("real"),
     )

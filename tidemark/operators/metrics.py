@@ -10,6 +10,8 @@ from tidemark.functions.windows import drawdown
 from tidemark.operators.backtest import by_run
 from tidemark.operators.regimes import near_boundary, regime_of
 
+#: Excess within float noise of zero, as on days in cash, is zero.
+NOISE = 1e-12
 KEYS = ["signal_id", "ticker", "holding_days"]
 
 
@@ -24,12 +26,12 @@ def curve_metrics(curves: DataFrame) -> DataFrame:
     x, days = F.col("x"), F.lit(float(C.TRADING_DAYS))
     a = c.groupBy(*KEYS).agg(
         F.count("*").alias("n"), F.min_by("equity", "date").alias("e0"), F.max_by("equity", "date").alias("e1"), F.stddev_samp("r").alias("sd"), F.avg(x).alias("mx"), F.stddev_samp(x).alias("sx"),
-        F.stddev_samp(F.when(x < 0, x)).alias("sn"), F.min("dd").alias("mdd"),
+        F.stddev_samp(F.when(x < -NOISE, x)).alias("sn"), F.min("dd").alias("mdd"),
     )
     growth = F.col("e1") / F.col("e0")
     a = a.withColumns({"total_return": (growth - 1) * 100, "cagr": F.when(growth > 0, (F.pow(growth, days / F.col("n")) - 1) * 100), "volatility": F.col("sd") * F.sqrt(days) * 100, "max_drawdown": F.col("mdd") * 100})
     return a.select(
-        *KEYS, "n", "total_return", "cagr", "volatility", F.when(F.col("sx") > 1e-12, F.col("mx") / F.col("sx") * F.sqrt(days)).alias("sharpe"), F.when(F.col("sn") > 1e-12, F.col("mx") / F.col("sn") * F.sqrt(days)).alias("sortino"),
+        *KEYS, "n", "total_return", "cagr", "volatility", F.when(F.col("sx") > NOISE, F.col("mx") / F.col("sx") * F.sqrt(days)).alias("sharpe"), F.when(F.col("sn") > NOISE, F.col("mx") / F.col("sn") * F.sqrt(days)).alias("sortino"),
         "max_drawdown", F.when(F.col("mdd") < 0, F.col("cagr") / F.abs("max_drawdown")).alias("calmar"),
     )
 

@@ -131,3 +131,172 @@ register("firing_rate", "ticker regime judged:i fired:i rate:d", on_bars(lambda
          f"SELECT ticker, regime, count(rsi) AS judged, count(*) FILTER (WHERE rsi < 30) AS fired, count(*) FILTER (WHERE rsi < 30) * 100.0 / NULLIF(count(rsi), 0) AS rate FROM (SELECT *, {S.REGIME} AS regime FROM ind) WHERE regime IS NOT NULL GROUP BY 1, 2", "ind")
 register("correlation", "ticker width_return:d rsi_return:d", on_bars(lambda b: indicators.add_indicators(b).withColumn("a", F.abs(log_return(F.col("close")))).withColumn("m", rolling(F.avg, F.col("a"), 20)).groupBy("ticker").agg(F.corr("bb_width", "m").alias("width_return"), F.corr("rsi_wilder_14", "m").alias("rsi_return"))),
          f"SELECT ticker, corr((up - dn) / mid * 100, m) AS width_return, corr(rsi, m) AS rsi_return FROM (SELECT *, {S.full('avg', 'a', -19, 0)} AS m FROM (SELECT *, abs(lr) AS a FROM ind)) GROUP BY 1", "ind")
+
+# --- resampling, by hash order
+def md5_order(key: str) -> str:
+    return f"md5(concat_ws('|', '{C.SEED}', CAST(i AS VARCHAR), CAST({key} AS VARCHAR)))"
+
+
+def event_returns(h: int) -> Callable[[DataFrame], DataFrame]:
+    return lambda rows: rows.where("signal").select("signal_id", F.col(f"fwd_ret_{h}").alias("ret"))
+
+
+def day_returns(h: int) -> Callable[[DataFrame], DataFrame]:
+    return lambda calendar: calendar.select("date", F.col(f"fwd_ret_{h}").alias("ret"))
+
+
+def mean_test_sql(h: int, stud: bool) -> str:
+    stat = "CASE WHEN s > 0 THEN abs((m - mu) / (s / sqrt(n))) END" if stud else "abs(m - mu)"
+    seen = "abs((mean - mu) / (sd / sqrt(n)))" if stud else "abs(mean - mu)"
+    p = "(1.0 + extreme) / (1.0 + draws)"
+    return f"""SELECT *, {p} AS p, {p} < {C.ALPHA / C.TESTS} AS passes, sqrt({p} * (1 - {p}) / {DRAWS}) AS mc_se, greatest({p} - 1.96 * sqrt({p} * (1 - {p}) / {DRAWS}), 0) AS ci_low, {p} + 1.96 * sqrt({p} * (1 - {p}) / {DRAWS}) AS ci_high FROM (
+        SELECT signal_id, n, max(seen) AS statistic, count(*) FILTER (WHERE st >= seen) AS extreme, count(st) AS draws FROM (
+            SELECT *, {stat} AS st, {seen} AS seen FROM (
+                SELECT signal_id, i, n, mean, sd, mu, avg(ret) AS m, stddev_samp(ret) AS s FROM (
+                    SELECT e.*, c.date, c.ret, i, (SELECT avg(f{h}) FROM cal) AS mu, row_number() OVER (PARTITION BY e.signal_id, i ORDER BY {md5_order("c.date")}, c.date) AS nth
+                    FROM (SELECT signal_id, count(ret) AS n, avg(ret) AS mean, stddev_samp(ret) AS sd FROM evh WHERE h = {h} AND ret IS NOT NULL GROUP BY 1) e, (SELECT date, f{h} AS ret FROM cal WHERE f{h} IS NOT NULL) c, (SELECT unnest(range(1, {DRAWS + 1})) AS i) d)
+                WHERE nth <= n GROUP BY ALL))
+        GROUP BY 1, 2)"""
+
+
+PERM = "signal_id n:i statistic:d extreme:i draws:i p:d passes mc_se:d ci_low:d ci_high:d"
+register("perm_mean_hash", PERM, on_frames(lambda r, c: resample.mean_test(event_returns(20)(r), day_returns(20)(c), DRAWS)), mean_test_sql(20, False), "evh", "cal")
+register("perm_student_hash", PERM, on_frames(lambda r, c: resample.mean_test(event_returns(5)(r), day_returns(5)(c), DRAWS, studentized=True)), mean_test_sql(5, True), "evh", "cal")
+
+
+# --- volatility strata
+def vol_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = derived_bars(spark, sf_dir)
+    s3 = signals.make_signals(indicators.bollinger(bars), [x for x in signals.SIGNALS if x[0] == "S3"])
+    return pathvol.volatility_frame(bars, s3, "S3")
+
+
+def on_vol(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: f(vol_frame(spark, d))
+
+
+def one_ticker(df: DataFrame) -> DataFrame:
+    return df.where(F.col("ticker") == C.SIGNAL_TICKER)
+
+
+def with_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fwd = signals.forward_returns(derived_bars(spark, sf_dir)).select("date", "ticker", F.col("fwd_ret_20").alias("ret"))
+    return one_ticker(vol_frame(spark, sf_dir).join(fwd, ["date", "ticker"], "left").where(F.col("date") >= F.lit(C.START)))
+
+
+ONE = f"ticker = '{C.SIGNAL_TICKER}'"
+STRAT = f"SELECT b.date, stratum, is_signal, f20 AS ret FROM bins b JOIN fwd f ON f.ticker = b.ticker AND f.date = b.date WHERE b.{ONE} AND b.date >= DATE '{C.START}'"
+SUMS = "count(*) FILTER (WHERE {f}) AS n_sig, count(*) FILTER (WHERE NOT {f}) AS n_ctl, avg(y) FILTER (WHERE {f}) AS m_sig, avg(y) FILTER (WHERE NOT {f}) AS m_ctl, var_samp(y) FILTER (WHERE {f}) AS v_sig, var_samp(y) FILTER (WHERE NOT {f}) AS v_ctl"
+register("pre_vol", "ticker date pre_vol:d", on_vol(lambda v: v), "SELECT ticker, date, pre AS pre_vol FROM vol", "vol")
+register("post_vol", "ticker date post_vol:d post_vol_1:d", on_vol(lambda v: v), "SELECT ticker, date, post AS post_vol, post1 AS post_vol_1 FROM vol", "vol")
+register("quantile_bin", "ticker date stratum:i is_signal", on_vol(lambda v: v), "SELECT ticker, date, stratum, is_signal FROM bins", "bins")
+RATIO = f"SELECT bin, coalesce(n_signal, 0) AS n_signal, coalesce(n_other, 0) AS n_other, post_signal, post_other, post_signal / post_other AS ratio, (pre_signal / pre_other - 1) * 100 AS pre_gap_pct FROM (SELECT unnest(range(0, 6)) AS bin) e LEFT JOIN (SELECT bin AS b, count(*) FILTER (WHERE is_signal) AS n_signal, count(*) FILTER (WHERE NOT is_signal) AS n_other, avg(post) FILTER (WHERE is_signal) AS post_signal, avg(post) FILTER (WHERE NOT is_signal) AS post_other, avg(pre) FILTER (WHERE is_signal) AS pre_signal, avg(pre) FILTER (WHERE NOT is_signal) AS pre_other FROM (SELECT *, unnest([0, stratum]) AS bin FROM bins WHERE post IS NOT NULL AND pre IS NOT NULL AND stratum IS NOT NULL AND date >= DATE '{C.START}') GROUP BY 1) c ON e.bin = c.b"
+register("path_ratio", "bin:i n_signal:i n_other:i post_signal:d post_other:d ratio:d pre_gap_pct:d", on_vol(pathvol.path_ratio), RATIO, "bins")
+register("weighted_ratio", "r0:d weighted:d n_used:i excluded verdict", on_vol(lambda v: pathvol.weighted_ratio(pathvol.path_ratio(v))),
+         f"SELECT r0, weighted, n_used, excluded, CASE WHEN r0 IS NULL OR r0 < 1.15 OR weighted IS NULL THEN 'not_performed' WHEN weighted <= 1 + 0.22 * (r0 - 1) THEN 'none' WHEN weighted > 1 + 0.44 * (r0 - 1) THEN 'exists' ELSE 'unclear' END AS verdict FROM (SELECT max(ratio) FILTER (WHERE bin = 0) AS r0, sum(n_signal * ratio) FILTER (WHERE bin > 0 AND n_signal >= 5 AND ratio IS NOT NULL) / NULLIF(sum(n_signal) FILTER (WHERE bin > 0 AND n_signal >= 5 AND ratio IS NOT NULL), 0) AS weighted, coalesce(sum(n_signal) FILTER (WHERE bin > 0 AND n_signal >= 5 AND ratio IS NOT NULL), 0) AS n_used, coalesce(string_agg(CAST(bin AS VARCHAR), ';' ORDER BY bin) FILTER (WHERE bin > 0 AND (n_signal < 5 OR ratio IS NULL)), '') AS excluded FROM ({RATIO}))", "bins")
+register("stratum_table", "stratum:i n_signal:i n_pool:i signal_pct:d pool_pct:d difference:d included contribution:d", lambda s, d: pathvol.stratum_returns(with_returns(s, d)),
+         f"SELECT *, CASE WHEN included THEN n_signal * difference END / NULLIF(sum(CASE WHEN included THEN n_signal * difference END) OVER (), 0) AS contribution FROM (SELECT *, signal_pct - pool_pct AS difference, n_signal >= 5 AS included FROM (SELECT stratum, count(*) FILTER (WHERE is_signal) AS n_signal, count(*) FILTER (WHERE NOT is_signal) AS n_pool, avg(ret) FILTER (WHERE is_signal) * 100 AS signal_pct, avg(ret) FILTER (WHERE NOT is_signal) * 100 AS pool_pct FROM ({STRAT}) WHERE ret IS NOT NULL AND stratum IS NOT NULL GROUP BY 1))", "bins", "fwd")
+register("welch_delta", "stratum:i n_sig:i n_ctl:i delta:d exp_delta:d se:d pre_gap:d included weight:d", on_vol(lambda v: pathvol.welch_table(pathvol.analysis(v))),
+         f"SELECT *, exp(delta) AS exp_delta, CAST(CASE WHEN included THEN n_sig END AS DOUBLE) / sum(CASE WHEN included THEN n_sig END) OVER () AS weight FROM (SELECT *, m_sig - m_ctl AS delta, sqrt(v_sig / NULLIF(n_sig, 0) + v_ctl / NULLIF(n_ctl, 0)) AS se, n_sig >= 5 AND n_ctl >= 10 AS included FROM (SELECT stratum, {SUMS.format(f='is_signal')}, avg(lpre) FILTER (WHERE is_signal) - avg(lpre) FILTER (WHERE NOT is_signal) AS pre_gap FROM frame GROUP BY 1))", "frame")
+register("gap_ratio", "grp stratum:i n:i n_gap:i n_close:i median_gap:d overlap:d", on_vol(lambda v: pathvol.gap_ratio(pathvol.analysis(v))),
+         "SELECT e.grp, e.stratum, coalesce(n, 0) AS n, coalesce(n_gap, 0) AS n_gap, coalesce(n_close, 0) AS n_close, median_gap, CAST(n_close AS DOUBLE) / NULLIF(n_gap, 0) AS overlap FROM (SELECT g.grp, s.stratum FROM (SELECT unnest(['signal', 'control']) AS grp) g, (SELECT unnest(range(1, 6)) AS stratum) s) e LEFT JOIN (SELECT grp, stratum, count(*) AS n, count(gap) AS n_gap, count(*) FILTER (WHERE gap < 20) AS n_close, median(gap) AS median_gap FROM (SELECT *, pos - lag(pos) OVER (PARTITION BY ticker, grp, stratum ORDER BY pos) AS gap FROM (SELECT *, CASE WHEN is_signal THEN 'signal' ELSE 'control' END AS grp FROM frame)) GROUP BY 1, 2) c ON c.grp = e.grp AND c.stratum = e.stratum", "frame")
+
+
+def thin_cte(name: str, source: str) -> None:
+    S.CTE[f"{name}_n"] = ([source], f"SELECT ticker, pos, row_number() OVER (PARTITION BY ticker ORDER BY pos) AS rn FROM {source}")
+    S.CTE[f"{name}_r"] = ([f"{name}_n"], f"SELECT ticker, rn, pos AS y FROM {name}_n WHERE rn = 1 UNION ALL SELECT n.ticker, n.rn, CASE WHEN n.pos - r.y >= 20 THEN n.pos ELSE r.y END FROM {name}_r r JOIN {name}_n n ON n.ticker = r.ticker AND n.rn = r.rn + 1")
+    S.CTE[name] = ([f"{name}_r"], f"SELECT DISTINCT ticker, y AS pos FROM {name}_r")
+
+
+S.CTE["sigpos"] = (["frame"], "SELECT ticker, pos FROM frame WHERE is_signal")
+thin_cte("kept", "sigpos")
+S.CTE["ctlpos"] = (["frame", "kept"], "SELECT ticker, pos FROM frame f WHERE NOT is_signal AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.ticker = f.ticker AND abs(k.pos - f.pos) < 20)")
+thin_cte("ctl", "ctlpos")
+S.CTE["thinned"] = (["frame", "kept", "ctl"], "SELECT f.* FROM frame f JOIN (SELECT ticker, pos, true AS s FROM kept UNION ALL SELECT ticker, pos, false FROM ctl) k ON k.ticker = f.ticker AND k.pos = f.pos AND k.s = f.is_signal")
+
+
+def declustered(v: DataFrame) -> tuple[DataFrame, DataFrame]:
+    frame = pathvol.analysis(v).persist()  # a dozen branches read it
+    return frame, pathvol.decluster(frame)
+
+
+register("decluster", "ticker date pos:i is_signal", on_vol(lambda v: declustered(v)[1]), "SELECT ticker, date, pos, is_signal FROM thinned", "thinned")
+register("thinning_counts", "stratum:i signals:i controls:i signals_thinned:i controls_thinned:i", on_vol(lambda v: pathvol.counts(*declustered(v))),
+         "SELECT stratum, count(*) FILTER (WHERE is_signal AND a = 0) AS signals, count(*) FILTER (WHERE NOT is_signal AND a = 0) AS controls, count(*) FILTER (WHERE is_signal AND a = 1) AS signals_thinned, count(*) FILTER (WHERE NOT is_signal AND a = 1) AS controls_thinned FROM (SELECT stratum, is_signal, 0 AS a FROM frame UNION ALL SELECT stratum, is_signal, 1 FROM thinned) GROUP BY ROLLUP (stratum)", "frame", "thinned")
+S.CTE["centred"] = (["bins", "fwd"], f"SELECT *, ret - mu AS e FROM (SELECT *, count(*) FILTER (WHERE is_signal) OVER (PARTITION BY stratum) AS n_sig, avg(ret) FILTER (WHERE NOT is_signal) OVER (PARTITION BY stratum) AS mu FROM ({STRAT}) WHERE ret IS NOT NULL AND stratum IS NOT NULL) WHERE n_sig >= 5")
+register("perm_strat_hash", "n:i mean_diff:d statistic:d extreme:i draws:i p:d", lambda s, d: resample.stratified_test(with_returns(s, d), DRAWS),
+         f"""SELECT *, (1.0 + extreme) / (1.0 + draws) AS p FROM (SELECT any_value(n) AS n, any_value(mean_diff) AS mean_diff, any_value(st) AS statistic, count(*) FILTER (WHERE t >= st) AS extreme, count(*) AS draws FROM (
+            SELECT i, abs(avg(e) / (stddev_samp(e) / sqrt(count(e)))) AS t, any_value(n) AS n, any_value(mean_diff) AS mean_diff, any_value(st) AS st FROM (
+                SELECT c.*, i, row_number() OVER (PARTITION BY stratum, i ORDER BY {md5_order("date")}, date) AS nth, (SELECT count(*) FROM centred WHERE is_signal) AS n, (SELECT avg(e) FROM centred WHERE is_signal) AS mean_diff, (SELECT abs(avg(e) / (stddev_samp(e) / sqrt(count(e)))) FROM centred WHERE is_signal) AS st
+                FROM centred c, (SELECT unnest(range(1, {DRAWS + 1})) AS i) d WHERE NOT is_signal) WHERE nth <= n_sig GROUP BY i))""", "centred")
+COMB = "SELECT {g}, sum(w * (m_sig - m_ctl)) AS delta, sqrt(sum(w * w * (v_sig / n_sig + v_ctl / n_ctl))) AS se FROM (SELECT *, CAST(n_sig AS DOUBLE) / sum(n_sig) OVER (PARTITION BY {g}) AS w FROM ({inner})) GROUP BY {g}"
+S.CTE["usable"] = (["frame"], f"SELECT * FROM (SELECT *, count(*) FILTER (WHERE is_signal) OVER (PARTITION BY stratum) AS k, count(*) FILTER (WHERE NOT is_signal) OVER (PARTITION BY stratum) AS c FROM frame WHERE {ONE}) WHERE k >= 5 AND c >= 10")
+register("perm_label_hash", "delta:d se:d t:d extreme_raw:i extreme_stud:i draws:i p_raw:d p_stud:d", on_vol(lambda v: resample.label_test(one_ticker(pathvol.analysis(v)), DRAWS)),
+         f"""SELECT *, (1.0 + extreme_raw) / (1.0 + draws) AS p_raw, (1.0 + extreme_stud) / (1.0 + draws) AS p_stud FROM (SELECT any_value(s.delta) AS delta, any_value(s.se) AS se, any_value(s.delta / s.se) AS t, count(*) FILTER (WHERE abs(d.delta) >= abs(s.delta)) AS extreme_raw, count(*) FILTER (WHERE abs(d.delta / d.se) >= abs(s.delta / s.se)) AS extreme_stud, count(*) AS draws FROM
+            ({COMB.format(g='i', inner=f"SELECT i, stratum, {SUMS.format(f='lab')} FROM (SELECT u.*, i, row_number() OVER (PARTITION BY stratum, i ORDER BY {md5_order('date')}, date) <= k AS lab FROM usable u, (SELECT unnest(range(1, {DRAWS + 1})) AS i) x) GROUP BY 1, 2")}) d,
+            ({COMB.format(g='one', inner=f"SELECT 1 AS one, stratum, {SUMS.format(f='is_signal')} FROM usable GROUP BY 2")}) s)""", "usable")
+
+
+# --- backtest and metrics
+class Backtest:
+    """The plans of one backtest of all signals and holdings, each built from the ones before."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        bars = derived_bars(spark, sf_dir)
+        self.rates = backtest.aligned_rates(bars, derived_rates(spark, sf_dir))
+        self.prices = one_ticker(backtest.numbered(bars))
+        rows, _ = events.frames(indicators.add_indicators(bars))
+        self.positions = backtest.trade_positions(rows.drop("pos").join(self.prices.select("ticker", "date", "pos"), ["ticker", "date"]))
+        self.trades = backtest.trade_log(self.positions, self.prices)
+
+    def curves(self, cash: str = "risk_free") -> DataFrame:
+        return backtest.equity_curve(self.positions, self.prices, self.rates, cash)
+
+
+def on_backtest(f: Callable[[Backtest], DataFrame]) -> Query:
+    return lambda spark, d: f(Backtest(spark, d))
+
+
+def metric_sql(curve: str) -> str:
+    return f"SELECT *, mdd * 100 AS max_drawdown, CASE WHEN mdd < 0 THEN cagr / abs(mdd * 100) END AS calmar FROM (SELECT signal_id, holding_days, count(*) AS n, (max_by(g, date) / min_by(g, date) - 1) * 100 AS total_return, (pow(max_by(g, date) / min_by(g, date), 252.0 / count(*)) - 1) * 100 AS cagr, stddev_samp(r) * sqrt(252) * 100 AS volatility, CASE WHEN stddev_samp(x) > 1e-12 THEN avg(x) / stddev_samp(x) * sqrt(252) END AS sharpe, CASE WHEN stddev_samp(x) FILTER (WHERE x < -1e-12) > 1e-12 THEN avg(x) / (stddev_samp(x) FILTER (WHERE x < -1e-12)) * sqrt(252) END AS sortino, min(dd) AS mdd FROM (SELECT *, r - coalesce(risk_free, 0) AS x FROM (SELECT *, g / lag(g) OVER w - 1 AS r, g / max(g) OVER (PARTITION BY signal_id, holding_days ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS dd FROM ({curve}) WINDOW w AS (PARTITION BY signal_id, holding_days ORDER BY date))) GROUP BY 1, 2)"
+
+
+METRICS = "signal_id holding_days:i n:i total_return:d cagr:d volatility:d sharpe:d sortino:d max_drawdown:d calmar:d"
+RUNS = "SELECT signal_id, holding_days, date, risk_free, growth AS g FROM curve"
+RUNS0 = "SELECT signal_id, holding_days, date, risk_free, growth0 AS g FROM curve"
+HOLD = f"SELECT 'hold' AS signal_id, 0 AS holding_days, px.date, risk_free, close / first_value(close) OVER (ORDER BY px.date) AS g FROM px JOIN rf ON rf.ticker = px.ticker AND rf.date = px.date UNION ALL SELECT 'cash', 0, px.date, risk_free, product(1 + coalesce(risk_free, 0)) OVER (ORDER BY px.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) FROM px JOIN rf ON rf.ticker = px.ticker AND rf.date = px.date"
+register("risk_free", "ticker date rate_raw:d risk_free:d", lambda s, d: backtest.aligned_rates(derived_bars(s, d), derived_rates(s, d)), "SELECT ticker, date, raw AS rate_raw, risk_free FROM rf", "rf")
+register("rate_summary", "ticker days:i missing_before:i missing_after:i negative_days:i", lambda s, d: backtest.rate_summary(backtest.aligned_rates(derived_bars(s, d), derived_rates(s, d))),
+         "SELECT ticker, count(*) AS days, count(*) - count(raw) AS missing_before, count(*) - count(risk_free) AS missing_after, count(*) FILTER (WHERE risk_free < 0) AS negative_days FROM rf GROUP BY 1", "rf")
+register("trades", "signal_id ticker holding_days:i entry_date exit_date entry_price:p exit_price:p size:d pnl:d return_pct:d exit_reason", on_backtest(lambda b: b.trades),
+         f"SELECT *, {C.CAPITAL} / (entry_price * (1 + {C.COST})) AS size, {C.CAPITAL} * r AS pnl, r * 100 AS return_pct, 'time_stop' AS exit_reason FROM trades", "trades")
+register("equity_curve", "signal_id ticker holding_days:i date position_return:d risk_free:d growth:d in_position", on_backtest(lambda b: b.curves().withColumn("growth", F.col("equity") / C.CAPITAL)),
+         "SELECT signal_id, ticker, holding_days, date, pr AS position_return, risk_free, growth, held AS in_position FROM curve", "curve")
+register("metrics", METRICS, on_backtest(lambda b: metrics.curve_metrics(b.curves())), metric_sql(RUNS), "curve")
+register("trade_metrics", "signal_id holding_days:i trades:i win_rate:d profit_factor:d average_holding:d", on_backtest(lambda b: metrics.trade_metrics(b.trades)),
+         "SELECT signal_id, holding_days, count(*) AS trades, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) * 100 AS win_rate, sum(r) FILTER (WHERE r > 0) / NULLIF(-sum(r) FILTER (WHERE r < 0), 0) AS profit_factor, avg(holding_days) AS average_holding FROM trades GROUP BY 1, 2", "trades")
+register("cash_contribution", "signal_id holding_days:i cagr:d cagr_nocash:d cash_contrib_pp:d", on_backtest(lambda b: metrics.without_cash(metrics.curve_metrics(b.curves()), metrics.curve_metrics(b.curves("zero")))),
+         f"SELECT a.signal_id, a.holding_days, a.cagr, b.cagr AS cagr_nocash, a.cagr - b.cagr AS cash_contrib_pp FROM ({metric_sql(RUNS)}) a JOIN ({metric_sql(RUNS0)}) b ON a.signal_id = b.signal_id AND a.holding_days = b.holding_days", "curve")
+register("benchmark_metrics", METRICS, on_backtest(lambda b: metrics.curve_metrics(backtest.benchmark_curves(b.prices, b.rates))), metric_sql(HOLD), "px", "rf")
+register("phase_matrix", "signal_id holding_days:i regime n:i mean:d median:d sd:d win_rate:d n_boundary:i sufficient", on_backtest(lambda b: metrics.regime_matrix(b.trades)),
+         f"SELECT e.*, coalesce(n, 0) AS n, mean, median, sd, win_rate, coalesce(n_boundary, 0) AS n_boundary, coalesce(n, 0) >= 20 AS sufficient FROM (SELECT * FROM (SELECT DISTINCT signal_id, holding_days FROM trades) a, (SELECT unnest([{', '.join(repr(r.key) for r in C.REGIMES)}]) AS regime) b) e LEFT JOIN (SELECT signal_id, holding_days, regime, count(*) AS n, avg(r * 100) AS mean, median(r * 100) AS median, stddev_samp(r * 100) AS sd, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, count(*) FILTER (WHERE near) AS n_boundary FROM (SELECT *, {S.REGIME.replace('date ', 'entry_date ')} AS regime, "
+         + " OR ".join(f"abs(entry_date - DATE '{x}') <= 1" for r in C.REGIMES for x in (r.start, r.end) if x) + " AS near FROM trades) GROUP BY 1, 2, 3) c ON c.signal_id = e.signal_id AND c.holding_days = e.holding_days AND c.regime = e.regime", "trades")
+
+
+# --- comparisons
+def both_rsi(b: DataFrame) -> DataFrame:
+    return indicators.rsi_simple(indicators.rsi_wilder(b)).withColumns({"low_w": F.col("rsi_wilder_14") < 30, "low_s": F.col("rsi_simple_14") < 30})
+
+
+S.CTE["rs"] = (["gl"], f"SELECT ticker, date, {S.rsi('ag', 'al')} AS simple FROM (SELECT ticker, date, {S.full('avg', 'g', -13, 0)} AS ag, {S.full('avg', 'l', -13, 0)} AS al FROM gl)")
+S.CTE["two"] = (["ind", "rs"], "SELECT i.ticker, i.date, i.rsi AS w, r.simple AS s, abs(i.rsi - r.simple) AS diff, i.rsi < 30 AS lw, r.simple < 30 AS ls FROM ind i JOIN rs r ON r.ticker = i.ticker AND r.date = i.date")
+register("compare_rsi", "ticker n:i max_diff:d mean_diff:d worst", on_bars(lambda b: compare.compare(both_rsi(b), "rsi_wilder_14", "rsi_simple_14")),
+         "SELECT ticker, count(diff) AS n, max(diff) AS max_diff, avg(diff) AS mean_diff, CASE WHEN max(diff) > 0 THEN max_by(date, diff) END AS worst FROM two WHERE diff IS NOT NULL GROUP BY 1", "two")
+register("largest_differences", "ticker nth:i date diff:d", on_bars(lambda b: compare.largest(both_rsi(b), "rsi_wilder_14", "rsi_simple_14")),
+         "SELECT * FROM (SELECT ticker, date, diff, row_number() OVER (PARTITION BY ticker ORDER BY diff DESC, date) AS nth FROM two WHERE diff IS NOT NULL) WHERE nth <= 5", "two")
+register("precision", "ticker max_abs:d max_rel:d last_rel:d n_different:i same_nulls", on_bars(lambda b: compare.precision(both_rsi(b), "rsi_wilder_14", "rsi_simple_14")),
+         "SELECT ticker, max(diff) AS max_abs, max(diff / NULLIF(abs(s), 0)) AS max_rel, max_by(diff / NULLIF(abs(s), 0), date) FILTER (WHERE diff IS NOT NULL) AS last_rel, count(*) FILTER (WHERE diff > 0) AS n_different, bool_and((w IS NULL) = (s IS NULL)) AS same_nulls FROM two GROUP BY 1", "two")
+register("difference_by_era", "ticker max_early:d max_late:d mean_late:d max_diff:d kind", on_bars(lambda b: compare.by_era(both_rsi(b), "rsi_wilder_14", "rsi_simple_14", C.REGIMES[1].start, C.REGIMES[4].start)),
+         f"SELECT *, CASE WHEN max_diff <= 1e-12 THEN 'same' WHEN max_late <= 1e-6 THEN 'converges' ELSE 'differs' END AS kind FROM (SELECT ticker, max(diff) FILTER (WHERE date < DATE '{C.REGIMES[1].start}') AS max_early, max(diff) FILTER (WHERE date >= DATE '{C.REGIMES[4].start}') AS max_late, avg(diff) FILTER (WHERE date >= DATE '{C.REGIMES[4].start}') AS mean_late, max(diff) AS max_diff FROM two WHERE diff IS NOT NULL GROUP BY 1)", "two")
+register("disagreement", "ticker n_both:i only_a:i only_b:i neither:i timing:i real:i", on_bars(lambda b: compare.disagreement(both_rsi(b), "low_w", "low_s")),
+         "SELECT ticker, count(*) FILTER (WHERE lw AND ls) AS n_both, count(*) FILTER (WHERE lw AND NOT ls) AS only_a, count(*) FILTER (WHERE ls AND NOT lw) AS only_b, count(*) FILTER (WHERE NOT lw AND NOT ls) AS neither, count(*) FILTER (WHERE (lw AND NOT ls AND ns) OR (ls AND NOT lw AND nw)) AS timing, count(*) FILTER (WHERE (lw AND NOT ls AND NOT ns) OR (ls AND NOT lw AND NOT nw)) AS real FROM (SELECT *, max(CAST(lw AS INT)) OVER w = 1 AS nw, max(CAST(ls AS INT)) OVER w = 1 AS ns FROM two WHERE lw IS NOT NULL AND ls IS NOT NULL WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) GROUP BY 1", "two")
