@@ -131,4 +131,6 @@ def counts(frame: DataFrame, thinned: DataFrame) -> DataFrame:
     """Signals and controls by stratum before and after thinning, with a total row (stratum null)."""
     both = frame.select("stratum", "is_signal", F.lit(0).alias("after")).unionByName(thinned.select("stratum", "is_signal", F.lit(1).alias("after")))
     n = lambda sig, after: F.count_if((F.col("is_signal") == sig) & (F.col("after") == after))
-    return both.rollup("stratum").agg(n(True, 0).alias("signals"), n(False, 0).alias("controls"), n(True, 1).alias("signals_thinned"), n(False, 1).alias("controls_thinned"))
+    sums = [n(True, 0).alias("signals"), n(False, 0).alias("controls"), n(True, 1).alias("signals_thinned"), n(False, 1).alias("controls_thinned")]
+    total = both.agg(*sums).select(F.lit(None).cast("int").alias("stratum"), "*")  # there even if no row is
+    return both.groupBy("stratum").agg(*sums).unionByName(total)
