@@ -45,6 +45,16 @@ def drop_cut(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of an Arrow batch; Spark's own limit is 10,000 rows, whatever their size.
+BATCH_BYTES = "4m"
+
+
+def texts_of(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """``columns`` of ``docs`` for Python, with batches of bounded bytes, so that long texts don't fill a worker."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return docs.select(*columns)
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import texts_of
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 SPACE = re.compile(r"\s+")
@@ -163,4 +165,4 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> Dat
             text = pa.array([main_text(x) for x in batch.column(batch.num_columns - 1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text], names=[*keep, "text"])
 
-    return pages.select(*keep, F.col("html").alias("_html")).mapInArrow(run, pages.select(*keep).schema.add("text", "string"))
+    return texts_of(pages, *keep, F.col("html").alias("_html")).mapInArrow(run, pages.select(*keep).schema.add("text", "string"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, texts_of
 from tidemark.llm.tokens import encoded
 
 CAPACITY, END_ID = 1024, 2
@@ -58,7 +58,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
                 names=["doc_id", "piece", "start", "length", "ids"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return texts_of(docs, "doc_id", "text").mapInArrow(run, schema)
 
 
 def best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:

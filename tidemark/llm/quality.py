@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_of_id, labelled_sample
+from tidemark.llm.common import crc_of_id, labelled_sample, texts_of
 
 STEP, SIZE, FILTERS, PAD = 8, 6, 24, 32
 #: Lags at which a stretch of bytes counts as repeated, and bytes in a stretch.
@@ -158,7 +158,7 @@ def score_quality(docs: DataFrame, net: ByteConvNet, keep: tuple[str, ...] = ("d
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], score], names=[*keep, "score"])
 
     schema = docs.select(*keep).schema.add("score", "double")
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return texts_of(docs, *keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def keep_quality(docs: DataFrame, net: ByteConvNet, least: float = 0.5) -> DataFrame:
@@ -171,4 +171,4 @@ def keep_quality(docs: DataFrame, net: ByteConvNet, least: float = 0.5) -> DataF
             p = [probabilities(net, texts[a:b]) for a, b in blocks(texts)]
             yield batch.filter(pa.array(np.concatenate(p) >= least)) if p else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return texts_of(docs, *docs.columns).mapInArrow(run, docs.schema)

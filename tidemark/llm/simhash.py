@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, cut, drop_cut
+from tidemark.llm.common import components, cut, drop_cut, texts_of
 from tidemark.llm.quality import text_bytes
 
 RADIUS, MASKS, SHINGLE, SEED = 3, 3, 3, 42
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     ids = docs.select("doc_id")
-    return docs.select("doc_id", "text").mapInArrow(run, ids.schema.add("fp", "long"))
+    return texts_of(docs, "doc_id", "text").mapInArrow(run, ids.schema.add("fp", "long"))
 
 
 def signed(x: int) -> int:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from tidemark.llm.common import texts_of
 from tidemark.llm.tokens import encoded
 
 ROW_GROUP, PAGE, END_ID = 16 << 20, 128 << 10, 0
@@ -40,7 +41,7 @@ def token_lists(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, delta: bool = True) -> None:
     """Write the token lists of ``docs`` to ``path`` in ascending doc_id order (nulls first), over file after file."""
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = texts_of(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     writer = token_lists(ordered, tokenizer, end_id).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE)
     # version 2 pages hold integers as binary-packed deltas where a dictionary isn't used
     (writer.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "false") if delta else writer).parquet(path)
@@ -63,7 +64,7 @@ def digests(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(values[a:b]) for a, b in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], names=["file", "doc_id", "n_tokens", "ids_crc32"])
 
-    return tokens.select("file", "doc_id", "n_tokens", "tokens").mapInArrow(run, "file long, doc_id long, n_tokens int, ids_crc32 long").withColumn("n_tokens", F.col("n_tokens").cast("long"))
+    return texts_of(tokens, "file", "doc_id", "n_tokens", "tokens").mapInArrow(run, "file long, doc_id long, n_tokens int, ids_crc32 long").withColumn("n_tokens", F.col("n_tokens").cast("long"))
 
 
 def with_starts(rows: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_of_id, labelled_sample
+from tidemark.llm.common import crc_of_id, labelled_sample, texts_of
 from tidemark.llm.quality import blocks
 
 ORDERS, BITS, ALPHA = (3, 4, 5), 20, 0.5
@@ -146,7 +146,7 @@ def score_toxicity(docs: DataFrame, model: NBLinear, keep: tuple[str, ...] = ("d
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], score], names=[*keep, "score"])
 
     schema = docs.select(*keep).schema.add("score", "double")
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return texts_of(docs, *keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, model: NBLinear, most: float = 0.5) -> DataFrame:
@@ -159,4 +159,4 @@ def drop_toxic(docs: DataFrame, model: NBLinear, most: float = 0.5) -> DataFrame
             p = [probabilities(shared.value, texts[a:b]) for a, b in blocks(texts)]
             yield batch.filter(pa.array(np.concatenate(p) < most)) if p else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return texts_of(docs, *docs.columns).mapInArrow(run, docs.schema)
