@@ -145,8 +145,12 @@ def hex_of(column: str) -> Column:
 
 
 def dedup_near(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each group of near-duplicates: the one with the smallest doc_id."""
+    """One row of ``docs`` for each group of near-duplicates: the one with the smallest doc_id.
+
+    Rows of one doc_id count as one document; rows without a doc_id can't be told apart and are all kept.
+    """
+    nameless, docs = docs.where("doc_id IS NULL"), docs.where("doc_id IS NOT NULL")
     keep = cut(near_groups(docs).where("doc_id = component_id").groupBy("doc_id").count(), "kept")
     if not keep.where("count > 1").isEmpty():
         docs = docs.dropDuplicates(["doc_id"])
-    return docs.join(keep.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    return docs.join(keep.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns).unionByName(nameless)

@@ -82,7 +82,7 @@ def fit(rows: list[tuple[str, int]]) -> NBLinear:
     either way, say little of either class and are left out.
     """
     y = np.array([v for _, v in rows], dtype=np.float64)
-    none = NBLinear(np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
+    none = NBLinear(np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1))))  # without labels a text is clean
     if len(set(y.tolist())) < 2:
         return none
     count = np.zeros((2, BUCKETS))
@@ -121,7 +121,7 @@ def probabilities(model: NBLinear, texts: list[str]) -> np.ndarray:
         docs.append(np.searchsorted(starts, at, side="right") - 1)
         feats.append(h[at].astype(np.int64))
     doc, feat = distinct(np.concatenate(docs), np.concatenate(feats))
-    z = np.bincount(doc, weights=model.theta[feat], minlength=len(texts))
+    z = np.bincount(doc, weights=model.theta[feat], minlength=len(texts)).astype(np.float64)
     z /= np.sqrt(1 + np.bincount(doc, weights=model.square[feat], minlength=len(texts)))
     return 1 / (1 + np.exp(-np.clip(z + model.c, -30, 30)))
 
