@@ -16,8 +16,8 @@ def test_stream_equals_batch(spark, tmp_path):
     whole = bars(spark, rng.normal(0, 1, 120).cumsum() + 100, ticker="A").unionByName(bars(spark, rng.normal(0, 1, 120).cumsum() + 90, ticker="B")).cache()
     days = sorted(r["date"] for r in whole.select("date").distinct().collect())
     path = str(tmp_path / "in")
-    stream = rsi_edges(spark.readStream.schema(SCHEMA).parquet(path)) if whole.coalesce(1).where(F.col("date") < days[40]).write.parquet(path) is None else None
-    query = stream.writeStream.format("memory").queryName("edges").option("checkpointLocation", str(tmp_path / "ck")).start()
+    whole.coalesce(1).where(F.col("date") < days[40]).write.parquet(path)
+    query = rsi_edges(spark.readStream.schema(SCHEMA).parquet(path)).writeStream.format("memory").queryName("edges").option("checkpointLocation", str(tmp_path / "ck")).start()
     query.processAllAvailable()
     for lo, hi in ((40, 41), (41, 120)):
         whole.coalesce(1).where(F.col("date").between(days[lo], days[hi - 1])).write.mode("append").parquet(path)
