@@ -19,10 +19,6 @@ def so_far() -> WindowSpec:
     return by_date().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def earlier() -> WindowSpec:
-    return by_date().rowsBetween(Window.unboundedPreceding, -1)
-
-
 def framed(agg: Callable[[Column], Column], x: Column, lo: int, hi: int) -> Column:
     """``agg`` of ``x`` over rows lo to hi around the current one; null unless all of them have values."""
     frame = by_date().rowsBetween(lo, hi)
@@ -66,15 +62,3 @@ def edge(condition: Column, over: WindowSpec | None = None) -> Column:
     """True where a condition holds and didn't on the row before; nulls count as false."""
     held = F.coalesce(condition, F.lit(False))
     return held & ~F.coalesce(F.lag(held, 1).over(over or by_date()), F.lit(False))
-
-
-def expanding_bin(x: Column, bins: int, least: int, over: WindowSpec | None = None) -> Column:
-    """1 to ``bins`` by quantiles of strictly earlier values, of which ``least`` must be there.
-
-    A value equal to an edge goes to the upper bin.
-    """
-    if bins <= 1:
-        return F.when(x.isNotNull(), F.lit(1))
-    over = over or earlier()
-    edges = F.percentile(x, F.array(*[F.lit(k / bins) for k in range(1, bins)])).over(over)
-    return F.when((F.count(x).over(over) >= least) & x.isNotNull(), 1 + F.size(F.filter(edges, lambda e: e <= x)))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import config as C
-from tidemark.functions.windows import expanding_bin, framed, log_return, position, rolling
+from tidemark.functions.windows import framed, log_return, position, rolling
+from tidemark.operators.indicators import recursive
 from tidemark.operators.resample import stratum_sums
 
 BINS = 5
@@ -14,6 +19,27 @@ BINS = 5
 FLOOR, NONE_SHARE, EXISTS_SHARE = 1.15, 0.22, 0.44
 
 
+def expanding_bins(x: pd.Series, bins: int, least: int) -> pd.Series:
+    """1 to ``bins`` by quantiles of strictly earlier values, of which ``least`` must be there.
+
+    A value equal to an edge goes to the upper bin. The values so far stay sorted, so a series
+    takes one insertion and a few look-ups a row; a window percentile would sort its frame anew.
+    """
+    held: list[float] = []
+    out = np.full(len(x), np.nan)
+    for i, v in enumerate(x.to_numpy(dtype=float)):
+        if v != v:
+            continue
+        if bins <= 1:
+            out[i] = 1
+        elif len(held) >= least:
+            at = [(len(held) - 1) * k / bins for k in range(1, bins)]
+            edges = [held[int(a)] + (a - int(a)) * (held[min(int(a) + 1, len(held) - 1)] - held[int(a)]) for a in at]
+            out[i] = 1 + bisect_right(edges, v)
+        insort(held, v)
+    return pd.Series(out, index=x.index)
+
+
 def volatility_frame(bars: DataFrame, signals: DataFrame, signal_id: str, bins: int = BINS, least: int = C.LEAST_HISTORY) -> DataFrame:
     """date, ticker, pos, pre_vol, post_vol, post_vol_1, stratum, is_signal and fwd returns over all days.
 
@@ -27,7 +53,7 @@ def volatility_frame(bars: DataFrame, signals: DataFrame, signal_id: str, bins:
             "pre_vol": rolling(F.stddev_samp, F.col("lr"), C.PRE_WINDOW), "post_vol": framed(F.stddev_samp, F.col("lr"), k, k + n - 1), "post_vol_1": framed(F.stddev_samp, F.col("lr"), 1, n),
         }
     )
-    r = r.withColumn("stratum", expanding_bin(F.col("pre_vol"), bins, least))
+    r = recursive(r, {"_bin": lambda t: expanding_bins(t["pre_vol"], bins, least)}).withColumn("stratum", F.col("_bin").cast("int")).drop("_bin")
     mine = signals.where(F.col("signal_id") == signal_id).select("date", "ticker", "signal")
     return r.join(mine, ["date", "ticker"], "left").withColumn("is_signal", F.coalesce("signal", F.lit(False))).drop("signal")
 
