@@ -30,7 +30,7 @@ LAGS, RUN = range(2, 25), 8
 SAMPLE_ROWS = 4000
 EPOCHS, BATCH, RATE = 8, 32, 0.01
 #: Bytes scored at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 @dataclass

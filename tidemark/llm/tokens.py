@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Cuts whose ids a worker keeps; then it starts anew.
-KEPT = 250_000
+KEPT = 100_000
 ODD_SPACE = re.compile(r"\s \s| {2}")
 BEFORE_BLANK = re.compile(r"(?<=\S)(?= )")
 
