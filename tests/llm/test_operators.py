@@ -292,6 +292,30 @@ def test_decontamination(spark, docs, empty):
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("edit", ["typo in each word", "typos anywhere", "words"])
+def test_decontamination_recall(edit):
+    rng = random.Random(8)
+    items = [(i, words(rng, n)) for i, n in enumerate([7, 8, 9, 10, 12, 14, 20, 30, 45, 60] * 4)]
+    index, found, near = decontam.index_items(items), Counter(), Counter()
+    for i, t in items:
+        w = t.split()
+        if edit == "words":
+            for p in rng.sample(range(len(w)), len(w) // 6):
+                w[p] = words(rng, 1)
+        elif edit == "typo in each word":
+            w = [x[:p] + "x" + x[p + 1 :] for x in w for p in [rng.randrange(len(x))]]
+        else:
+            x = list(t)
+            for p in rng.sample(range(len(x)), len(x) // 6):
+                x[p] = "x"
+            w = ["".join(x)]
+        text = f"{words(rng, 50)} {' '.join(w)} {words(rng, 50)}"
+        if slow_distance(t, decontam.clean(text).decode()) <= 0.2 * len(t) + 1e-9:
+            near[len(t) > 100] += 1
+            found[len(t) > 100] += i in [r[1] for r in decontam.search([text], index, 0.8)]
+    assert min(near[False], near[True]) > 5 and all(found[k] >= 0.97 * near[k] for k in near)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(6)
     x = np.concatenate((rng.normal(0, 1, (6, 8))[rng.integers(0, 6, 900)] * 3 + rng.normal(0, 0.5, (900, 8)), np.ones((300, 8)))).astype("float32")
