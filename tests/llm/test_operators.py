@@ -215,6 +215,18 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+LONG = "<p>" + "A long sentence about it, and more of it here. " * 13 + "</p>"
+SHORT = ["<ul>" + "<li>five words without any mark</li>" * 5 + "</ul>", "<table><caption>the years</caption><tr><th>year<td>1999</table>", "<dl><dt>term<dd>what it means</dl>", "<figure><img src=x><figcaption>a small harbour</figcaption></figure>"]
+
+
+@pytest.mark.parametrize("around", ["{}", "<article>{}</article>", "<div><div>{}</div></div>"])
+def test_html_keeps_short_blocks_beside_long_ones(around):
+    for short in SHORT:
+        got = html.main_text("<html><body>" + around.format("<h1>Some title of it</h1>" + LONG * 3 + short) + "</body></html>")
+        want = [x for x in html.re.sub(r"<[^>]*>", "\n", short).split("\n") if x]
+        assert got.startswith("Some title") and got.split("\n\n")[4:] == want
+
+
 def test_licenses(spark):
     mit = licenses.MIT.replace("\n", "\n  ").upper().replace("SUBLICENSE", "sub-licence")
     rows = [(1, "Copyright (c) 2020 A. Nother\n\n" + mit, "x"), (2, "Prose.\nReleased under the MIT licence!\nLicensed under CC BY 4.0.", "x"), (3, None, "x"), (4, "", "x"), (2, "Prose.", "x"), (5, "word " * 200000, "x"), (6, licenses.BSD_CONDITIONS + licenses.BSD_DISCLAIMER, "x")]

@@ -6,7 +6,9 @@ Elements that carry page furniture by their name, role, class or id (menus, head
 sidebars, notices, adverts, forms, scripts, styles, comments) are left out with all they hold.
 For each path the text length and the punctuation are added up; the ratios per block are
 smoothed over neighbouring blocks in page order and fused with those of the container that
-the path lies in. Paths whose fused ratio reaches a share of the page's best are content.
+the path lies in. Paths whose fused ratio reaches a share of the page's best are content, and so
+is what lies with them in one article, main or other container below the body; lists, tables,
+captions and headings also where a container further out, or the body, holds both.
 
 Null, empty and text-free pages give an empty text. Rows are handled one by one: repeated rows give
 equal results, extra columns are ignored.
@@ -45,6 +47,8 @@ NAMES = frozenset(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: A path is content from this share of the best fused ratio; weight of each neighbour.
 SHARE, WEIGHT = 0.1, 0.25
+ROOTS = frozenset(("html", "body"))
+STRUCTURE = frozenset("ul ol dl li dt dd table caption thead tbody tfoot tr td th figure figcaption blockquote pre h1 h2 h3 h4 h5 h6".split())
 
 
 def furniture(name: str, attributes: str) -> bool:
@@ -133,6 +137,14 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
     return out
 
 
+def with_content(path: tuple[str, ...], holders: set[tuple[str, ...]], around: set[tuple[str, ...]]) -> bool:
+    """Whether ``path`` lies in a container of content, or is a list, table, caption or heading beside such."""
+    if any(path[:k] in holders for k in range(len(path) + 1)):
+        return True
+    outer = next((k for k, name in enumerate(path) if name in STRUCTURE), None)
+    return outer is not None and path[:outer] in around
+
+
 def main_text(page: str | None) -> str:
     """The text of the page's content blocks, joined by blank lines."""
     found = blocks(page or "")
@@ -154,7 +166,12 @@ def main_text(page: str | None) -> str:
     for (path, _), f in zip(found, fused, strict=True):
         best[path] = max(best.get(path, 0.0), f)
     least = SHARE * max(best.values())
-    return "\n\n".join(text for path, text in found if best[path] >= least)
+    good = [path for path, b in best.items() if b >= least]
+    around = {path[:k] for path in good for k in range(len(path) + 1)}
+    holders = {path[:-1] for path in good if path and not ROOTS.issuperset(path[:-1])}
+    holders |= {path[: k + 1] for path in good for k, name in enumerate(path) if name in ("article", "main")}
+    kept = {path: b >= least or with_content(path, holders, around) for path, b in best.items()}
+    return "\n\n".join(text for path, text in found if kept[path])
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
