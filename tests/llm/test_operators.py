@@ -227,6 +227,25 @@ def test_html_keeps_short_blocks_beside_long_ones(around):
         assert got.startswith("Some title") and got.split("\n\n")[4:] == want
 
 
+@pytest.mark.parametrize("wrapper", ["<form>", "<div class='has-sidebar'>", "<div class='content header-fixed'>", "<div class='post no-comments'>", "<div id='notice-123'>", "<div class='social-science'>", "<div class='widget'>"])
+def test_html_furniture_names_on_a_wrapper(wrapper):
+    text = "Some words of the page, of which there are many."
+    close = "</form>" if wrapper == "<form>" else "</div>"
+    for inner in (f"<p>{text}</p>", f"<article><p>{text}</p></article>"):
+        assert html.main_text(f"<body><nav>Menu</nav>{wrapper}{inner}{close}<div class='ad'>Buy.</div></body>") == text
+    assert html.main_text(f"<body><main><p>{text}</p></main><div class='widget'>{text}{text}</div></body>") == text
+
+
+def test_html_furniture_without_end_tags():
+    text = "Some words of the page, of which there are many."
+    for page in (
+        f"<article><p class='notice'>Take note.<p>{text}</article>", f"<article><div><p class='notice'>Take note.</div><p>{text}</article>", f"<article><ul><li class='social'>Like it<li>{text}</ul></article>",
+        f"<article><p>{text}</p><svg/><p>{text}</article>", f"<article><p>{text}<span class='share'>Share <span>it</span> now</span> And more.</article>", f"<head><title>T</title><body><p>{text}",
+    ):
+        want = {"<svg/>": f"{text}\n\n{text}", "'share'": f"{text} And more."}
+        assert html.main_text(page) == next((w for k, w in want.items() if k in page), text)
+
+
 def test_licenses(spark):
     mit = licenses.MIT.replace("\n", "\n  ").upper().replace("SUBLICENSE", "sub-licence")
     rows = [(1, "Copyright (c) 2020 A. Nother\n\n" + mit, "x"), (2, "Prose.\nReleased under the MIT licence!\nLicensed under CC BY 4.0.", "x"), (3, None, "x"), (4, "", "x"), (2, "Prose.", "x"), (5, "word " * 200000, "x"), (6, licenses.BSD_CONDITIONS + licenses.BSD_DISCLAIMER, "x")]

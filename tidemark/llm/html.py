@@ -3,7 +3,9 @@
 A page is read once, tag by tag, into blocks of text: the text under one block element,
 inline markup ignored, white space made one space. Each block has a root-to-leaf tag path.
 Elements that carry page furniture by their name, role, class or id (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, comments) are left out with all they hold.
+sidebars, notices, adverts, forms, scripts, styles, comments) are left out with all they hold,
+unless that is the page's first article or main, or, on pages with neither outside of them, most of the text.
+Class and id names count as whole. An element without an end tag ends where HTML says, inside furniture too.
 For each path the text length and the punctuation are added up; the ratios per block are
 smoothed over neighbouring blocks in page order and fused with those of the container that
 the path lies in. Paths whose fused ratio reaches a share of the page's best are content, and so
@@ -19,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
@@ -37,7 +40,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 RAW = frozenset("script style textarea title noscript template iframe svg math object".split())
 DROPPED = RAW | frozenset("head nav header footer aside form button select input dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-#: Words of class and id names that mark page furniture.
+#: Of these an amount of text makes no content.
+FIRM = frozenset("head nav footer button select menu".split())
+#: Class and id names that mark page furniture.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus "
     "footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related respond share sharing sidebar "
@@ -58,82 +63,107 @@ def furniture(name: str, attributes: str) -> bool:
         key, value = key.lower(), "".join(values).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
             return True
-        if key in ("class", "id") and name not in ("body", "html", "article", "main") and not NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
+        if key in ("class", "id") and name not in ("body", "html", "article", "main") and not NAMES.isdisjoint(value.split()):
             return True
     return False
 
 
+@dataclass
+class Furniture:
+    name: str
+    size: int = 0  # characters of text inside
+    main: bool = False  # holds the page's first article or main
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
     """(tag path, text) of each block outside furniture, in page order."""
-    out: list[tuple[tuple[str, ...], str]] = []
-    stack: list[str] = []  # open block elements
-    held: list[str] = []
-    dropped = ""  # the furniture element that is open, and how deep the same name is nested
-    depth = 0
-    at = 0
+    found: list[tuple[tuple[str, ...], list[tuple[str, tuple[Furniture, ...]]]]] = []
+    stack: list[str] = []  # open block elements, and all elements that may be furniture
+    opened: list[tuple[int, Furniture]] = []  # those that may be furniture, with their depth in the stack
+    held: list[tuple[str, tuple[Furniture, ...]]] = []
+    main = False
+    total = at = 0
 
     def flush() -> None:
         if held:
-            text = SPACE.sub(" ", unescape("".join(held))).strip()
+            found.append((tuple(x for x in stack if x not in INLINE), held.copy()))
             held.clear()
-            if text:
-                out.append((tuple(stack), text))
+
+    def hold(text: str) -> None:
+        nonlocal total
+        if text:
+            held.append((text, tuple(f for _, f in opened)))
+            size = len(SPACE.sub(" ", text).strip())
+            total += size
+            for _, f in opened:
+                f.size += size
+
+    def pop() -> str:
+        name = stack.pop()
+        while opened and opened[-1][0] > len(stack):
+            opened.pop()
+        return name
 
     end = len(page)
     while at < end:
         m = TOKEN.search(page, at)
         if not m:
-            if not dropped:
-                held.append(page[at:])
+            hold(page[at:])
             break
-        if not dropped:
-            held.append(page[at : m.start()])
+        hold(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
         closing = bool(m[1])
-        if dropped:
-            if name == dropped:
-                depth += -1 if closing else name not in VOID
-                if depth == 0:
-                    dropped = ""
-            elif dropped != "head" or name != "body":
-                if closing and name in stack and name not in INLINE and name in ("article", "main", "body", "html"):
-                    dropped = ""  # an unclosed furniture element ends with what holds it
-                else:
-                    continue
-            else:
-                dropped = ""
-            if dropped or name not in ("body", "article", "main", "html"):
-                continue
         if not closing and name in RAW:
             if name not in INLINE:
                 flush()
+            if name in ("svg", "math") and m[3].endswith("/"):
+                continue
             tail = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
             at = tail.end() if tail else end
             continue
-        if not closing and name not in VOID and furniture(name, m[3]):
-            if name not in INLINE:
+        if name in VOID:
+            if name in INLINE:
+                if name == "br":
+                    hold(" ")
+            else:
                 flush()
-            dropped, depth = name, 1
             continue
-        if name in INLINE:
-            if name == "br":
-                held.append(" ")
-            continue
-        flush()
-        if name in VOID:
+        marked = not closing and furniture(name, m[3])
+        if name in INLINE and not marked and name not in stack:
             continue
+        if name not in INLINE:
+            flush()
         if closing:
+            if name in INLINE and not INLINE.issuperset(stack[len(stack) - 1 - stack[::-1].index(name) :]):
+                continue  # inline end tags don't end blocks
             if name in stack:
-                while stack.pop() != name:
+                while pop() != name:
                     pass
             continue
-        if stack and (stack[-1] == "p" or stack[-1] in CLOSES.get(name, ())):
-            stack.pop()
+        if name not in INLINE:
+            if name == "body" and "head" in stack:
+                while pop() != "head":
+                    pass
+            if stack and stack[-1] == "p":
+                pop()
+            while stack and stack[-1] in CLOSES.get(name, ()):
+                pop()
         stack.append(name)
+        if marked:
+            opened.append((len(stack), Furniture(name)))
+        if name in ("article", "main") and not main:
+            main = True
+            for _, f in opened:
+                f.main = True
     flush()
+    out = []
+    for path, pieces in found:
+        kept = [text for text, inside in pieces if all(f.main or not main and f.name not in FIRM and 2 * f.size > total for f in inside)]
+        if text := SPACE.sub(" ", unescape("".join(kept))).strip():
+            out.append((path, text))
     return out
 
 
