@@ -255,6 +255,22 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_licenses_in_hard_wrapped_files(spark):
+    def at(text, *starts):  # lines that start with these words
+        for x in starts:
+            assert f" {x}" in text
+            text = text.replace(f" {x}", f"\n{x}", 1)
+        return text
+
+    mit, isc = at(licenses.MIT, "copyright notice", "COPYRIGHT HOLDERS BE"), at(licenses.ISC, "copyright notice and")
+    bsd = licenses.BSD_CONDITIONS + at(licenses.BSD_DISCLAIMER, "COPYRIGHT HOLDERS AND", "COPYRIGHT HOLDER OR")
+    heads = ["", "Copyright (c) 2020 A. Nother\n\n", "Copyright 2019-2021, A. Nother.\nAll rights reserved.\n\n", "Copyright A. Nother\nCopyright The Others\n\n", "(c) 2020 A. Nother\n", "\u00a9 A. Nother\n\n"]
+    unlicense = at(licenses.UNLICENSE + licenses.UNLICENSE_REST, "copyright interest", "copyright law.").replace("https:", "http:")
+    texts = [(name, head + t) for head in heads for name, t in (("MIT", mit), ("ISC", isc), ("BSD-2-Clause", bsd))] + [("Unlicense", unlicense), ("MIT", "MIT License\n\nCopyright A. Nother\n\n" + mit)]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [name for name, _ in texts]
+
+
 def labelled(rng, n):
     out = []
     for i in range(n):

@@ -1,7 +1,7 @@
 """License scans by canonical digest lookup; DataFrame operations only.
 
-A text is brought to canonical form: ASCII lower case, copyright lines dropped, equivalent
-spellings made one, and runs of ASCII punctuation and white space made one blank. The digest of the whole form is
+A text is brought to canonical form: ASCII lower case, copyright statements (with a year or a sign, or of a
+holder in the head) dropped, equivalent spellings made one, and runs of ASCII punctuation and white space made one blank. The digest of the whole form is
 looked up among the digests of known licenses, by a hash join with that fixed table.
 A document is looked up as a whole, and so is each of its lines, because corpora also state
 a license in a line of its own.
@@ -40,6 +40,13 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
 UNLICENSE = """This is free and unencumbered software released into the public domain.
 
 Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+UNLICENSE_REST = """
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org/>"""
 ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
 
 Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
@@ -47,7 +54,8 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
-KNOWN = [
+#: The texts of the checking SQL; ``KNOWN`` holds more.
+CHECKED = [
     ("MIT", MIT), ("MIT", "MIT License\n\n" + MIT), ("MIT", "The MIT License\n\n" + MIT), ("MIT", "The MIT License (MIT)\n\n" + MIT), ("ISC", ISC), ("ISC", "ISC License\n\n" + ISC),
     ("BSD-2-Clause", BSD_CONDITIONS + BSD_DISCLAIMER), ("BSD-2-Clause", "BSD 2-Clause License\n" + BSD_CONDITIONS + BSD_DISCLAIMER),
     ("BSD-3-Clause", BSD_CONDITIONS + BSD_THIRD + BSD_DISCLAIMER), ("BSD-3-Clause", "BSD 3-Clause License\n" + BSD_CONDITIONS + BSD_THIRD + BSD_DISCLAIMER),
@@ -57,15 +65,21 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC0-1.0", "Licensed under CC0 1.0."),
 ]
 
+KNOWN = [*CHECKED, ("Unlicense", UNLICENSE + UNLICENSE_REST)]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that states a copyright, and what is made one blank.
+#: A line with a copyright and a year or sign, or the words that go with it; holders without either, in the head.
+STATEMENT = r"(^|\n)[ \t]*(?:(?:copyright|\(c\)|©)(?:[ \t:,]|\(c\)|©|copyright){0,20}(?:19|20)[0-9][0-9]|copyright[ \t:]*(?:\(c\)|©)|©|all rights reserved\.?[ \t\r]*(?=\n|$))[^\n]*"
+HOLDER = r"^(\s*(?:[^\n]*licen[sc]e[^\n]*\n\s*)?)(?:copyright[ \t][^\n]*(?:\n\s*|$)){1,50}"
+#: The same in the checking SQL, which drops any line that starts so; and what is made one blank.
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
 OTHER = r"[\x00-/:-`{-\x7f]+"
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; a null text counts as empty."""
-    out = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), COPYRIGHT_LINE, r"$1")
+    out = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), STATEMENT, r"$1")
+    out = F.regexp_replace(out, HOLDER, r"$1")
     out = F.concat(F.lit(" "), F.regexp_replace(out, OTHER, " "), F.lit(" "))
     for a, b in spellings():
         out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
@@ -98,7 +112,7 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFra
 
 
 def canonical_sql(text: str) -> str:
-    """``canonical`` for DuckDB."""
+    """``canonical`` for DuckDB, but for lines of terms that start like a copyright."""
     quoted = COPYRIGHT_LINE.replace("\\n", "\n").replace("\\t", "\t")
     out = f"regexp_replace(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{quoted}', '\\1', 'g')"
     out = f"concat(' ', regexp_replace({out}, '{OTHER}', ' ', 'g'), ' ')"
@@ -108,7 +122,7 @@ def canonical_sql(text: str) -> str:
 
 
 def scan_sql() -> str:
-    values = ", ".join(f"('{a}', '{b.replace(chr(39), chr(39) * 2)}')" for a, b in KNOWN)
+    values = ", ".join(f"('{a}', '{b.replace(chr(39), chr(39) * 2)}')" for a, b in CHECKED)
     return f"""
     WITH texts(license, t) AS (VALUES {values}),
     known AS (SELECT md5({canonical_sql("t")}) AS digest, min(license) AS license FROM texts GROUP BY 1),
