@@ -20,6 +20,8 @@ from tidemark.sources.bars import derived_bars, derived_rates, hourly_bars
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Queries without SQL: the permutation tests with all draws, too many for DuckDB on whole tables.
+UNCHECKED: dict[str, Query] = {}
 SHOCK, GAP, DRAWS = 0.005, 3, 50
 
 
@@ -45,6 +47,10 @@ def register(name: str, columns: str, query: Query, select: str, *needs: str) ->
     ORACLES[name] = shaped_sql(S.query(select, *needs), columns)
 
 
+def register_unchecked(name: str, columns: str, query: Query) -> None:
+    UNCHECKED[name] = lambda spark, sf_dir: shaped(query(spark, sf_dir), columns)
+
+
 def on_bars(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, d: f(derived_bars(spark, d))
 
@@ -162,6 +168,8 @@ def mean_test_sql(h: int, stud: bool) -> str:
 PERM = "signal_id n:i statistic:d extreme:i draws:i p:d passes mc_se:d ci_low:d ci_high:d"
 register("perm_mean_hash", PERM, on_frames(lambda r, c: resample.mean_test(event_returns(20)(r), day_returns(20)(c), DRAWS)), mean_test_sql(20, False), "evh", "cal")
 register("perm_student_hash", PERM, on_frames(lambda r, c: resample.mean_test(event_returns(5)(r), day_returns(5)(c), DRAWS, studentized=True)), mean_test_sql(5, True), "evh", "cal")
+register_unchecked("perm_mean", PERM, on_frames(lambda r, c: resample.mean_test(event_returns(20)(r), day_returns(20)(c), C.DRAWS)))
+register_unchecked("perm_student", PERM, on_frames(lambda r, c: resample.mean_test(event_returns(5)(r), day_returns(5)(c), C.DRAWS, studentized=True)))
 
 
 # --- volatility strata
@@ -229,6 +237,8 @@ register("perm_strat_hash", "n:i mean_diff:d statistic:d extreme:i draws:i p:d",
             SELECT i, abs(avg(e) / (stddev_samp(e) / sqrt(count(e)))) AS t, any_value(n) AS n, any_value(mean_diff) AS mean_diff, any_value(st) AS st FROM (
                 SELECT c.*, i, row_number() OVER (PARTITION BY stratum, i ORDER BY {md5_order("date")}, date) AS nth, (SELECT count(*) FROM centred WHERE is_signal) AS n, (SELECT avg(e) FROM centred WHERE is_signal) AS mean_diff, (SELECT abs(avg(e) / (stddev_samp(e) / sqrt(count(e)))) FROM centred WHERE is_signal) AS st
                 FROM centred c, (SELECT unnest(range(1, {DRAWS + 1})) AS i) d WHERE NOT is_signal) WHERE nth <= n_sig GROUP BY i))""", "centred")
+register_unchecked("perm_strat", "n:i mean_diff:d statistic:d extreme:i draws:i p:d", lambda s, d: resample.stratified_test(with_returns(s, d), C.DRAWS))
+register_unchecked("perm_label", "delta:d se:d t:d extreme_raw:i extreme_stud:i draws:i p_raw:d p_stud:d", on_vol(lambda v: resample.label_test(one_ticker(pathvol.analysis(v)), C.DRAWS)))
 COMB = "SELECT {g}, sum(w * (m_sig - m_ctl)) AS delta, sqrt(sum(w * w * (v_sig / n_sig + v_ctl / n_ctl))) AS se FROM (SELECT *, CAST(n_sig AS DOUBLE) / sum(n_sig) OVER (PARTITION BY {g}) AS w FROM ({inner})) GROUP BY {g}"
 S.CTE["usable"] = (["frame"], f"SELECT * FROM (SELECT *, count(*) FILTER (WHERE is_signal) OVER (PARTITION BY stratum) AS k, count(*) FILTER (WHERE NOT is_signal) OVER (PARTITION BY stratum) AS c FROM frame WHERE {ONE}) WHERE k >= 5 AND c >= 10")
 register("perm_label_hash", "delta:d se:d t:d extreme_raw:i extreme_stud:i draws:i p_raw:d p_stud:d", on_vol(lambda v: resample.label_test(one_ticker(pathvol.analysis(v)), DRAWS)),
