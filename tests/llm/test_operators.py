@@ -5,8 +5,11 @@ from __future__ import annotations
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 import xxhash
@@ -109,10 +112,21 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
 
 
-def test_token_ids_equal_the_librarys():
+def test_token_ids_equal_the_librarys(monkeypatch):
     t = Tokenizer.from_file(PATH)
     texts = ["", " x", "x ", "  ", "a   b  c", "a\n \nb", "\n\n a", "a \n b\t c!  ", "don't 'll  it's", "<|endoftext|> hi", "é  ñ\x1c b!\x1c x", "word " * 300]
-    assert tokens.Encoder(PATH).encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+    rng = random.Random(12)
+    bits = [*" \n\t\x1c\u00a0\u0085\u2003\u3000\u200b", " \n", "\r\n", *"abéàß漢١²Ⅷ_'.3", "word", "'s", "'ll", "!!", "<|endoftext|>", "e\u0301", "😀"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(2000)] + [None]
+    want = [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    for strip, kept in ((1 << 20, 1000), (64, 50)):
+        monkeypatch.setattr(tokens, "STRIP", strip)
+        monkeypatch.setattr(tokens, "KEPT", kept)
+        ids, at = tokens.Encoder(PATH).encode(pa.array(["not in it", *texts])[1:])
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == want
+    assert [x.tolist() for x in tokens.ended(pa.array([], pa.string()), PATH, 2)] == [[], [0]]
+    ids, at = tokens.ended(pa.array(["", None, "a"]), PATH, 2)
+    assert ids.tolist() == [2, 2, *t.encode("a").ids, 2] and at.tolist() == [0, 1, 2, 4]
 
 
 def test_packing(docs, rows, empty):
@@ -134,11 +148,12 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty, PATH).count() == 0
 
 
+@pytest.mark.parametrize("share", packing.SHARES)
 @pytest.mark.parametrize("groups", packing.GROUPS)
-def test_plan_places_every_piece_once(groups):
+def test_plan_places_every_piece_once(groups, share):
     rng = np.random.default_rng(1)
     histogram = Counter(rng.integers(1, 101, 3000).tolist()) | Counter({100: 40, 51: 300})
-    n, plan = packing.plan(dict(histogram), 100, groups)
+    n, plan = packing.plan(dict(histogram), 100, packing.grouped(histogram, 100, groups), share)
     used = {}
     for length, lo, hi, first, each, offset in plan:
         for t in range(hi - lo):
@@ -150,17 +165,29 @@ def test_plan_places_every_piece_once(groups):
     assert set(used) == set(range(n))
 
 
-def test_packing_is_tight():
-    rng = np.random.default_rng(2)
-    histogram = Counter(rng.integers(1, 1025, 20000).tolist())
-    best = min(packing.plan(dict(histogram), 1024, g)[0] for g in packing.GROUPS)
-    assert best <= 1.01 * sum(k * v for k, v in histogram.items()) / 1024
+def best_fit(histogram, capacity):
+    rooms, n = Counter(), 0
+    for x in sorted(histogram, reverse=True):
+        for _ in range(histogram[x]):
+            r = min((r for r in rooms if r >= x and rooms[r]), default=0)
+            rooms[r] -= bool(r)
+            n += not r
+            rooms[(r or capacity) - x] += 1
+    return n
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_is_as_tight_as_best_fit(seed):
+    rng = np.random.default_rng(seed)
+    made = (rng.integers(1, 1024, 3000), rng.integers(300, 700, 2000), rng.choice([341, 342, 511, 513, 170], 3000), np.minimum(1023, rng.lognormal(5, 1, 4000).astype(int) + 1))[seed]
+    histogram = Counter(made.tolist())
+    assert packing.best_plan(histogram, 1024)[0] <= best_fit(histogram, 1024) + 1
 
 
 def test_token_files(spark, docs, rows, empty):
     t = Tokenizer.from_file(PATH)
     for delta in (True, False):
-        path = f"{shared_dir(spark)}/files-{delta}"
+        path = f"{shared_dir(spark).removeprefix('file://')}/files-{delta}"
         token_files.write_token_files(docs, path, PATH, delta=delta)
         got = {r["doc_id"]: r for r in token_files.with_starts(token_files.digests(token_files.read_token_files(spark, path))).collect()}
         at = 0
@@ -168,6 +195,22 @@ def test_token_files(spark, docs, rows, empty):
             x = [*t.encode(r[1] or "", add_special_tokens=False).ids, 0]
             assert (got[r[0]]["start"], got[r[0]]["n_tokens"], got[r[0]]["ids_crc32"]) == (at, len(x), zlib.crc32(np.array(x, "<u4").tobytes()))
             at += len(x)
+        parts = sorted(Path(path).glob("*.parquet"))
+        for x in parts:
+            meta = pq.ParquetFile(x).metadata
+            for g in range(meta.num_row_groups):
+                assert meta.row_group(g).total_byte_size < 2 * token_files.ROW_GROUP
+                for c in (meta.row_group(g).column(k) for k in range(meta.num_columns)):
+                    assert c.has_column_index and c.has_offset_index and (not delta or "DELTA_BINARY_PACKED" in c.encodings)
+        assert delta or any("DICTIONARY" in e for x in parts for m in [pq.ParquetFile(x).metadata] for g in range(m.num_row_groups) for e in m.row_group(g).column(2).encodings)
+        some = spark.read.parquet(path).where("doc_id BETWEEN 5 AND 7").select("doc_id", "tokens")
+        assert {r["doc_id"]: r["tokens"] for r in some.collect()} == {r[0]: [*t.encode(r[1] or "", add_special_tokens=False).ids, 0] for r in rows if 5 <= r[0] <= 7}
+    tied = spark.createDataFrame([(1, "a b c d"), (1, "a"), (1, "a b c"), (None, "x y"), (None, "x")], "doc_id long, text string")
+    path = f"{shared_dir(spark).removeprefix('file://')}/files-tied"
+    token_files.write_token_files(tied, path, PATH)
+    lists = [r["tokens"] for x in sorted(Path(path).glob("*.parquet")) for r in pq.read_table(x).to_pylist()]
+    starts = {(zlib.crc32(np.array(x, "<u4").tobytes()), sum(map(len, lists[:k]))) for k, x in enumerate(lists)}
+    assert starts == {(r["ids_crc32"], r["start"]) for r in token_files.with_starts(token_files.digests(token_files.read_token_files(spark, path))).collect()}
     token_files.write_token_files(empty, f"{shared_dir(spark)}/files-none", PATH)
     assert token_files.with_starts(token_files.digests(token_files.read_token_files(spark, f"{shared_dir(spark)}/files-none"))).count() == 0
 

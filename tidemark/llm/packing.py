@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, texts_of
-from tidemark.llm.tokens import encoded
+from tidemark.llm.tokens import ended
 
 CAPACITY, END_ID = 1024, 2
 #: Lengths over this share of the capacity are large; numbers of groups tried.
 SMALL, GROUPS = 1 / 4, (8, 10, 12, 16, 24, 48)
+#: Shares of the configurations that are used; actual lengths compete for the rest.
+SHARES = (1.0, 0.9, 0.6, 0.3)
 #: Buckets in which the pieces of a length are ranked.
-BUCKETS = 256
+BUCKETS = 1024
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -40,21 +42,21 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     """
     ids = docs.select("doc_id")
     schema = ids.schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids", "binary")
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, piece, start, parts = [], [], [], []
-            for i, found in encoded(batch, 1, path):
-                found += end
-                n = len(found) // 4
-                at = [0, *range(n % capacity or capacity, n, capacity)]
-                rows += [i] * len(at)
-                piece += range(len(at))
-                start += at
-                parts += [found[4 * a : 4 * b] for a, b in zip(at, [*at[1:], n], strict=True)]
+            ids, at = ended(batch.column(1), path, end_id)
+            total = np.diff(at)
+            count = -(-total // capacity)
+            row = np.repeat(np.arange(len(total)), count)
+            piece = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            head = (total - (count - 1) * capacity)[row]  # the first piece may be shorter
+            start = np.where(piece == 0, 0, head + (piece - 1) * capacity)
+            length = np.where(piece == 0, head, capacity)
+            edges = pa.array(4 * np.append(at[row] + start, len(ids)), pa.int64())
+            parts = pa.Array.from_buffers(pa.large_binary(), len(row), [None, edges.buffers()[1], pa.py_buffer(np.ascontiguousarray(ids))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(p) // 4 for p in parts], pa.int64()), pa.array(parts, pa.binary())],
+                [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), parts.cast(pa.binary())],
                 names=["doc_id", "piece", "start", "length", "ids"],
             )
 
@@ -107,11 +109,22 @@ def equal_groups(lengths: list[int], left: dict[int, int], groups: int) -> list[
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: int) -> tuple[int, list[tuple[int, int, int, int, int, int]]]:
+def grouped(histogram: dict[int, int], capacity: int, groups: int) -> tuple[list[list[int]], list[tuple[np.ndarray, int]]]:
+    """The groups of large lengths, and the configurations of their rounded sizes."""
+    left = {k: v for k, v in histogram.items() if v}
+    large = sorted((x for x in left if x > capacity * SMALL), reverse=True)
+    if not large or not groups:
+        return [], []
+    members = equal_groups(large, left, groups)
+    demand = np.array([sum(left[x] for x in g) for g in members], dtype=float)
+    return members, configurations(np.array([g[0] for g in members]), demand, capacity)
+
+
+def plan(histogram: dict[int, int], capacity: int, grouping: tuple[list[list[int]], list[tuple[np.ndarray, int]]], share: float = 1.0) -> tuple[int, list[tuple[int, int, int, int, int, int]]]:
     """Number of sequences, and rows (length, lo, hi, sequence, per sequence, offset).
 
     The pieces of a length with ranks lo to hi - 1 fill ``per sequence`` places, from
-    ``offset`` on, of each sequence from ``sequence`` on.
+    ``offset`` on, of each sequence from ``sequence`` on. Each configuration is used ``share`` of its times.
     """
     left = {k: v for k, v in histogram.items() if v}
     rank = dict.fromkeys(left, 0)
@@ -141,22 +154,18 @@ def plan(histogram: dict[int, int], capacity: int, groups: int) -> tuple[int, li
         return done
 
     lengths = sorted(left, reverse=True)
-    large = sorted((x for x in left if x > capacity * SMALL), reverse=True)
-    if large and groups:
-        members = equal_groups(large, left, groups)
-        sizes = np.array([g[0] for g in members])
-        demand = np.array([sum(left[x] for x in g) for g in members], dtype=float)
-        for shape, times in configurations(sizes, demand, capacity):
-            slots = np.repeat(np.arange(len(sizes)), shape)
-            times = min(times, sum(left[x] for x in members[slots[0]]))
-            runs = [(opened, opened + times, 0)]  # first, end, used
-            opened += times
-            for g in slots[:-1]:
-                runs = fill(runs, lambda room, g=g: next((x for x in members[g] if left[x]), None))
-            # the last place of a configuration goes to the actual length that leaves least room, and so on
-            runs = fill(runs, lambda room: next((x for x in lengths if x <= room and left[x]), None), again=True)
-            for lo, hi, used in runs:
-                room.setdefault(capacity - used, []).append((lo, hi))
+    members, shapes = grouping
+    for shape, times in shapes:
+        slots = np.repeat(np.arange(len(shape)), shape)
+        times = min(int(times * share), sum(left[x] for x in members[slots[0]]))
+        runs = [(opened, opened + times, 0)]  # first, end, used
+        opened += times
+        for g in slots[:-1]:
+            runs = fill(runs, lambda room, g=g: next((x for x in members[g] if left[x]), None))
+        # the last place of a configuration goes to the actual length that leaves least room, and so on
+        runs = fill(runs, lambda room: next((x for x in lengths if x <= room and left[x]), None), again=True)
+        for lo, hi, used in runs:
+            room.setdefault(capacity - used, []).append((lo, hi))
     for x in sorted(left, reverse=True):
         while left[x]:
             r = min((r for r in room if r >= x and room[r]), default=0)
@@ -181,32 +190,40 @@ def plan(histogram: dict[int, int], capacity: int, groups: int) -> tuple[int, li
     return opened, rows
 
 
+def best_plan(histogram: dict[int, int], capacity: int) -> tuple[int, list[tuple[int, int, int, int, int, int]]]:
+    return min((plan(histogram, capacity, grouping, share) for grouping in [grouped(histogram, capacity, g) for g in GROUPS] for share in SHARES), key=lambda p: p[0])
+
+
 def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with a sequence_id and an offset for each row; ``length`` is 1 to ``capacity``.
 
-    Rows that are equal in ``order`` are told apart by nothing and may swap places; each still
+    A piece of ``capacity`` is a sequence of its own and isn't shuffled. Rows that are equal in
+    ``order`` are told apart by nothing and may swap places; each still
     has its own. An empty table gives no rows. Other columns go along.
     """
     spark = pieces.sparkSession
     rows = cut(pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(BUCKETS)).cast("int")), "pieces")
-    counts = cut(rows.groupBy("length", "_bucket").count(), "lengths")
-    histogram = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    if any(not 1 <= x <= capacity for x in histogram):
+    counts = cut(rows.where(rows["length"].isNull() | (F.col("length") != capacity)).groupBy("length", "_bucket").count(), "lengths")
+    histogram = {r["length"]: int(r["n"]) for r in counts.groupBy("length").agg(F.sum("count").alias("n")).orderBy("length").limit(capacity + 1).collect()}
+    if any(x is None or not 1 <= x < capacity for x in histogram):
         raise ValueError(f"lengths must be 1 to {capacity}")
-    places = min((plan(histogram, capacity, g) for g in GROUPS), key=lambda p: p[0])[1]
-    # at most BUCKETS rows a length, and a plan that depends on the capacity: both of bounded size
+    opened, places = best_plan(histogram, capacity)
+    # at most BUCKETS rows a length; the join finds both sides dealt by its keys already
     w = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("_base", F.coalesce(F.sum("count").over(w), F.lit(0))).drop("count")
-    planned = spark.createDataFrame(places, "length long, _lo long, _hi long, _first long, _each long, _used long")
+    planned = spark.createDataFrame(places, "_length long, _lo long, _hi long, _first long, _each long, _used long")  # its size depends on the capacity
     nth = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*order)) - 1
-    ranked = rows.withColumn("_nth", nth).join(F.broadcast(bases), ["length", "_bucket"]).withColumn("_rank", F.col("_base") + F.col("_nth"))
-    found = ranked.join(F.broadcast(planned), (ranked["length"] == planned["length"]) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))).drop(planned["length"])
+    ranked = rows.where(F.col("length") < capacity).withColumn("_nth", nth).join(bases, ["length", "_bucket"]).withColumn("_rank", F.col("_base") + F.col("_nth"))
+    found = ranked.join(F.broadcast(planned), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
     t = F.col("_rank") - F.col("_lo")
-    return found.select(
+    placed = found.select(
         *pieces.columns,
         (F.col("_first") + F.floor(t / F.col("_each"))).cast("long").alias("sequence_id"),
         (F.col("_used") + (t % F.col("_each")) * F.col("length")).cast("long").alias("offset"),
     )
+    # the written table's splits are the same in any attempt, and so are these numbers
+    full = rows.where(F.col("length") == capacity).select(*pieces.columns, (F.monotonically_increasing_id() + opened).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return full.unionByName(placed)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

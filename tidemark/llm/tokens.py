@@ -1,74 +1,135 @@
 """Token ids of whole texts with a public byte-level BPE of the ``tokenizers`` library.
 
-The vocabulary's pre-tokenizer never lets a token run from a visible character into white
-space, so a text can be cut before each single blank and the cuts encoded on their own.
-Natural text repeats most of these cuts: each one is encoded by the library once per
-worker and its ids are kept as bytes, up to ``KEPT`` of them, and a text's ids are then one
-join of bytes. Runs of white space that the cut rule doesn't cover stay in one piece.
+The vocabulary's pre-tokenizer never lets a piece run from a visible character into white
+space, nor from a letter into a character that isn't one. So texts can be cut at such places
+and the cuts encoded on their own. The cuts of a batch are found on its bytes with numpy
+and made distinct by Arrow, without a Python object for each; only the distinct ones are looked up,
+and those not met before go to the library. A cut that is one piece (letters after at most one blank)
+goes to the library's BPE model, any other one to the whole tokenizer.
+
+A worker remembers cuts of at most ``LONGEST`` bytes in two generations of ``KEPT``: when the newer
+one is full it becomes the older one, and what is met again moves back. So its memory is bounded
+and what texts keep repeating stays. Texts are handled in strips of about ``STRIP`` bytes, so
+that a very long one takes no more than its ids.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Cuts whose ids a worker keeps; then it starts anew.
-KEPT = 100_000
-ODD_SPACE = re.compile(r"\s \s| {2}")
-BEFORE_BLANK = re.compile(r"(?<=\S)(?= )")
+KEPT, LONGEST, STRIP = 300_000, 48, 4 << 20
+SPACE, LETTER, ASCII = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool), np.arange(256) < 128
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: No cut follows these: white space, what some call white space, and the lead bytes of white space beyond ASCII.
+UNSURE = SPACE.copy()
+UNSURE[28:32] = True
+#: Characters up to here are letters in any version of the Unicode tables.
+LATIN = "ɏ"
 
 
-class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+def byte_letters() -> list[str]:
+    """The character that a byte-level vocabulary writes for each byte: itself if visible, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
+BYTES = dict(enumerate(byte_letters()))
+
 
+def cut_places(raw: np.ndarray) -> np.ndarray:
+    """Whether a cut may start at each byte; the first three bytes are context only."""
+    now, before = raw[3:], raw[2:-1]
+    beyond = (before >= 128) & ((raw[1:-2] == 0xC2) | (raw[:-3] >= 0xE1) & (raw[:-3] <= 0xE3))
+    return SPACE[now] & ~UNSURE[before] & ~beyond | LETTER[before] & ASCII[now] & ~LETTER[now]
+
+
+class Encoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def parts(self, text: str) -> list[str]:
-        if ODD_SPACE.search(text):
-            return BEFORE_BLANK.split(text)
-        head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
-
-    def learn(self, cuts: set[str]) -> None:
-        """Ids of cuts not met before: the library's pre-tokenizer, then its model on each piece."""
-        split, model, ids = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize, self.pieces
-        if len(ids) > KEPT:
-            ids.clear()
-        for x in cuts:
-            out = b""
-            for piece, _ in split(x):
-                found = ids.get(piece)
-                if found is None:
-                    found = ids[piece] = array("I", [t.id for t in model(piece)]).tobytes()
-                out += found
-            self.known[x] = out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = {i: t for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        cuts = [[] if i in whole else self.parts(t) if t else [] for i, t in enumerate(texts)]
-        if len(self.known) > KEPT:
-            self.known.clear()
-        known = self.known
-        self.learn({x for c in cuts for x in c if x not in known})
-        out = [b"".join([known[x] for x in c]) for c in cuts]
-        for i, ids in zip(whole, self.direct(list(whole.values())), strict=True):
-            out[i] = ids
-        return out
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def direct(self, cut: bytes) -> bytes:
+        """Ids of a cut, as little-endian unsigned 32-bit bytes, by the library."""
+        text = cut.decode()
+        letters = text[1:] if text[0] == " " else text
+        if letters.isalpha() and (letters.isascii() or max(letters) <= LATIN):
+            ids = [t.id for t in self.model.tokenize(cut.decode("latin-1").translate(BYTES))]
+        else:
+            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return array("I", ids).tobytes()
+
+    def lookup(self, cut: bytes) -> bytes:
+        found = self.new.get(cut)
+        if found is None:
+            found = self.old.get(cut)
+            if found is None:
+                found = self.direct(cut)
+            if len(cut) <= LONGEST:
+                if len(self.new) >= KEPT:
+                    self.old, self.new = self.new, {}
+                self.new[cut] = found
+        return found
+
+    def strip(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the cuts of ``raw`` that begin at ``starts``, and the number of ids before each."""
+        edges = np.append(starts, len(raw)).astype(np.int32)
+        cuts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(raw)]).dictionary_encode()
+        found = [self.lookup(x) for x in cuts.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        code = cuts.indices.to_numpy()
+        n = sizes[code]
+        before = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+        at = np.repeat((np.cumsum(sizes) - sizes)[code] - before[:-1], n) + np.arange(before[-1])
+        return np.frombuffer(b"".join(found), dtype="<u4")[at], before
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and where each text's begin (and the last one's end); a null text is empty."""
+        texts = column.cast(pa.string()).fill_null("")
+        bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        raw = np.concatenate((np.full(3, 32, np.uint8), data))
+        whole = np.zeros(len(texts), dtype=bool)  # texts with a special token's string are one cut
+        for s in self.special:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        first = np.zeros(len(data) + 1, dtype=bool)
+        first[bounds] = True
+        parts, offsets, lo, held, size = [], np.zeros(len(bounds), np.int64), 0, 0, STRIP
+        while lo < len(data):
+            hi = min(len(data), lo + size)
+            may = cut_places(raw[lo : hi + 3])
+            for i in np.flatnonzero(whole & (bounds[:-1] < hi) & (bounds[1:] > lo)):
+                may[max(0, bounds[i] - lo) : max(0, bounds[i + 1] - lo)] = False
+            may |= first[lo:hi]
+            may[0] = True
+            starts = np.flatnonzero(may)
+            if hi < len(data):
+                if len(starts) == 1:
+                    size *= 2  # no place to cut: a longer strip
+                    continue
+                hi, starts = lo + int(starts[-1]), starts[:-1]
+            size = STRIP
+            ids, before = self.strip(data[lo:hi], starts)
+            inside = slice(*np.searchsorted(bounds, (lo, hi)))
+            offsets[inside] = held + before[np.searchsorted(starts, bounds[inside] - lo)]
+            parts.append(ids)
+            held += len(ids)
+            lo = hi
+        offsets[np.searchsorted(bounds, len(data)) :] = held
+        return np.concatenate(parts) if parts else np.zeros(0, "<u4"), offsets
 
 
 ENCODERS: dict[str, Encoder] = {}
@@ -81,9 +142,7 @@ def encoder(path: str) -> Encoder:
     return ENCODERS[path]
 
 
-def encoded(batch: pa.RecordBatch, column: int, path: str, size: int = 256) -> Iterator[tuple[int, bytes]]:
-    """(row, ids) for each row of ``batch``; a null text counts as empty."""
-    texts = batch.column(column).to_pylist()
-    for lo in range(0, len(texts), size):
-        for i, ids in enumerate(encoder(path).encode([t or "" for t in texts[lo : lo + size]])):
-            yield lo + i, ids
+def ended(column: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, each with ``end_id`` last, in one array, and where each text's begin (and the last one's end)."""
+    ids, offsets = encoder(path).encode(column)
+    return np.insert(ids, offsets[1:], end_id), offsets + np.arange(len(offsets))
