@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import ann, decontam, html, licenses, packing, quality, sharding, simhash, token_files, tokens, toxicity
+from tidemark.llm import ann, html, licenses, packing, quality, sharding, simhash, token_files, tokens, toxicity
 from tidemark.llm.common import components, shared_dir
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -346,66 +346,6 @@ def test_classifiers_on_held_out_rows(spark, which, docs, empty):
     assert score(docs, nothing).count() == docs.count() and keep(docs, nothing).count() == docs.count()
 
 
-def slow_distance(a, b):
-    """Least edit distance of ``a`` to any stretch of ``b``."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        new = [row[0] + 1]
-        for j, y in enumerate(b):
-            new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (x != y)))
-        row = new
-    return min(row)
-
-
-def test_decontamination(spark, docs, empty):
-    rng = random.Random(4)
-    items = [(i, words(rng, rng.randrange(14, 50))) for i in range(12)] + [(90, None), (91, ""), (92, "ka ti"), (93, "tor sol mel na isu")]
-    rows = []
-    for i, t in items[:12]:
-        w = t.split()
-        for p in rng.sample(range(len(w)), len(w) // 12):
-            w[p] = words(rng, 1)
-        rows += [(10 * i, f"{words(rng, 80)} {t.upper()}, {words(rng, 80)}"), (10 * i + 1, f"{words(rng, 30)} {' '.join(w)} {words(rng, 30)}"), (10 * i + 2, words(rng, 150))]
-    rows += [(500, None), (501, ""), (502, "... tor, sol mel na isu."), (502, "... tor, sol mel na isu.")]
-    d = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, similarity double")
-    bench = spark.createDataFrame([(*r, 0) for r in items], "item_id long, text string, doc_id int")
-    got = decontam.contaminated(d, bench).collect()
-    flat = lambda t: b" ".join(decontam.clean(t or "").split()).decode()
-    want = {(i, k) for i, t in rows for k, x in items if x and len(x.split()) >= 4 and t and slow_distance(flat(x), flat(t)) <= 0.2 * len(flat(x)) + 1e-9}
-    found = {(r["doc_id"], r["item_id"]) for r in got}
-    # an item of five words has few samples: its copies are found, a chance likeness need not be
-    assert found <= want and {x for x in want if x[1] != 93} <= found and (502, 93) in found and len(got) == len(found) + 1
-    text, item = dict(rows), dict(items)
-    assert all(text[r["doc_id"]][r["start"] : r["end"]].lower().split() == item[r["item_id"]].split() for r in got if r["doc_id"] % 10 == 0 and r["distance"] == 0 and r["doc_id"] < 500)
-    left = decontam.decontaminate(d, bench)
-    assert left.columns == d.columns and {r["doc_id"] for r in left.collect()} == {i for i, _ in rows} - {i for i, _ in found}
-    assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("edit", ["typo in each word", "typos anywhere", "words"])
-def test_decontamination_recall(edit):
-    rng = random.Random(8)
-    items = [(i, words(rng, n)) for i, n in enumerate([7, 8, 9, 10, 12, 14, 20, 30, 45, 60] * 4)]
-    index, found, near = decontam.index_items(items), Counter(), Counter()
-    for i, t in items:
-        w = t.split()
-        if edit == "words":
-            for p in rng.sample(range(len(w)), len(w) // 6):
-                w[p] = words(rng, 1)
-        elif edit == "typo in each word":
-            w = [x[:p] + "x" + x[p + 1 :] for x in w for p in [rng.randrange(len(x))]]
-        else:
-            x = list(t)
-            for p in rng.sample(range(len(x)), len(x) // 6):
-                x[p] = "x"
-            w = ["".join(x)]
-        text = f"{words(rng, 50)} {' '.join(w)} {words(rng, 50)}"
-        if slow_distance(t, decontam.clean(text).decode()) <= 0.2 * len(t) + 1e-9:
-            near[len(t) > 100] += 1
-            found[len(t) > 100] += i in [r[1] for r in decontam.search([text], index, 0.8)]
-    assert min(near[False], near[True]) > 5 and all(found[k] >= 0.97 * near[k] for k in near)
-
-
 def test_neighbours(spark):
     rng = np.random.default_rng(6)
     x = np.concatenate((rng.normal(0, 1, (6, 8))[rng.integers(0, 6, 900)] * 3 + rng.normal(0, 0.5, (900, 8)), np.ones((300, 8)))).astype("float32")
