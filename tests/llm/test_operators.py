@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from collections import Counter
+from html import unescape
 from pathlib import Path
 
 import numpy as np
@@ -289,6 +291,28 @@ def test_html_furniture_without_end_tags():
         assert html.main_text(page) == next((w for k, w in want.items() if k in page), text)
 
 
+def test_html_furniture_without_a_name_goes_by_its_ratio():
+    text = "".join(f"<p>Some sentence of the page, and then more of it, number {k}. And another one.</p>" for k in range(6))
+    links = "".join(f"<li><a href=/{k}>Go {k}</a></li>" for k in range(8))
+    for page in (f"<div class=x1><ul>{links}</ul></div><div class=x2>{text}</div><div class=x3>Like it</div>", f"<div class=x1>Buy this thing now, or else.</div><article>{text}</article><div class=x3>Some notice of the law, of one line.</div>"):
+        got = html.main_text(f"<html><body>{page}</body></html>")
+        assert got.split("\n\n") == [x for x in html.re.sub(r"<[^>]*>", "\n", text).split("\n") if x]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test tables")
+@pytest.mark.parametrize("tags", [False, True])
+def test_html_names_and_tags_are_only_a_feature(monkeypatch, tags):
+    pages = pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["html"])["html"].to_pylist()[:1200]
+    article = [re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]*>", " ", x[x.index("<article>") : x.index("</article>")]))).strip() if "</article>" in (x or "") else None for x in pages]
+    want = [html.main_text(x) for x in pages]
+    assert sum(a is not None for a in article) > 1000 and all(a is None or a.split() == w.split() for a, w in zip(article, want, strict=True))
+    monkeypatch.setattr(html, "NAMES", frozenset())
+    if tags:
+        monkeypatch.setattr(html, "ROLES", frozenset())
+        monkeypatch.setattr(html, "DROPPED", html.RAW | {"head"})
+    assert sum(html.main_text(x) != w for x, w in zip(pages, want, strict=True)) <= 0.005 * len(pages)
+
+
 def test_licenses(spark):
     mit = licenses.MIT.replace("\n", "\n  ").upper().replace("SUBLICENSE", "sub-licence")
     rows = [(1, "Copyright (c) 2020 A. Nother\n\n" + mit, "x"), (2, "Prose.\nReleased under the MIT licence!\nLicensed under CC BY 4.0.", "x"), (3, None, "x"), (4, "", "x"), (2, "Prose.", "x"), (5, "word " * 200000, "x"), (6, licenses.BSD_CONDITIONS + licenses.BSD_DISCLAIMER, "x")]

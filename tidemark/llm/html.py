@@ -2,16 +2,18 @@
 
 A page is read once, tag by tag, into blocks of text: the text under one block element,
 inline markup ignored, white space made one space. Each block has a root-to-leaf tag path.
-Elements that carry page furniture by their name, role, class or id (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, comments) are left out with all they hold,
-unless that is the page's first article or main, or, on pages with neither outside of them, most of the text.
-Class and id names count as whole. An element without an end tag ends where HTML says, inside furniture too.
-For each path the text length and the punctuation are added up; the ratios per block are
-smoothed over neighbouring blocks in page order and fused with those of the container that
-the path lies in. Paths whose fused ratio reaches a share of the page's best are content, and so
+What is no text (scripts, styles, the head) isn't read. For each path the text length and the punctuation
+are added up; the ratios per block are smoothed over neighbouring blocks in page order and fused with those
+of the container that the path lies in. Paths whose fused ratio reaches a share of the page's best are content, and so
 is what lies with them in one article, main or other container below the body; lists, tables,
 captions and headings also where a container further out, or the body, holds both.
 
+Two features weigh a path's ratio. A path through an element that carries a name of page furniture as its tag, role, class
+or id (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) counts ``MARKED``, unless that
+element holds the page's first article or main, or, on pages with neither outside of them, most of the text; such a path is content
+only by its own ratio. On a page with an article or main, a path outside of them counts ``OUTSIDE``. Class and id
+names count as whole. An element without an end tag ends where HTML says, inside furniture too.
+
 Null, empty and text-free pages give an empty text. Rows are handled one by one: repeated rows give
 equal results, extra columns are ignored.
 """
@@ -52,7 +54,9 @@ NAMES = frozenset(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: A path is content from this share of the best fused ratio; weight of each neighbour.
 SHARE, WEIGHT = 0.1, 0.25
-ROOTS = frozenset(("html", "body"))
+#: What the ratio of a path counts through furniture, and outside of the page's articles and main.
+MARKED, OUTSIDE = 1 / 1024, 1 / 256
+ROOTS, MAIN = frozenset(("html", "body")), frozenset(("article", "main"))
 STRUCTURE = frozenset("ul ol dl li dt dd table caption thead tbody tfoot tr td th figure figcaption blockquote pre h1 h2 h3 h4 h5 h6".split())
 
 
@@ -75,8 +79,12 @@ class Furniture:
     main: bool = False  # holds the page's first article or main
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
-    """(tag path, text) of each block outside furniture, in page order."""
+#: A tag path, and the furniture around the text.
+Path = tuple[tuple[str, ...], tuple[str, ...]]
+
+
+def blocks(page: str) -> list[list[tuple[Path, str]]]:
+    """The pieces of each block, with their paths, in page order; a block has more than one piece if furniture lies within it."""
     found: list[tuple[tuple[str, ...], list[tuple[str, tuple[Furniture, ...]]]]] = []
     stack: list[str] = []  # open block elements, and all elements that may be furniture
     opened: list[tuple[int, Furniture]] = []  # those that may be furniture, with their depth in the stack
@@ -161,9 +169,14 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
     flush()
     out = []
     for path, pieces in found:
-        kept = [text for text, inside in pieces if all(f.main or not main and f.name not in FIRM and 2 * f.size > total for f in inside)]
-        if text := SPACE.sub(" ", unescape("".join(kept))).strip():
-            out.append((path, text))
+        texts: list[tuple[Path, str]] = []
+        for text, inside in pieces:
+            marks = tuple(f.name for f in inside if not (f.main or not main and f.name not in FIRM and 2 * f.size > total))
+            if texts and texts[-1][0][1] == marks:
+                texts[-1] = (texts[-1][0], texts[-1][1] + text)
+            else:
+                texts.append(((path, marks), text))
+        out.append(texts)
     return out
 
 
@@ -175,33 +188,54 @@ def with_content(path: tuple[str, ...], holders: set[tuple[str, ...]], around: s
     return outer is not None and path[:outer] in around
 
 
-def main_text(page: str | None) -> str:
-    """The text of the page's content blocks, joined by blank lines."""
-    found = blocks(page or "")
-    if not found:
-        return ""
-    total: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
-    inside: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
+def plain(text: str) -> str:
+    return SPACE.sub(" ", unescape(text)).strip()
+
+
+def scores(found: list[tuple[Path, str]]) -> dict[Path, float]:
+    """The best fused and weighed ratio of each path."""
+    total: dict[Path, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
+    inside: dict[Path, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
+    holder = lambda path: (path[0][:-1], path[1])
     for path, text in found:
         marks = len(PUNCTUATION.findall(text))
-        for sums in (total[path], inside[path[:-1]]):
+        for sums in (total[path], inside[holder(path)]):
             for k, v in enumerate((len(text), marks, 1)):
                 sums[k] += v
     ratio = lambda s: s[0] / s[2] * (1 + s[1] / s[2])
-    own = np.array([ratio(total[p]) for p, _ in found])
+    primary = {path: not MAIN.isdisjoint(path[0]) for path in total}
+    weight = {path: (MARKED if path[1] else 1) * (1 if primary[path] or not any(primary.values()) else OUTSIDE) for path in total}
+    own = np.array([ratio(total[p]) * weight[p] for p, _ in found])
     padded = np.concatenate((own[:1], own, own[-1:]))
     smooth = (1 - 2 * WEIGHT) * own + WEIGHT * (padded[:-2] + padded[2:])
-    fused = np.sqrt(smooth * np.array([ratio(inside[p[:-1]]) for p, _ in found]))
-    best: dict[tuple[str, ...], float] = {}
+    fused = [np.sqrt(min(v, 2 * o) * ratio(inside[holder(p)]) * weight[p]) for (p, _), v, o in zip(found, smooth, own, strict=True)]
+    best: dict[Path, float] = {}
     for (path, _), f in zip(found, fused, strict=True):
         best[path] = max(best.get(path, 0.0), f)
+    return best
+
+
+def content(best: dict[Path, float]) -> dict[Path, bool]:
+    """Which paths are content; none, if all lie in furniture."""
+    if all(path[1] for path in best):
+        return {}
     least = SHARE * max(best.values())
-    good = [path for path, b in best.items() if b >= least]
+    good = [path for (path, _), b in best.items() if b >= least]
     around = {path[:k] for path in good for k in range(len(path) + 1)}
     holders = {path[:-1] for path in good if path and not ROOTS.issuperset(path[:-1])}
-    holders |= {path[: k + 1] for path in good for k, name in enumerate(path) if name in ("article", "main")}
-    kept = {path: b >= least or with_content(path, holders, around) for path, b in best.items()}
-    return "\n\n".join(text for path, text in found if kept[path])
+    holders |= {path[: k + 1] for path in good for k, name in enumerate(path) if name in MAIN}
+    return {path: b >= least or not path[1] and with_content(path[0], holders, around) for path, b in best.items()}
+
+
+def main_text(page: str | None) -> str:
+    """The text of the page's content blocks, joined by blank lines."""
+    found = blocks(page or "")
+    units = [(path, text) for pieces in found for path, piece in pieces if (text := plain(piece))]
+    if not units:
+        return ""
+    kept = content(scores(units))
+    texts = (plain("".join(piece for path, piece in pieces if kept.get(path))) for pieces in found)
+    return "\n\n".join(t for t in texts if t)
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
