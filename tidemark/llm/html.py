@@ -6,9 +6,9 @@ What is no text (scripts, styles, the head) isn't read. For each path the text l
 are added up; the ratios per block are smoothed over neighbouring blocks in page order and fused with those
 of the container that the path lies in. Paths whose fused ratio reaches a share of the page's best are content, and so
 is what lies with them in one article, main or other container below the body; lists, tables,
-captions and headings also where a container further out, or the body, holds both.
+captions and headings, if not mostly links, also where a container further out, or the body, holds both.
 
-Two features weigh a path's ratio. A path through an element that carries a name of page furniture as its tag, role, class
+Text in links doesn't count as length. Two more features weigh a path's ratio. A path through an element that carries a name of page furniture as its tag, role, class
 or id (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) counts ``MARKED``, unless that
 element holds the page's first article or main, or, on pages with neither outside of them, most of the text; such a path is content
 only by its own ratio. On a page with an article or main, a path outside of them counts ``OUTSIDE``. Class and id
@@ -83,13 +83,20 @@ class Furniture:
 Path = tuple[tuple[str, ...], tuple[str, ...]]
 
 
-def blocks(page: str) -> list[list[tuple[Path, str]]]:
-    """The pieces of each block, with their paths, in page order; a block has more than one piece if furniture lies within it."""
-    found: list[tuple[tuple[str, ...], list[tuple[str, tuple[Furniture, ...]]]]] = []
+@dataclass
+class Piece:
+    path: Path
+    text: str
+    linked: int = 0  # characters in links
+
+
+def blocks(page: str) -> list[list[Piece]]:
+    """The pieces of each block, in page order; a block has more than one piece if furniture lies within it."""
+    found: list[tuple[tuple[str, ...], list[tuple[str, tuple[Furniture, ...], bool]]]] = []
     stack: list[str] = []  # open block elements, and all elements that may be furniture
     opened: list[tuple[int, Furniture]] = []  # those that may be furniture, with their depth in the stack
-    held: list[tuple[str, tuple[Furniture, ...]]] = []
-    main = False
+    held: list[tuple[str, tuple[Furniture, ...], bool]] = []
+    main = link = False
     total = at = 0
 
     def flush() -> None:
@@ -100,7 +107,7 @@ def blocks(page: str) -> list[list[tuple[Path, str]]]:
     def hold(text: str) -> None:
         nonlocal total
         if text:
-            held.append((text, tuple(f for _, f in opened)))
+            held.append((text, tuple(f for _, f in opened), link))
             size = len(SPACE.sub(" ", text).strip())
             total += size
             for _, f in opened:
@@ -139,6 +146,10 @@ def blocks(page: str) -> list[list[tuple[Path, str]]]:
             else:
                 flush()
             continue
+        if name == "a":
+            link = not closing
+        elif name not in INLINE:
+            link = False
         marked = not closing and furniture(name, m[3])
         if name in INLINE and not marked and name not in stack:
             continue
@@ -169,54 +180,55 @@ def blocks(page: str) -> list[list[tuple[Path, str]]]:
     flush()
     out = []
     for path, pieces in found:
-        texts: list[tuple[Path, str]] = []
-        for text, inside in pieces:
+        texts: list[Piece] = []
+        for text, inside, linked in pieces:
             marks = tuple(f.name for f in inside if not (f.main or not main and f.name not in FIRM and 2 * f.size > total))
-            if texts and texts[-1][0][1] == marks:
-                texts[-1] = (texts[-1][0], texts[-1][1] + text)
-            else:
-                texts.append(((path, marks), text))
+            if not texts or texts[-1].path[1] != marks:
+                texts.append(Piece((path, marks), ""))
+            texts[-1].text += text
+            texts[-1].linked += len(text) * linked
         out.append(texts)
     return out
 
 
-def with_content(path: tuple[str, ...], holders: set[tuple[str, ...]], around: set[tuple[str, ...]]) -> bool:
-    """Whether ``path`` lies in a container of content, or is a list, table, caption or heading beside such."""
-    if any(path[:k] in holders for k in range(len(path) + 1)):
+def with_content(path: tuple[str, ...], links: bool, holders: set[tuple[str, ...]], around: set[tuple[str, ...]]) -> bool:
+    """Whether ``path`` lies in a container of content, or is a list, table, caption or heading beside such; ``links`` only within an article or main."""
+    within = [path[:k] for k in range(len(path) + 1) if path[:k] in holders]
+    if within and not (links and MAIN.isdisjoint(within[-1])):
         return True
     outer = next((k for k, name in enumerate(path) if name in STRUCTURE), None)
-    return outer is not None and path[:outer] in around
+    return not links and outer is not None and path[:outer] in around
 
 
 def plain(text: str) -> str:
     return SPACE.sub(" ", unescape(text)).strip()
 
 
-def scores(found: list[tuple[Path, str]]) -> dict[Path, float]:
-    """The best fused and weighed ratio of each path."""
+def scores(found: list[Piece]) -> dict[Path, float]:
+    """The best fused and weighed ratio of each path; text in links doesn't count as text length."""
     total: dict[Path, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
     inside: dict[Path, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
     holder = lambda path: (path[0][:-1], path[1])
-    for path, text in found:
-        marks = len(PUNCTUATION.findall(text))
-        for sums in (total[path], inside[holder(path)]):
-            for k, v in enumerate((len(text), marks, 1)):
+    for x in found:
+        marks = len(PUNCTUATION.findall(x.text))
+        for sums in (total[x.path], inside[holder(x.path)]):
+            for k, v in enumerate((max(1, len(x.text) - x.linked), marks, 1)):
                 sums[k] += v
     ratio = lambda s: s[0] / s[2] * (1 + s[1] / s[2])
     primary = {path: not MAIN.isdisjoint(path[0]) for path in total}
     weight = {path: (MARKED if path[1] else 1) * (1 if primary[path] or not any(primary.values()) else OUTSIDE) for path in total}
-    own = np.array([ratio(total[p]) * weight[p] for p, _ in found])
+    own = np.array([ratio(total[x.path]) * weight[x.path] for x in found])
     padded = np.concatenate((own[:1], own, own[-1:]))
     smooth = (1 - 2 * WEIGHT) * own + WEIGHT * (padded[:-2] + padded[2:])
-    fused = [np.sqrt(min(v, 2 * o) * ratio(inside[holder(p)]) * weight[p]) for (p, _), v, o in zip(found, smooth, own, strict=True)]
+    fused = [np.sqrt(min(v, 2 * o) * ratio(inside[holder(x.path)]) * weight[x.path]) for x, v, o in zip(found, smooth, own, strict=True)]
     best: dict[Path, float] = {}
-    for (path, _), f in zip(found, fused, strict=True):
-        best[path] = max(best.get(path, 0.0), f)
+    for x, f in zip(found, fused, strict=True):
+        best[x.path] = max(best.get(x.path, 0.0), f)
     return best
 
 
-def content(best: dict[Path, float]) -> dict[Path, bool]:
-    """Which paths are content; none, if all lie in furniture."""
+def content(best: dict[Path, float], links: set[Path]) -> dict[Path, bool]:
+    """Which paths are content, given those that hold mostly ``links``; none, if all lie in furniture."""
     if all(path[1] for path in best):
         return {}
     least = SHARE * max(best.values())
@@ -224,17 +236,21 @@ def content(best: dict[Path, float]) -> dict[Path, bool]:
     around = {path[:k] for path in good for k in range(len(path) + 1)}
     holders = {path[:-1] for path in good if path and not ROOTS.issuperset(path[:-1])}
     holders |= {path[: k + 1] for path in good for k, name in enumerate(path) if name in MAIN}
-    return {path: b >= least or not path[1] and with_content(path[0], holders, around) for path, b in best.items()}
+    return {path: b >= least or not path[1] and with_content(path[0], path in links, holders, around) for path, b in best.items()}
 
 
 def main_text(page: str | None) -> str:
     """The text of the page's content blocks, joined by blank lines."""
     found = blocks(page or "")
-    units = [(path, text) for pieces in found for path, piece in pieces if (text := plain(piece))]
+    units = [Piece(x.path, text, x.linked) for pieces in found for x in pieces if (text := plain(x.text))]
     if not units:
         return ""
-    kept = content(scores(units))
-    texts = (plain("".join(piece for path, piece in pieces if kept.get(path))) for pieces in found)
+    held: dict[Path, list[int]] = defaultdict(lambda: [0, 0])
+    for x in units:
+        held[x.path][0] += len(x.text)
+        held[x.path][1] += x.linked
+    kept = content(scores(units), {path for path, (n, linked) in held.items() if 2 * linked > n})
+    texts = (plain("".join(x.text for x in pieces if kept.get(x.path))) for pieces in found)
     return "\n\n".join(t for t in texts if t)
 
 
