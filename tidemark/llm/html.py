@@ -86,14 +86,16 @@ Path = tuple[tuple[str, ...], tuple[str, ...]]
 @dataclass
 class Piece:
     path: Path
+    inside: tuple[int, ...]  # numbers of the elements of the tag path
     text: str
     linked: int = 0  # characters in links
 
 
 def blocks(page: str) -> list[list[Piece]]:
     """The pieces of each block, in page order; a block has more than one piece if furniture lies within it."""
-    found: list[tuple[tuple[str, ...], list[tuple[str, tuple[Furniture, ...], bool]]]] = []
+    found: list[tuple[list[str], list[int], list[tuple[str, tuple[Furniture, ...], bool]]]] = []
     stack: list[str] = []  # open block elements, and all elements that may be furniture
+    numbers: list[int] = []  # of these, where they start in the page
     opened: list[tuple[int, Furniture]] = []  # those that may be furniture, with their depth in the stack
     held: list[tuple[str, tuple[Furniture, ...], bool]] = []
     main = link = False
@@ -101,7 +103,8 @@ def blocks(page: str) -> list[list[Piece]]:
 
     def flush() -> None:
         if held:
-            found.append((tuple(x for x in stack if x not in INLINE), held.copy()))
+            of = [k for k, x in enumerate(stack) if x not in INLINE]
+            found.append(([stack[k] for k in of], [numbers[k] for k in of], held.copy()))
             held.clear()
 
     def hold(text: str) -> None:
@@ -115,6 +118,7 @@ def blocks(page: str) -> list[list[Piece]]:
 
     def pop() -> str:
         name = stack.pop()
+        numbers.pop()
         while opened and opened[-1][0] > len(stack):
             opened.pop()
         return name
@@ -171,6 +175,7 @@ def blocks(page: str) -> list[list[Piece]]:
             while stack and stack[-1] in CLOSES.get(name, ()):
                 pop()
         stack.append(name)
+        numbers.append(at)
         if marked:
             opened.append((len(stack), Furniture(name)))
         if name in ("article", "main") and not main:
@@ -179,27 +184,18 @@ def blocks(page: str) -> list[list[Piece]]:
                 f.main = True
     flush()
     out = []
-    for path, pieces in found:
+    for path, inside, pieces in found:
         texts: list[Piece] = []
-        for text, inside, linked in pieces:
-            marks = tuple(f.name for f in inside if not (f.main or not main and f.name not in FIRM and 2 * f.size > total))
+        for text, around, linked in pieces:
+            marks = tuple(f.name for f in around if not (f.main or not main and f.name not in FIRM and 2 * f.size > total))
             if not texts or texts[-1].path[1] != marks:
-                texts.append(Piece((path, marks), ""))
+                texts.append(Piece((tuple(path), marks), tuple(inside), ""))
             texts[-1].text += text
             texts[-1].linked += len(text) * linked
         out.append(texts)
     return out
 
 
-def with_content(path: tuple[str, ...], links: bool, holders: set[tuple[str, ...]], around: set[tuple[str, ...]]) -> bool:
-    """Whether ``path`` lies in a container of content, or is a list, table, caption or heading beside such; ``links`` only within an article or main."""
-    within = [path[:k] for k in range(len(path) + 1) if path[:k] in holders]
-    if within and not (links and MAIN.isdisjoint(within[-1])):
-        return True
-    outer = next((k for k, name in enumerate(path) if name in STRUCTURE), None)
-    return not links and outer is not None and path[:outer] in around
-
-
 def plain(text: str) -> str:
     return SPACE.sub(" ", unescape(text)).strip()
 
@@ -227,30 +223,41 @@ def scores(found: list[Piece]) -> dict[Path, float]:
     return best
 
 
-def content(best: dict[Path, float], links: set[Path]) -> dict[Path, bool]:
-    """Which paths are content, given those that hold mostly ``links``; none, if all lie in furniture."""
+def content(found: list[Piece]) -> list[bool]:
+    """Which pieces are content: those on good paths, and what lies with them; none, if all lie in furniture."""
+    best = scores(found) if found else {}
     if all(path[1] for path in best):
-        return {}
+        return [False] * len(found)
     least = SHARE * max(best.values())
-    good = [path for (path, _), b in best.items() if b >= least]
-    around = {path[:k] for path in good for k in range(len(path) + 1)}
-    holders = {path[:-1] for path in good if path and not ROOTS.issuperset(path[:-1])}
-    holders |= {path[: k + 1] for path in good for k, name in enumerate(path) if name in MAIN}
-    return {path: b >= least or not path[1] and with_content(path[0], path in links, holders, around) for path, b in best.items()}
+    good = [x for x in found if best[x.path] >= least]
+    around = {x.inside[:k] for x in good for k in range(len(x.inside) + 1)}
+    holders = {x.inside[:-1] for x in good if x.inside and not ROOTS.issuperset(x.path[0][:-1])}
+    main = {x.inside[: k + 1] for x in good for k, name in enumerate(x.path[0]) if name in MAIN}
+    held: dict[Path, list[int]] = defaultdict(lambda: [0, 0])
+    for x in found:
+        held[x.path][0] += len(x.text)
+        held[x.path][1] += x.linked
+
+    def beside(x: Piece) -> bool:
+        """In an article, main or other container of content, or a list, table, caption or heading beside such."""
+        ways = [x.inside[:k] for k in range(len(x.inside) + 1)]
+        if x.path[1] or not main.isdisjoint(ways):
+            return not x.path[1]
+        if 2 * held[x.path][1] > held[x.path][0]:
+            return False
+        outer = next((k for k, name in enumerate(x.path[0]) if name in STRUCTURE), None)
+        return not holders.isdisjoint(ways) or outer is not None and ways[outer] in around
+
+    return [best[x.path] >= least or beside(x) for x in found]
 
 
 def main_text(page: str | None) -> str:
     """The text of the page's content blocks, joined by blank lines."""
     found = blocks(page or "")
-    units = [Piece(x.path, text, x.linked) for pieces in found for x in pieces if (text := plain(x.text))]
-    if not units:
-        return ""
-    held: dict[Path, list[int]] = defaultdict(lambda: [0, 0])
-    for x in units:
-        held[x.path][0] += len(x.text)
-        held[x.path][1] += x.linked
-    kept = content(scores(units), {path for path, (n, linked) in held.items() if 2 * linked > n})
-    texts = (plain("".join(x.text for x in pieces if kept.get(x.path))) for pieces in found)
+    units = [Piece(x.path, x.inside, text, x.linked) if (text := plain(x.text)) else None for pieces in found for x in pieces]
+    keep = iter(content([x for x in units if x]))
+    kept = iter([x is None or next(keep) for x in units])
+    texts = (plain("".join(x.text for x in pieces if next(kept))) for pieces in found)
     return "\n\n".join(t for t in texts if t)
 
 
