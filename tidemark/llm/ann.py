@@ -2,7 +2,8 @@
 
 A bounded sample of vectors is made a graph of exact neighbours, and the graph is cut into
 parts of nearly equal size with few edges between them (recursive bisection, refined by balanced
-swaps). A small classifier learns which part the neighbours of a vector lie in. It names the
+swaps). The number of parts grows with the table, so that a part is of bounded size, up to
+``MOST_PARTS``; the sample grows with the parts to 65,536 vectors at most. A small classifier learns which part the neighbours of a vector lie in. It names the
 part of every row, and routes each query to its most probable parts, where the query meets the
 rows for exact distances in double precision. The model is fitted once and is of fixed size;
 every row is indexed.
@@ -25,12 +26,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
 
-#: Vectors that the index is fitted on at most, and neighbours of each in their graph.
-SAMPLE, NEIGHBOURS = 4096, 16
-PARTS, SHARE, K, SEED = 16, 4096, 10, 5
+#: Vectors that the index is fitted on: so many, more if there are so many for each part; neighbours of each in their graph.
+SAMPLE, SAMPLE_PER_PART, NEIGHBOURS = 4096, 64, 16
+#: Fewest and most parts, and distinct vectors for each; rows of a share of a part.
+PARTS, MOST_PARTS, PART_ROWS, SHARE = 16, 1024, 4096, 4096
+K, SEED = 10, 5
 #: Share of the neighbours of held-out sample vectors that the probed parts must hold; one vector in so many is held out.
 TARGET, HELD = 0.95, 8
 HIDDEN, EPOCHS, BATCH, RATE = 64, 40, 128, 0.01
+#: Queries whose distances are taken at once.
+QUERIES = 256
 
 
 @dataclass
@@ -149,7 +154,7 @@ def stacked(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 
 
-def nearest(rows: DataFrame, queries: Column, k: int = K, parts: int = PARTS, probes: int | None = None, sample: int = SAMPLE) -> DataFrame:
+def nearest(rows: DataFrame, queries: Column, k: int = K, parts: int | None = None, probes: int | None = None, sample: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the ``k`` nearest of each row that ``queries`` picks.
 
     ``rows`` has vec_id and embedding. Vectors that aren't ``usable`` or don't have the commonest
@@ -169,6 +174,11 @@ def nearest(rows: DataFrame, queries: Column, k: int = K, parts: int = PARTS, pr
     first = copies.withColumn("_salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     for by in (["h", "v", "_salt"], ["h", "v"]):
         first = first.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("vec_id"))).where(F.col("_n") <= k + 1)
+    first = cut(first, "vectors")
+    if parts is None:
+        distinct = first.where("_n = 1").count()
+        parts = min(MOST_PARTS, max(PARTS, 1 << (-(-distinct // PART_ROWS) - 1).bit_length()))
+    sample = sample or max(SAMPLE, SAMPLE_PER_PART * parts)
     picked = [np.array(r["v"]) for r in first.where("_n = 1").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()]
     shared = spark.sparkContext.broadcast(fit(np.array(picked), parts))
 
@@ -189,25 +199,32 @@ def nearest(rows: DataFrame, queries: Column, k: int = K, parts: int = PARTS, pr
     right = asked.join(plan, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.col("vec_id").alias("query_id"), "v")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found: list[pd.DataFrame] = []
+        found = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})]
         if len(a) and len(b):
-            a = a.sort_values("vec_id")
-            x, ids = stacked(a["v"]), a["vec_id"].to_numpy()
-            for q, v in zip(b["query_id"], b["v"], strict=True):
-                d = np.sqrt(((x - np.asarray(v, dtype=np.float64)) ** 2).sum(axis=1))
-                d[ids == q] = np.inf
-                top = np.argsort(d, kind="stable")[:k] if len(d) <= 4 * k else top_of(d, k)
-                top = top[np.isfinite(d[top])]
-                found.append(pd.DataFrame({"query_id": q, "vec_id": ids[top], "score": d[top]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            x, ids, y, own = stacked(a["v"]), a["vec_id"].to_numpy(), stacked(b["v"]), b["query_id"].to_numpy()
+            for lo in range(0, len(y), QUERIES):
+                q, at, score = closest(x, ids, y[lo : lo + QUERIES], own[lo : lo + QUERIES], k)
+                found.append(pd.DataFrame({"query_id": own[lo + q], "vec_id": ids[at], "score": score}))
+        return pd.concat(found[1:] or found)
 
     met = left.groupBy("part", "share", "block").cogroup(right.groupBy("part", "share", "block")).applyInPandas(meet, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def top_of(d: np.ndarray, k: int) -> np.ndarray:
-    """Places of the ``k`` smallest of ``d``, ties to the earlier place."""
-    edge = np.partition(d, k - 1)[k - 1]
-    at = np.flatnonzero(d <= edge)
-    return at[np.argsort(d[at], kind="stable")][:k]
+def closest(x: np.ndarray, ids: np.ndarray, y: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and distance of the ``k`` rows of ``x`` nearest to each of ``y``, but for its own; ties to the smaller id.
+
+    Candidates come from one matrix product, with room for its rounding; their distances are taken exactly.
+    """
+    square = (x * x).sum(axis=1)
+    d = square - 2 * (y @ x.T)  # but for the query's own square
+    d[own[:, None] == ids] = np.inf
+    edge = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+    room = 1e-9 * (square.max() + (y * y).sum(axis=1))
+    q, at = np.nonzero((d <= (edge + room)[:, None]) & np.isfinite(d))
+    score = np.sqrt(((x[at] - y[q]) ** 2).sum(axis=1))
+    order = np.lexsort((ids[at], score, q))
+    q, at, score = q[order], at[order], score[order]
+    best = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[best], at[best], score[best]
