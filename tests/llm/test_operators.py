@@ -350,6 +350,26 @@ def labelled(rng, n):
     return out
 
 
+def slow_probability(net, text):
+    """One chunk after the other."""
+    raw = text + bytes(-len(text) % quality.STEP + quality.PAD)
+    rep = [any(i - quality.RUN + 1 - lag >= 0 and all(raw[j] == raw[j - lag] for j in range(i - quality.RUN + 1, i + 1)) for lag in quality.LAGS) and raw[i] != 0 for i in range(len(raw))]
+    code = np.array([x + 256 * r for x, r in zip(raw, rep, strict=True)] + [0] * quality.STEP)
+    top = np.max([net.emb[code[a : a + 2 * quality.STEP]].ravel() @ net.w for a in range(0, len(raw), quality.STEP)], axis=0) + net.b
+    return 1 / (1 + np.exp(-float(np.maximum(top, 0) @ net.v + net.c)))
+
+
+def test_quality_scores_whole_texts_in_strips(monkeypatch):
+    rng = random.Random(5)
+    net = quality.fit([(t, q) for _, t, q, _ in labelled(rng, 120)])
+    texts = [b"", b"x", b"ab" * 40, *(words(rng, n).encode() for n in (3, 50, 400))] + [("abc " * 9 + words(rng, 30) + " é#").encode() * 3]
+    want = [slow_probability(net, t) for t in texts]
+    for size in (1 << 18, 128, 64):
+        monkeypatch.setattr(quality, "BLOCK", size)
+        got = np.concatenate([quality.probabilities(net, texts[a:b]) for a, b in quality.blocks(texts, size)])
+        assert np.allclose(got, want, atol=1e-5)
+
+
 @pytest.mark.parametrize("which", ["quality", "toxic"])
 def test_classifiers_on_held_out_rows(spark, which, docs, empty):
     made = labelled(random.Random(9), 700)
@@ -393,3 +413,35 @@ def test_neighbours(spark):
     few = ann.nearest(spark.createDataFrame(rows[:4], schema), F.col("vec_id") == 0)
     assert few.count() == 3
     assert ann.nearest(spark.createDataFrame([], schema), F.col("vec_id") == 0).count() == 0
+
+
+@pytest.mark.parametrize("parts", [None, 64])
+def test_neighbours_without_structure(spark, monkeypatch, parts):
+    monkeypatch.setattr(ann, "SHARE", 256)
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (2500, 24)).round(3)
+    x[5] = x[700]
+    got = {}
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for r in ann.nearest(d, F.col("vec_id") % 100 == 0, parts=parts).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hit = 0
+    for q in range(0, 2500, 100):
+        far = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        far[q] = np.inf
+        best = np.lexsort((np.arange(len(far)), far))[:10]
+        found = sorted(got[q])
+        assert [r for r, _, _ in found] == list(range(1, 11)) and all(s == far[v] or abs(s - far[v]) < 1e-12 for _, v, s in found)
+        hit += len({v for _, v, _ in found} & set(best.tolist()))
+    assert hit >= 0.9 * 250
+
+
+def test_closest_is_exact_and_breaks_ties_by_id():
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, (400, 3)) * 1e3 + 1e6
+    ids = rng.permutation(400)
+    q, at, score = ann.closest(x, ids, x[:20], ids[:20], 10)
+    for k in range(20):
+        far = np.sqrt(((x - x[k]) ** 2).sum(axis=1))
+        far[k] = np.inf
+        assert at[q == k].tolist() == np.lexsort((ids, far))[:10].tolist() and score[q == k].tolist() == np.sort(far)[:10].tolist()

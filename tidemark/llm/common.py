@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -38,11 +38,14 @@ def cut(df: DataFrame, keep: str = "cut") -> DataFrame:
     return out
 
 
+def drop_path(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete what ``cut`` wrote for ``df``; only for tables that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_path(df.sparkSession, df._cut_path)
 
 
 #: Bytes of an Arrow batch; Spark's own limit is 10,000 rows, whatever their size.
@@ -59,11 +62,16 @@ def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+#: Bytes of text that a model is fitted on at most, in all and of one text.
+SAMPLE_BYTES, SAMPLE_TEXT = 64 << 20, 1 << 20
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int) -> list[tuple[str, int]]:
-    """At most ``rows`` (text, label) pairs for fitting, chosen by a hash of the id among ``keep``.
+    """At most ``rows`` (text, label) pairs of ``SAMPLE_BYTES`` in all for fitting, chosen by a hash of the id among ``keep``.
 
     The ids are picked from the narrow label table first, so that only the texts of the
-    sample leave the scan of ``docs``. ``rows`` bounds what reaches the driver.
+    sample leave the scan of ``docs``. Texts over ``SAMPLE_TEXT`` bytes aren't fitted on (they are scored
+    like any other); of several texts of one id the first in order is. ``rows`` and the bytes bound what reaches the driver.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & keep)
@@ -73,12 +81,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
+    order = Window.partitionBy(F.lit(0)).orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"))
+        .where(F.octet_length("_t") <= SAMPLE_TEXT)
         .join(F.broadcast(ids), "doc_id")
-        .select("doc_id", "_t", "_y")
-        .orderBy("doc_id", "_t")
-        .limit(rows)
+        .groupBy("doc_id", "_y")
+        .agg(F.min("_t").alias("_t"))
+        .withColumn("_h", F.xxhash64("doc_id"))
+        .withColumn("_sum", F.sum(F.octet_length("_t")).over(order))  # over ``rows`` rows
+        .where(F.col("_sum") <= SAMPLE_BYTES)
+        .select("_t", "_y")
         .toArrow()
     )
     return list(zip(found["_t"].to_pylist(), found["_y"].to_pylist(), strict=True))

@@ -1,7 +1,8 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A text is its UTF-8 bytes, each one a symbol of 512: the byte, plus 256 where the byte
-lies in a stretch that repeats the bytes a few places before it. Learned filters look at
+lies in a stretch that repeats the bytes a few places before it. That bit is a feature made by hand, as
+filters of this width can't compare bytes so far apart. Learned filters look at
 overlapping chunks of ``2 * STEP`` bytes, one every ``STEP`` bytes, from the first byte to
 the last; each filter keeps its largest response in the document, and the pooled responses
 are combined into one probability. Scoring streams Arrow batches through ``mapInArrow``;
@@ -29,8 +30,8 @@ LAGS, RUN = range(2, 25), 8
 #: Rows that a model is fitted on at most.
 SAMPLE_ROWS = 4000
 EPOCHS, BATCH, RATE = 8, 32, 0.01
-#: Bytes scored at once.
-BLOCK = 1 << 18
+#: Bytes scored at once, and bytes before a strip that tell what repeats in it.
+BLOCK, CONTEXT = 1 << 18, 64
 
 
 @dataclass
@@ -45,7 +46,7 @@ class ByteConvNet:
 def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all texts in one array, and the first chunk of each text.
 
-    Zero bytes stand between texts, so that no chunk and no repeat spans two of them.
+    Zero bytes stand between texts, so that no repeat spans two of them.
     """
     sizes = np.array([-(-len(t) // STEP) * STEP + PAD for t in texts], dtype=np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes)))
@@ -71,11 +72,31 @@ def chunks(net: ByteConvNet, codes: np.ndarray) -> np.ndarray:
     return e[:-1] @ net.w[:half] + e[1:] @ net.w[half:]
 
 
+def responses(net: ByteConvNet, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """``chunks`` without those that would reach into the next text; all their own bytes are padding."""
+    z = chunks(net, codes)
+    z[first[1:] - 1] = -np.inf
+    return z
+
+
+def pooled(net: ByteConvNet, texts: list[bytes]) -> np.ndarray:
+    """The largest response of each filter in each text; a text over ``BLOCK`` bytes in strips, with the maximum so far."""
+    if len(texts) == 1 and len(texts[0]) > BLOCK:
+        text, top = texts[0], None
+        for lo in range(0, len(text), BLOCK):
+            before, after = min(lo, CONTEXT), len(text) - lo > BLOCK
+            z = chunks(net, symbols([text[lo - before : lo + BLOCK + after * STEP]])[0])
+            z = z[before // STEP : (before + BLOCK) // STEP if after else None].max(axis=0)
+            top = z if top is None else np.maximum(top, z)
+        return top[None]
+    codes, first = symbols(texts)
+    return np.maximum.reduceat(responses(net, codes, first), first, axis=0)
+
+
 def probabilities(net: ByteConvNet, texts: list[bytes]) -> np.ndarray:
     if not texts:
         return np.zeros(0)
-    codes, first = symbols(texts)
-    top = np.maximum.reduceat(chunks(net, codes), first, axis=0) + net.b
+    top = pooled(net, texts) + net.b
     return 1 / (1 + np.exp(-np.clip(np.maximum(top, 0) @ net.v + net.c, -30, 30).astype(np.float64)))
 
 
@@ -101,7 +122,7 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> ByteConvNet:
         for lo in range(0, len(order), BATCH):
             pick = order[lo : lo + BATCH]
             codes, first = symbols([data[i] for i in pick])
-            z = chunks(net, codes)
+            z = responses(net, codes, first)
             last = np.append(first[1:], len(z))
             at = np.stack([a + z[a:e].argmax(axis=0) for a, e in zip(first, last, strict=True)])  # doc x filter
             top = np.take_along_axis(z, at, axis=0) + net.b
@@ -127,7 +148,7 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> ByteConvNet:
 
 
 def blocks(texts: list[bytes], most: int = BLOCK) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring texts of about ``most`` bytes each; a longer text stands alone."""
+    """Ranges of neighbouring texts of about ``most`` bytes each; a longer text stands alone, and is scored in strips."""
     lo, held = 0, 0
     for i, t in enumerate(texts):
         if i > lo and held + len(t) > most:

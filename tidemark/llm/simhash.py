@@ -10,7 +10,8 @@ variants, and those that meet are compared on all 64 bits. Each one emits
 
 Equal fingerprints are one node before any variant is made, so a third of all rows may be
 copies of one text. Inside a bucket a search over the members not yet reached finds which
-belong together, and one link per member is emitted, never all pairs.
+belong together, and one link per member is emitted, never all pairs. A bucket's members are distinct
+fingerprints that agree on 42 or more bits, so few texts but adversarial ones share one, and dense buckets link at once.
 """
 
 from __future__ import annotations
@@ -147,10 +148,11 @@ def hex_of(column: str) -> Column:
 def dedup_near(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates: the one with the smallest doc_id.
 
-    Rows of one doc_id count as one document; rows without a doc_id can't be told apart and are all kept.
+    Rows of one doc_id count as one document, of which the row with the smallest text (null first) stays; rows without a doc_id can't be told apart and are all kept.
     """
     nameless, docs = docs.where("doc_id IS NULL"), docs.where("doc_id IS NOT NULL")
     keep = cut(near_groups(docs).where("doc_id = component_id").groupBy("doc_id").count(), "kept")
     if not keep.where("count > 1").isEmpty():
-        docs = docs.dropDuplicates(["doc_id"])
+        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+        docs = docs.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("_row")).select("doc_id", "_row.*").select(docs.columns)
     return docs.join(keep.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns).unionByName(nameless)

@@ -26,7 +26,7 @@ from tidemark.llm.quality import blocks
 ORDERS, BITS, ALPHA = (3, 4, 5), 20, 0.5
 BUCKETS = 1 << BITS
 #: A feature is used from so many training texts, and from so large a log-count ratio.
-LEAST_TEXTS, LEAST_RATIO = 4, 1.0
+LEAST_TEXTS, LEAST_RATIO = 8, 2.0
 #: Rows that a model is fitted on at most.
 SAMPLE_ROWS = 5000
 STEPS, RATE, L2, GAP = 50, 0.1, 1e-5, 8
