@@ -63,14 +63,17 @@ def write_signals(signals: DataFrame, path: str) -> None:
 
 
 def derived_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars by order priority: a path of integer cents that each order's price moves."""
-    w = Window.partitionBy("ticker").orderBy("o_orderdate", "k").rowsBetween(Window.unboundedPreceding, 0)
+    """Daily bars by order priority: a path of integer cents that each order's price moves.
+
+    Moves are summed up by day first; where a day starts is a running sum over these few rows (a row a
+    ticker and day of the calendar), and only inside a day are orders put in sequence. So the work is dealt by day.
+    """
     cents = F.round(F.col("o_totalprice") * 100).cast("long") - 25_000_000
-    ticks = (
-        spark.read.parquet(f"{sf_dir}/orders.parquet")
-        .select(F.col("o_orderpriority").alias("ticker"), "o_orderdate", F.col("o_orderkey").alias("k"), cents.alias("move"))
-        .select("ticker", F.to_date("o_orderdate").alias("date"), "k", ((F.sum("move").over(w) + 10_000_000_000).cast("double") / 100).alias("px"))
-    )
+    moves = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("ticker"), F.to_date("o_orderdate").alias("date"), "o_orderdate", F.col("o_orderkey").alias("k"), cents.alias("move"))
+    before = F.sum("_day").over(Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, -1))
+    starts = moves.groupBy("ticker", "date").agg(F.sum("move").alias("_day")).select("ticker", "date", (F.coalesce(before, F.lit(0)) + 10_000_000_000).alias("_start"))
+    inside = F.sum("move").over(Window.partitionBy("ticker", "date").orderBy("o_orderdate", "k").rowsBetween(Window.unboundedPreceding, 0))
+    ticks = moves.withColumn("_in", inside).join(starts, ["ticker", "date"]).withColumn("px", (F.col("_start") + F.col("_in")).cast("double") / 100)
     return ticks.groupBy("ticker", "date").agg(
         F.min_by("px", "k").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "k").alias("close"), F.max_by("px", "k").alias("adj_close"), F.count("*").alias("volume")
     )
