@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import config as C
@@ -57,6 +57,65 @@ def shock_pivot(shocks: DataFrame) -> DataFrame:
     return shocks.groupBy(F.year("date").alias("year")).pivot("_side", ["down", "up"]).count().na.fill(0) if "_side" in shocks.columns else shock_pivot(shocks.withColumn("_side", side))
 
 
+def shock_counts(bars: DataFrame, threshold: float = C.SHOCK) -> DataFrame:
+    """Shock days of every ticker, zero where there is none."""
+    moves = bars.select("ticker", (F.col("close") / previous(F.col("close")) - 1).alias("_r"))
+    return moves.groupBy("ticker").agg(F.count_if(F.abs("_r") >= threshold).alias("n"))
+
+
+def extremes(shocks: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` worst and best shock days, the earlier date and ticker first on ties."""
+    def ends(side: str, *order: Column) -> DataFrame:
+        few = shocks.orderBy(*order).limit(n)
+        return few.withColumn("nth", F.row_number().over(Window.orderBy(*order))).select(F.lit(side).alias("side"), "nth", "ticker", "date", "daily_return")
+
+    return ends("worst", F.col("daily_return"), F.col("date"), F.col("ticker")).unionByName(ends("best", F.desc("daily_return"), F.col("date"), F.col("ticker")))
+
+
+def preview(found: DataFrame, n: int = 10) -> DataFrame:
+    """The first ``n`` rows of a finding by ticker and date."""
+    return found.orderBy("ticker", "date").limit(n)
+
+
+def summary(bars: DataFrame, shock: float = C.SHOCK, gap: int = C.GAP_DAYS) -> DataFrame:
+    """All eight checks in one table: name, item (a ticker or column, empty if the check has none) and value."""
+    row = lambda df, name, item, value: df.select(F.lit(name).alias("name"), item.alias("item"), F.col(value).cast("double").alias("value"))
+    none, ticker = F.lit(""), F.col("ticker")
+    cover, nulls, ohlc = coverage(bars), missing(bars), ohlc_summary(bars)
+    every = bars.select("ticker").distinct()
+    counted = every.join(gaps(bars, gap).groupBy("ticker").agg(F.count("*").alias("n_gap")), "ticker", "left").na.fill(0, ["n_gap"])
+    parts = [row(cover, "rows", ticker, "n"), row(cover, "rows_per_year", ticker, "rows_per_year"), row(duplicates(bars), "duplicates", none, "n_duplicate"), row(nulls, "nulls", F.col("name"), "n_null"), row(nulls, "nonpositive", F.col("name"), "n_nonpositive"),
+             row(ohlc, "violations", ticker, "n_violation"), row(counted, "gaps", ticker, "n_gap"), row(shock_counts(bars, shock), "shocks", ticker, "n")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def write_report(findings: DataFrame, path: str) -> None:
+    """The columns of a table of findings as lines of text, in order; for reports of bounded size."""
+    findings.orderBy(*findings.columns).select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in findings.columns]).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def markdown(table: DataFrame, digits: int = 4) -> str:
+    """A small table of results as markdown, doubles to ``digits`` places."""
+    cells = [F.coalesce(F.format_number(c, digits) if t in ("double", "float") else F.col(c).cast("string"), F.lit("-")) for c, t in table.dtypes]
+    lines = table.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")).collect()
+    return "\n".join(["| " + " | ".join(table.columns) + " |", "| " + " | ".join("---" for _ in table.columns) + " |", *(r["line"] for r in lines)])
+
+
+def all_matched(joined: DataFrame, column: str) -> DataFrame:
+    """``joined``, after a check that every row of the left side has found its ``column``."""
+    if lost := joined.where(F.col(column).isNull()).take(1):
+        raise DataQualityError(f"no {column} for {lost[0].asDict()}")
+    return joined
+
+
+def reconciled(joined: DataFrame, a: str, b: str, within: float = 1e-15) -> DataFrame:
+    """``joined`` without ``b``, after a check that both columns agree, nulls included."""
+    far = (F.col(a).isNull() != F.col(b).isNull()) | (F.abs(F.col(a) - F.col(b)) > within)
+    if off := joined.where(far).take(1):
+        raise DataQualityError(f"{a} and {b} differ: {off[0].asDict()}")
+    return joined.drop(b)
+
+
 def gate(bars: DataFrame, rows_per_year: float = C.TRADING_DAYS, tolerance: float = 10.0) -> None:
     """Raise unless there are no duplicates, no violations, and about as many rows a year as expected."""
     problems = []

@@ -53,10 +53,10 @@ def without_cash(with_cash: DataFrame, no_cash: DataFrame) -> DataFrame:
 
 
 def regime_matrix(trades: DataFrame, least: int = C.LEAST_TRADES) -> DataFrame:
-    """Trades by signal, holding and regime of the entry; every cell is kept. The win rate is a fraction."""
-    t = trades.withColumns({"regime": regime_of(F.col("entry_date")), "near": near_boundary(F.col("entry_date"))})
+    """Trades by signal, holding and regime of the entry; every cell is kept, and trades outside of all regimes are ``none``. The win rate is a fraction."""
+    t = trades.withColumns({"regime": F.coalesce(regime_of(F.col("entry_date")), F.lit("none")), "near": near_boundary(F.col("entry_date"))})
     r = F.col("return_pct")
     cells = t.groupBy("signal_id", "holding_days", "regime").agg(F.count("*").alias("n"), F.avg(r).alias("mean"), F.median(r).alias("median"), F.stddev_samp(r).alias("sd"), F.avg((r > 0).cast("double")).alias("win_rate"), F.count_if("near").alias("n_boundary"))
     regimes = F.explode(F.array(*[F.lit(x.key) for x in C.REGIMES]))
-    every = trades.select("signal_id", "holding_days").distinct().withColumn("regime", regimes)
+    every = trades.select("signal_id", "holding_days").distinct().withColumn("regime", regimes).unionByName(cells.where("regime = 'none'").select("signal_id", "holding_days", "regime"))
     return every.join(cells, ["signal_id", "holding_days", "regime"], "left").na.fill(0, ["n", "n_boundary"]).withColumn("sufficient", F.col("n") >= least)

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tidemark import config as C
 from tidemark.functions.windows import framed, log_return, position, rolling
+from tidemark.operators.audit import DataQualityError
 from tidemark.operators.indicators import recursive
-from tidemark.operators.resample import stratum_sums
+from tidemark.operators.resample import combined, stratum_sums
 
 BINS = 5
 #: Least ratio over all days at which a verdict is given, and the shares of its excess that part the verdicts.
@@ -58,11 +59,14 @@ def volatility_frame(bars: DataFrame, signals: DataFrame, signal_id: str, bins:
     return r.join(mine, ["date", "ticker"], "left").withColumn("is_signal", F.coalesce("signal", F.lit(False))).drop("signal")
 
 
-def analysis(frame: DataFrame, truncation: str = "d8b") -> DataFrame:
+def analysis(frame: DataFrame, truncation: str = "d8b", strict: bool = False) -> DataFrame:
     """Days from the analysis start on with a stratum and volatilities above zero, and their logs.
 
-    ``d8b`` keeps the days that have ``post_vol``; ``own`` those that have ``post_vol_1``.
+    ``d8b`` keeps the days that have ``post_vol``; ``own`` those that have ``post_vol_1``. With ``strict`` a volatility at or below zero
+    is an error, not left out.
     """
+    if strict:
+        positive(frame.where(F.col("date") >= F.lit(C.START)), "pre_vol", "post_vol_1")
     mask = "post_vol" if C.choose(truncation, ("d8b", "own"), "truncation") == "d8b" else "post_vol_1"
     kept = frame.where((F.col("date") >= F.lit(C.START)) & F.col("stratum").isNotNull() & F.col(mask).isNotNull() & (F.col("pre_vol") > 0) & (F.col("post_vol_1") > 0))
     return kept.withColumns({"log_pre_vol": F.ln("pre_vol"), "log_vol_post": F.ln("post_vol_1")})
@@ -160,3 +164,67 @@ def counts(frame: DataFrame, thinned: DataFrame) -> DataFrame:
     sums = [n(True, 0).alias("signals"), n(False, 0).alias("controls"), n(True, 1).alias("signals_thinned"), n(False, 1).alias("controls_thinned")]
     total = both.agg(*sums).select(F.lit(None).cast("int").alias("stratum"), "*")  # there even if no row is
     return both.groupBy("stratum").agg(*sums).unionByName(total)
+
+
+def gap_distribution(frame: DataFrame) -> DataFrame:
+    """Gaps between neighbouring signals of a stratum: quartiles, ends, and how many are under 1, 5, 10 and 20 days."""
+    g = frame.where("is_signal").withColumn("gap", F.col("pos") - F.lag("pos").over(Window.partitionBy("ticker", "stratum").orderBy("pos")))
+    under = [F.count_if(F.col("gap") < k).alias(f"under_{k}") for k in (1, 5, 10, 20)]
+    q = F.percentile("gap", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    out = g.groupBy("stratum").agg(F.count("*").alias("n"), F.min("gap").alias("least"), q.alias("_q"), F.max("gap").alias("most"), *under)
+    return out.withColumns({f"q{k}": F.col("_q")[i] for i, k in enumerate((25, 50, 75))}).drop("_q")
+
+
+# Limits of the diagnostics.
+DOMINANT, OPPOSITE, OVERLAPS, PRE_GAP, P_RATIO, FEW_SIGNALS, FEW_EXTREMES = 0.50, 0.25, 0.20, 0.10, 3.0, 40, 10
+
+
+def difference_summary(table: DataFrame) -> DataFrame:
+    """The weighted difference of a ``welch_table``, its exponent, error and t, and the same weights' difference before the signal."""
+    w, kept = F.col("weight"), table.where("included")
+    out = kept.agg(F.sum("n_sig").alias("n_signal"), F.sum(w * F.col("delta")).alias("delta"), F.sqrt(F.sum(w * w * F.col("se") * F.col("se"))).alias("se"), F.sum(w * F.col("pre_gap")).alias("delta_pre"))
+    return out.withColumns({"t": F.try_divide("delta", "se"), "exp_delta": F.exp("delta")})
+
+
+def two_routes(frame: DataFrame, y: str = "log_vol_post", within: float = 1e-12) -> DataFrame:
+    """The weighted difference and its error by the table of strata and by their sums, and whether both routes agree."""
+    one = difference_summary(welch_table(frame, y)).select("delta", "se")
+    sums = frame.groupBy("stratum").agg(*stratum_sums([], "is_signal", y)).where((F.col("n_sig") >= C.LEAST_SIGNALS) & (F.col("n_ctl") >= C.LEAST_CONTROLS))
+    two = combined(sums, []).select(F.col("delta").alias("delta_sums"), F.col("se").alias("se_sums"))
+    return one.join(F.broadcast(two)).withColumn("agree", (F.abs(F.col("delta") - F.col("delta_sums")) <= within) & (F.abs(F.col("se") - F.col("se_sums")) <= within))
+
+
+def structure_flags(table: DataFrame, gap_table: DataFrame) -> DataFrame:
+    """Whether one stratum dominates, strata point the other way, signals overlap, groups differed before, or signals are few."""
+    whole = difference_summary(table)
+    kept = table.where("included").join(F.broadcast(whole.select(F.col("delta").alias("_all"))))
+    w = F.col("weight")
+    signs = kept.agg(F.max(w).alias("max_weight"), F.coalesce(F.sum(F.when(F.signum("delta") != F.signum("_all"), w)), F.lit(0.0)).alias("opposite_weight"))
+    close = gap_table.where(F.col("grp") == "signal").join(table.where("included").select("stratum"), "stratum").where(F.col("overlap") >= OVERLAPS)
+    named = close.agg(F.concat_ws(";", F.array_sort(F.collect_list(F.col("stratum").cast("string")))).alias("overlapping"))
+    raw = table.agg(F.sum("n_sig").alias("n_raw"))
+    one = signs.join(F.broadcast(named)).join(F.broadcast(whole.select("delta_pre"))).join(F.broadcast(raw))
+    return one.withColumns({
+        "dominance": F.col("max_weight") >= DOMINANT, "mixed_signs": F.col("opposite_weight") >= OPPOSITE, "overlap": F.col("overlapping") != "", "unequal_before": F.abs("delta_pre") >= PRE_GAP, "low_power": F.col("n_raw") < FEW_SIGNALS,
+    })
+
+
+def p_shift(tested: DataFrame, alpha: float = C.ALPHA) -> DataFrame:
+    """Whether the raw and the studentized p of a label test lie on two sides of ``alpha`` or far apart."""
+    far = F.abs(F.ln(F.col("p_stud") / F.col("p_raw")))
+    return tested.select("p_raw", "p_stud", ((F.col("p_stud") < alpha) != (F.col("p_raw") < alpha)).alias("crossing"), far.alias("log_ratio")).withColumn("shifted", F.col("crossing") | (F.col("log_ratio") >= F.ln(F.lit(P_RATIO))))
+
+
+def check_counts(found: DataFrame, expected: dict[int | None, tuple[int, int]]) -> DataFrame:
+    """``found`` (stratum, signals, controls), after a check against the numbers that a sample must have; a null stratum is the total."""
+    seen = {r["stratum"]: (r["signals"], r["controls"]) for r in found.select("stratum", "signals", "controls").collect()}  # a row a stratum
+    if off := {k: (seen.get(k, (0, 0)), want) for k, want in expected.items() if seen.get(k, (0, 0)) != want}:
+        raise DataQualityError(f"unexpected numbers of signals and controls (found, expected): {off}")
+    return found
+
+
+def positive(frame: DataFrame, *columns: str) -> DataFrame:
+    """``frame``, after a check that the columns have no value at or below zero, of which no log can be taken."""
+    if bad := frame.where(" OR ".join(f"{c} <= 0" for c in columns)).take(1):
+        raise DataQualityError(f"not above zero: {bad[0].asDict()}")
+    return frame

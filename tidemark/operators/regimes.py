@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ def distribution(df: DataFrame, value: str) -> DataFrame:
 
 def spread(distributions: DataFrame) -> DataFrame:
     """Largest and smallest regime mean of a ticker, their ratio, and which regimes (the earlier on ties)."""
-    top, low = F.struct("mean", F.expr("-ascii(substring(regime, 2))")), F.struct("mean", "regime")
+    top, low = F.struct("mean", (-F.substring("regime", 2, 9).cast("int")).alias("_k")), F.struct("mean", F.substring("regime", 2, 9).cast("int").alias("_k"))
     return distributions.groupBy("ticker").agg(F.max("mean").alias("max_mean"), F.min("mean").alias("min_mean"), F.max_by("regime", top).alias("max_regime"), F.min_by("regime", low).alias("min_regime")).withColumn(
         "ratio", F.try_divide("max_mean", "min_mean")
     )
@@ -60,3 +62,34 @@ def firing_rate(df: DataFrame, flag: str) -> DataFrame:
     """Percent of judged rows (those with a value) on which a 0/1 column fires, by ticker and regime."""
     r = df.withColumn("regime", regime_of(F.col("date"))).where("regime IS NOT NULL")
     return r.groupBy("ticker", "regime").agg(F.count(flag).alias("judged"), F.count_if(F.col(flag) == 1).alias("fired")).withColumn("rate", F.try_divide(F.col("fired") * 100.0, F.col("judged")))
+
+
+def pass_through(distributions: DataFrame, returns: DataFrame) -> DataFrame:
+    """How much of the spread of volatility over regimes an indicator's spread shows, on a log scale; its medians' ratio and mean CV."""
+    own = distributions.groupBy("ticker").agg(F.try_divide(F.max("mean"), F.min("mean")).alias("ratio"), F.try_divide(F.max("q50"), F.min("q50")).alias("median_ratio"), F.avg("cv").alias("mean_cv"))
+    vol = returns.groupBy("ticker").agg(F.try_divide(F.max("volatility"), F.min("volatility")).alias("volatility_ratio"))
+    return own.join(vol, "ticker").withColumn("log_pass_through", F.try_divide(F.ln("ratio"), F.ln("volatility_ratio")))
+
+
+def panel(df: DataFrame, windows: dict[str, tuple[dt.date, dt.date]]) -> DataFrame:
+    """Days, mean ATR in percent, mean band width, mean and deviation of RSI by ticker, over named windows that may overlap."""
+    named = F.array_compact(F.array(*[F.when(F.col("date").between(F.lit(a), F.lit(b)), F.lit(k)) for k, (a, b) in windows.items()]))
+    rows = df.withColumn("panel", F.explode(named))
+    return rows.groupBy("ticker", "panel").agg(F.count("*").alias("n"), F.avg("atr_pct").alias("atr_pct"), F.avg("bb_width").alias("bb_width"), F.avg("rsi_wilder_14").alias("rsi_mean"), F.stddev_samp("rsi_wilder_14").alias("rsi_std"))
+
+
+def inside_band(df: DataFrame, position: str = "bb_percent_b") -> DataFrame:
+    """Percent of judged days above, below and inside the band, by ticker and regime."""
+    x = F.col(position)
+    r = df.withColumn("regime", regime_of(F.col("date"))).where(F.col("regime").isNotNull() & x.isNotNull())
+    share = lambda c: F.avg(c.cast("double")) * 100
+    return r.groupBy("ticker", "regime").agg(F.count("*").alias("judged"), share(x > 1).alias("upper"), share(x < 0).alias("lower")).withColumn("inside", 100 - F.col("upper") - F.col("lower"))
+
+
+def tails(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
+    """Median, mean, percent beyond each threshold and their ratio, and the thresholds that would be as rare on both sides."""
+    x = F.col(value)
+    return df.where(x.isNotNull()).groupBy("ticker").agg(
+        F.count("*").alias("n"), F.median(x).alias("median"), F.avg(x).alias("mean"), (F.avg((x < low).cast("double")) * 100).alias("low_pct"), (F.avg((x > high).cast("double")) * 100).alias("high_pct"),
+        F.try_divide(F.avg((x > high).cast("double")), F.avg((x < low).cast("double"))).alias("ratio"), F.percentile(x, F.lit(0.05)).alias("even_low"), F.percentile(x, F.lit(0.95)).alias("even_high"),
+    )

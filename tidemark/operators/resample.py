@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,6 +86,23 @@ def stratified_test(rows: DataFrame, iterations: int, seed: int = C.SEED, least:
     return out.withColumn("p", p_value(F.col("extreme"), F.col("draws")))
 
 
+def leave_one_out(rows: DataFrame, strata: list[int], iterations: int, seed: int = C.SEED) -> DataFrame:
+    """``stratified_test`` without each of the strata in turn: dropped, and the test's columns."""
+    return reduce(DataFrame.unionByName, [stratified_test(rows, iterations, seed, drop=k).withColumn("dropped", F.lit(k)) for k in strata])
+
+
+def stratified_report(rows: DataFrame, iterations: int, seed: int = C.SEED, least: int = C.LEAST_SIGNALS) -> DataFrame:
+    """The stratified test, its largest p without one stratum, its p with all strata, and whether few draws were extreme."""
+    counted = rows.where("ret IS NOT NULL AND stratum IS NOT NULL AND is_signal").groupBy("stratum").count().where(F.col("count") >= least)
+    strata = sorted(r["stratum"] for r in counted.collect())  # a handful of bins
+    whole, every = stratified_test(rows, iterations, seed, least), stratified_test(rows, iterations, seed, 1)
+    out = whole.withColumn("low_resolution", F.col("extreme") < 10).join(F.broadcast(every.select(F.col("p").alias("p_all_strata"))))
+    if len(strata) < 2:
+        return out.withColumn("p_leave_one_out", F.lit(None).cast("double")).withColumn("dominated", F.lit(False))
+    most = leave_one_out(rows, strata, iterations, seed).agg(F.max("p").alias("p_leave_one_out"))
+    return out.join(F.broadcast(most)).withColumn("dominated", F.col("p_leave_one_out") > C.ALPHA)
+
+
 def stratum_sums(by: list[str], flag: str, y: str) -> list[Column]:
     s = F.col(flag)
     return [F.count_if(s).alias("n_sig"), F.count_if(~s).alias("n_ctl"), F.avg(F.when(s, F.col(y))).alias("m_sig"), F.avg(F.when(~s, F.col(y))).alias("m_ctl"), F.var_samp(F.when(s, F.col(y))).alias("v_sig"), F.var_samp(F.when(~s, F.col(y))).alias("v_ctl")]

@@ -73,6 +73,18 @@ register("shock_days", "ticker date daily_return:d", on_bars(lambda b: signals.s
          f"SELECT * FROM (SELECT ticker, date, close / lag(close) OVER ({S.ORDER}) - 1 AS daily_return FROM bars) WHERE abs(daily_return) >= {SHOCK}", "bars")
 register("shock_pivot", "year:i down:i up:i", on_bars(lambda b: audit.shock_pivot(signals.shocks(b, SHOCK))),
          f"SELECT year(date) AS year, count(*) FILTER (WHERE r < 0) AS down, count(*) FILTER (WHERE r >= 0) AS up FROM (SELECT date, close / lag(close) OVER ({S.ORDER}) - 1 AS r FROM bars) WHERE abs(r) >= {SHOCK} GROUP BY 1", "bars")
+register("shock_counts", "ticker n:i", on_bars(lambda b: audit.shock_counts(b, SHOCK)), f"SELECT ticker, count(*) FILTER (WHERE abs(r) >= {SHOCK}) AS n FROM (SELECT ticker, close / lag(close) OVER ({S.ORDER}) - 1 AS r FROM bars) GROUP BY 1", "bars")
+SHOCKS = f"SELECT ticker, date, r AS daily_return FROM (SELECT ticker, date, close / lag(close) OVER ({S.ORDER}) - 1 AS r FROM bars) WHERE abs(r) >= {SHOCK}"
+register("shock_extremes", "side nth:i ticker date daily_return:d", on_bars(lambda b: audit.extremes(signals.shocks(b, SHOCK))),
+         f"SELECT * FROM (SELECT 'worst' AS side, row_number() OVER (ORDER BY daily_return, date, ticker) AS nth, * FROM ({SHOCKS}) UNION ALL SELECT 'best', row_number() OVER (ORDER BY daily_return DESC, date, ticker), * FROM ({SHOCKS})) WHERE nth <= 5", "bars")
+register("gap_preview", "ticker after date days:i", on_bars(lambda b: audit.preview(audit.gaps(b, GAP))),
+         f"SELECT * FROM (SELECT ticker, lag(date) OVER ({S.ORDER}) AS after, date, date - lag(date) OVER ({S.ORDER}) AS days FROM bars) WHERE days >= {GAP} ORDER BY ticker, date LIMIT 10", "bars")
+BAD = "high < low OR high < open OR high < close OR low > open OR low > close"
+register("audit_summary", "name item value:d", on_bars(lambda b: audit.summary(b, SHOCK, GAP)),
+         "SELECT 'rows' AS name, ticker AS item, CAST(count(*) AS DOUBLE) AS value FROM bars GROUP BY ticker UNION ALL SELECT 'rows_per_year', ticker, round(count(*) / (CAST(max(date) - min(date) AS DOUBLE) / 365.25), 1) FROM bars GROUP BY ticker UNION ALL SELECT 'duplicates', '', count(*) - count(DISTINCT (ticker, date)) FROM bars"
+         + "".join(f" UNION ALL SELECT 'nulls', '{c}', count(*) - count({c}) FROM bars UNION ALL SELECT 'nonpositive', '{c}', coalesce(sum(CASE WHEN {c} <= 0 THEN 1 ELSE 0 END), 0) FROM bars" for c in audit.COLUMNS)
+         + f" UNION ALL SELECT 'violations', ticker, count(*) FILTER (WHERE {BAD}) FROM bars GROUP BY ticker UNION ALL SELECT 'gaps', ticker, count(*) FILTER (WHERE g >= {GAP}) FROM (SELECT ticker, date - lag(date) OVER ({S.ORDER}) AS g FROM bars) GROUP BY ticker"
+         + f" UNION ALL SELECT 'shocks', ticker, count(*) FILTER (WHERE abs(r) >= {SHOCK}) FROM (SELECT ticker, close / lag(close) OVER ({S.ORDER}) - 1 AS r FROM bars) GROUP BY ticker", "bars")
 register("calendar_differences", "date side", lambda s, d: audit.calendar_differences(derived_bars(s, d), derived_rates(s, d)),
          "SELECT DISTINCT date, 'price_only' AS side FROM bars WHERE date NOT IN (SELECT date FROM rates) UNION ALL SELECT DISTINCT date, 'rate_only' FROM rates WHERE date NOT IN (SELECT date FROM bars)", "bars", "rates")
 register("log_return", "ticker date log_ret:d ret:d", on_bars(lambda b: b.withColumns({"log_ret": log_return(F.col("close")), "ret": simple_return(F.col("close"))})),
@@ -138,6 +150,19 @@ register("firing_rate", "ticker regime judged:i fired:i rate:d", on_bars(lambda
 register("correlation", "ticker width_return:d rsi_return:d", on_bars(lambda b: indicators.add_indicators(b).withColumn("a", F.abs(log_return(F.col("close")))).withColumn("m", rolling(F.avg, F.col("a"), 20)).groupBy("ticker").agg(F.corr("bb_width", "m").alias("width_return"), F.corr("rsi_wilder_14", "m").alias("rsi_return"))),
          f"SELECT ticker, corr((up - dn) / mid * 100, m) AS width_return, corr(rsi, m) AS rsi_return FROM (SELECT *, {S.full('avg', 'a', -19, 0)} AS m FROM (SELECT *, abs(lr) AS a FROM ind)) GROUP BY 1", "ind")
 
+VOLS = f"SELECT ticker, regime, stddev_samp(lr) * sqrt(252) AS volatility FROM (SELECT *, {S.REGIME} AS regime FROM nb) WHERE regime IS NOT NULL AND lr IS NOT NULL GROUP BY 1, 2"
+register("pass_through", "ticker ratio:d median_ratio:d mean_cv:d volatility_ratio:d log_pass_through:d", on_bars(lambda b: regimes.pass_through(regimes.distribution(indicators.bollinger(b), "bb_width"), regimes.return_statistics(b))),
+         f"SELECT d.*, v.volatility_ratio, ln(ratio) / ln(volatility_ratio) AS log_pass_through FROM (SELECT ticker, max(mean) / min(mean) AS ratio, max(q50) / min(q50) AS median_ratio, avg(cv) AS mean_cv FROM ({DIST}) GROUP BY 1) d JOIN (SELECT ticker, max(volatility) / min(volatility) AS volatility_ratio FROM ({VOLS}) GROUP BY 1) v ON v.ticker = d.ticker", "bb", "nb")
+PANELS = {"first": (C.REGIMES[0].start, C.REGIMES[1].start), "whole": (C.REGIMES[0].start, C.REGIMES[4].start)}
+register("panel_summary", "ticker panel n:i atr_pct:d bb_width:d rsi_mean:d rsi_std:d",
+         on_bars(lambda b: regimes.panel(indicators.add_indicators(b).join(indicators.atr(b).select("ticker", "date", (F.col("atr_14") / F.col("close") * 100).alias("atr_pct")), ["ticker", "date"]), PANELS)),
+         " UNION ALL ".join(f"SELECT i.ticker, '{k}' AS panel, count(*) AS n, avg(a.y / i.close * 100) AS atr_pct, avg((up - dn) / mid * 100) AS bb_width, avg(rsi) AS rsi_mean, stddev_samp(rsi) AS rsi_std FROM ind i LEFT JOIN atr a ON a.ticker = i.ticker AND a.rn = i.rn WHERE date BETWEEN DATE '{x}' AND DATE '{y}' GROUP BY 1" for k, (x, y) in PANELS.items()), "ind", "atr")
+PERCENT_B = "CASE WHEN up - dn = 0 THEN 0.5 ELSE (close - dn) / NULLIF(up - dn, 0) END"
+register("band_inside", "ticker regime judged:i upper:d lower:d inside:d", on_bars(lambda b: regimes.inside_band(indicators.bollinger(b))),
+         f"SELECT *, 100 - upper - lower AS inside FROM (SELECT ticker, regime, count(*) AS judged, avg(CAST(x > 1 AS INT)) * 100 AS upper, avg(CAST(x < 0 AS INT)) * 100 AS lower FROM (SELECT ticker, {S.REGIME} AS regime, {PERCENT_B} AS x FROM bb) WHERE regime IS NOT NULL AND x IS NOT NULL GROUP BY 1, 2)", "bb")
+register("rsi_tails", "ticker n:i median:d mean:d low_pct:d high_pct:d ratio:d even_low:d even_high:d", on_bars(lambda b: regimes.tails(indicators.rsi_wilder(b), "rsi_wilder_14", C.RSI_LOW, C.RSI_HIGH)),
+         "SELECT ticker, count(*) AS n, median(rsi) AS median, avg(rsi) AS mean, avg(CAST(rsi < 30 AS INT)) * 100 AS low_pct, avg(CAST(rsi > 70 AS INT)) * 100 AS high_pct, avg(CAST(rsi > 70 AS INT)) / NULLIF(avg(CAST(rsi < 30 AS INT)), 0) AS ratio, quantile_cont(rsi, 0.05) AS even_low, quantile_cont(rsi, 0.95) AS even_high FROM ind WHERE rsi IS NOT NULL GROUP BY 1", "ind")
+
 # --- resampling, by hash order
 def md5_order(key: str) -> str:
     return f"md5(concat_ws('|', '{C.SEED}', CAST(i AS VARCHAR), CAST({key} AS VARCHAR)))"
@@ -210,6 +235,27 @@ register("gap_ratio", "grp stratum:i n:i n_gap:i n_close:i median_gap:d overlap:
          "SELECT e.grp, e.stratum, coalesce(n, 0) AS n, coalesce(n_gap, 0) AS n_gap, coalesce(n_close, 0) AS n_close, median_gap, CAST(n_close AS DOUBLE) / NULLIF(n_gap, 0) AS overlap FROM (SELECT g.grp, s.stratum FROM (SELECT unnest(['signal', 'control']) AS grp) g, (SELECT unnest(range(1, 6)) AS stratum) s) e LEFT JOIN (SELECT grp, stratum, count(*) AS n, count(gap) AS n_gap, count(*) FILTER (WHERE gap < 20) AS n_close, median(gap) AS median_gap FROM (SELECT *, pos - lag(pos) OVER (PARTITION BY ticker, grp, stratum ORDER BY pos) AS gap FROM (SELECT *, CASE WHEN is_signal THEN 'signal' ELSE 'control' END AS grp FROM frame)) GROUP BY 1, 2) c ON c.grp = e.grp AND c.stratum = e.stratum", "frame")
 
 
+register("gap_distribution", "stratum:i n:i least:i q25:d q50:d q75:d most:i under_1:i under_5:i under_10:i under_20:i", on_vol(lambda v: pathvol.gap_distribution(pathvol.analysis(v))),
+         "SELECT stratum, count(*) AS n, min(gap) AS least, quantile_cont(gap, 0.25) AS q25, quantile_cont(gap, 0.5) AS q50, quantile_cont(gap, 0.75) AS q75, max(gap) AS most, " + ", ".join(f"count(*) FILTER (WHERE gap < {k}) AS under_{k}" for k in (1, 5, 10, 20)) + " FROM (SELECT stratum, pos - lag(pos) OVER (PARTITION BY ticker, stratum ORDER BY pos) AS gap FROM frame WHERE is_signal) GROUP BY 1", "frame")
+S.CTE["welch"] = (["frame"], f"SELECT *, CAST(CASE WHEN included THEN n_sig END AS DOUBLE) / sum(CASE WHEN included THEN n_sig END) OVER () AS weight FROM (SELECT *, m_sig - m_ctl AS delta, sqrt(v_sig / NULLIF(n_sig, 0) + v_ctl / NULLIF(n_ctl, 0)) AS se, n_sig >= {C.LEAST_SIGNALS} AND n_ctl >= {C.LEAST_CONTROLS} AS included FROM (SELECT stratum, {SUMS.format(f='is_signal')}, avg(lpre) FILTER (WHERE is_signal) - avg(lpre) FILTER (WHERE NOT is_signal) AS pre_gap FROM frame GROUP BY 1))")
+DELTAS = "SELECT *, delta / NULLIF(se, 0) AS t, exp(delta) AS exp_delta FROM (SELECT sum(n_sig) AS n_signal, sum(weight * delta) AS delta, sqrt(sum(weight * weight * se * se)) AS se, sum(weight * pre_gap) AS delta_pre FROM welch WHERE included)"
+register("delta_summary", "n_signal:i delta:d se:d t:d exp_delta:d delta_pre:d", on_vol(lambda v: pathvol.difference_summary(pathvol.welch_table(pathvol.analysis(v)))), DELTAS, "welch")
+
+
+register("delta_routes", "delta:d se:d delta_sums:d se_sums:d agree", on_vol(lambda v: pathvol.two_routes(pathvol.analysis(v))), f"SELECT delta, se, delta AS delta_sums, se AS se_sums, CASE WHEN delta IS NOT NULL AND se IS NOT NULL THEN true END AS agree FROM ({DELTAS})", "welch")
+
+
+def flags(v: DataFrame) -> DataFrame:
+    frame = pathvol.analysis(v)
+    return pathvol.structure_flags(pathvol.welch_table(frame), pathvol.gap_ratio(frame))
+
+
+register("structure_flags", "max_weight:d opposite_weight:d overlapping delta_pre:d n_raw:i dominance mixed_signs overlap unequal_before low_power", on_vol(flags),
+         f"""SELECT *, max_weight >= 0.5 AS dominance, opposite_weight >= 0.25 AS mixed_signs, overlapping <> '' AS overlap, abs(delta_pre) >= 0.1 AS unequal_before, n_raw < 40 AS low_power FROM (
+            SELECT (SELECT max(weight) FROM welch WHERE included) AS max_weight, (SELECT coalesce(sum(weight) FILTER (WHERE sign(delta) <> sign((SELECT delta FROM ({DELTAS})))), 0) FROM welch WHERE included) AS opposite_weight, (SELECT delta_pre FROM ({DELTAS})) AS delta_pre, (SELECT sum(n_sig) FROM welch) AS n_raw,
+            (SELECT coalesce(string_agg(CAST(stratum AS VARCHAR), ';' ORDER BY stratum), '') FROM (SELECT stratum, count(*) FILTER (WHERE gap < {C.POST_WINDOW}) * 1.0 / NULLIF(count(gap), 0) AS o FROM (SELECT stratum, pos - lag(pos) OVER (PARTITION BY ticker, stratum ORDER BY pos) AS gap FROM frame WHERE is_signal) GROUP BY 1) JOIN welch USING (stratum) WHERE included AND o >= 0.2) AS overlapping)""", "welch", "frame")
+
+
 def thin_cte(name: str, source: str) -> None:
     S.CTE[f"{name}_n"] = ([source], f"SELECT ticker, pos, row_number() OVER (PARTITION BY ticker ORDER BY pos) AS rn FROM {source}")
     S.CTE[f"{name}_r"] = ([f"{name}_n"], f"SELECT ticker, rn, pos AS y FROM {name}_n WHERE rn = 1 UNION ALL SELECT n.ticker, n.rn, CASE WHEN n.pos - r.y >= 20 THEN n.pos ELSE r.y END FROM {name}_r r JOIN {name}_n n ON n.ticker = r.ticker AND n.rn = r.rn + 1")
@@ -247,6 +293,11 @@ register("perm_label_hash", "delta:d se:d t:d extreme_raw:i extreme_stud:i draws
             ({COMB.format(g='one', inner=f"SELECT 1 AS one, stratum, {SUMS.format(f='is_signal')} FROM usable GROUP BY 2")}) s)""", "usable")
 
 
+register("perm_label_shift", "p_raw:d p_stud:d crossing log_ratio:d shifted", on_vol(lambda v: pathvol.p_shift(resample.label_test(one_ticker(pathvol.analysis(v)), DRAWS))),
+         f"SELECT p_raw, p_stud, crossing, log_ratio, crossing OR log_ratio >= ln(3.0) AS shifted FROM (SELECT p_raw, p_stud, (p_stud < 0.05) <> (p_raw < 0.05) AS crossing, abs(ln(p_stud / p_raw)) AS log_ratio FROM ({ORACLES['perm_label_hash'].replace('ROUND(CAST(p_raw AS DOUBLE), 6) + 0.0 AS p_raw', 'p_raw').replace('ROUND(CAST(p_stud AS DOUBLE), 6) + 0.0 AS p_stud', 'p_stud')}))")
+register_unchecked("perm_strat_report", "n:i mean_diff:d statistic:d extreme:i draws:i p:d low_resolution p_all_strata:d p_leave_one_out:d dominated", lambda s, d: resample.stratified_report(with_returns(s, d), C.DRAWS))
+
+
 # --- backtest and metrics
 class Backtest:
     """The plans of one backtest of all signals and holdings, each built from the ones before."""
