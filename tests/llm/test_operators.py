@@ -436,6 +436,15 @@ def test_neighbours_without_structure(spark, monkeypatch, parts):
     assert hit >= 0.9 * 250
 
 
+@pytest.mark.parametrize("n", [200, 9])
+def test_neighbours_are_as_many_as_there_are(spark, n):
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(0, 100, (50, 8)), 4, axis=0)[:n] + rng.normal(0, 0.1, (n, 8))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    counts = ann.nearest(d, F.col("vec_id") % 5 == 0, probes=1).groupBy("query_id").count().collect()
+    assert {(r["query_id"], r["count"]) for r in counts} == {(i, min(10, n - 1)) for i in range(0, n, 5)}
+
+
 def test_closest_is_exact_and_breaks_ties_by_id():
     rng = np.random.default_rng(4)
     x = rng.integers(-2, 3, (400, 3)) * 1e3 + 1e6

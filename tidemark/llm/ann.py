@@ -160,7 +160,8 @@ def nearest(rows: DataFrame, queries: Column, k: int = K, parts: int | None = No
     ``rows`` has vec_id and embedding. Vectors that aren't ``usable`` or don't have the commonest
     length take no part. Ties go to the smaller vec_id; extra columns are ignored; an empty table gives
     no rows. Rows of one vec_id are one row. ``probes`` is the number of parts each query is routed to,
-    by default what the fitted index needs for ``TARGET``.
+    by default what the fitted index needs for ``TARGET``; a query goes on to further parts until they hold
+    ``k`` rows besides its own, so that it gets ``k`` neighbours, or all candidates if there are fewer.
     """
     out = "query_id long, rank int, vec_id long, score double"
     spark = rows.sparkSession
@@ -182,15 +183,22 @@ def nearest(rows: DataFrame, queries: Column, k: int = K, parts: int | None = No
     picked = [np.array(r["v"]) for r in first.where("_n = 1").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()]
     shared = spark.sparkContext.broadcast(fit(np.array(picked), parts))
 
-    def route(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    def route(batches: Iterator[pd.DataFrame], most: int, held: np.ndarray) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                top = np.argsort(-shared.value.scores(stacked(b["v"])), axis=1, kind="stable")[:, :most]
+                top = np.argsort(-shared.value.scores(stacked(b["v"])), axis=1, kind="stable")
+                short = np.cumsum(held[top], axis=1) - held[top] <= k  # the parts before hold too few rows
                 for j in range(top.shape[1]):
-                    yield b.assign(part=top[:, j].astype(np.int32))
-
-    placed = cut(first.select("vec_id", "v").mapInPandas(lambda it: route(it, 1), "vec_id long, v array<double>, part int"), "placed")
-    asked = cut(known.where(queries).mapInPandas(lambda it: route(it, probes or shared.value.probes), "vec_id long, v array<double>, part int"), "asked")
+                    to = np.flatnonzero(short[:, j] | (j < most))
+                    if len(to):
+                        yield b.iloc[to].assign(part=top[to, j].astype(np.int32))
+
+    schema = "vec_id long, v array<double>, part int"
+    placed = cut(first.select("vec_id", "v").mapInPandas(lambda it: route(it, 1, np.full(parts, k + 1)), schema), "placed")
+    held = np.zeros(parts, dtype=np.int64)
+    for r in placed.groupBy("part").count().collect():  # one row a part
+        held[r["part"]] = r["count"]
+    asked = cut(known.where(queries).mapInPandas(lambda it: route(it, probes or shared.value.probes, held), schema), "asked")
     # one row a part: how many shares its rows and its queries are dealt to
     shares = placed.groupBy("part").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
     blocks = asked.groupBy("part").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("blocks"))
