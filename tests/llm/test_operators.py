@@ -338,6 +338,25 @@ def test_licenses_in_hard_wrapped_files(spark):
     assert [got[i] for i in range(len(texts))] == [name for name, _ in texts]
 
 
+FILES = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not FILES.exists(), reason="no license files")
+def test_licenses_of_whole_files(spark):
+    names = {f: f for f in ("Apache-2.0", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "LGPL-2.1", "MPL-1.1", "MPL-2.0")}
+    names |= {"GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-3": "LGPL-3.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause"}
+    texts = [(names[f.name], f.read_text()) for f in FILES.iterdir() if f.name in names and not f.is_symlink()]
+    end = "END OF TERMS AND CONDITIONS"
+    texts += [(n, part) for n, t in texts if end in t for part in (t[: t.index(end)], t[: t.index(end) + len(end)])]
+    texts += [(n, "\n".join(f"  {x.strip()}" for x in t.upper().replace("HTTPS", "HTTP").splitlines())) for n, t in texts]
+    texts += [(n, t.replace("[yyyy] [name of copyright owner]", "2021 A. Nother")) for n, t in texts if n == "Apache-2.0"]
+    near = [(None, t.replace(" not ", " ", 1)) for n, t in texts if " not " in t] + [(None, t + "\nNo other terms.") for _, t in texts]
+    bullets = [(n, re.sub(r"\n\d\. ", "\n - ", t)) for n, t in licenses.CHECKED if n.startswith("BSD")]
+    rows = texts + near + bullets
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert len(texts) > 20 and [got[i] for i in range(len(rows))] == [n for n, _ in rows]
+
+
 def labelled(rng, n):
     out = []
     for i in range(n):

@@ -9,6 +9,8 @@ a license in a line of its own.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +67,20 @@ CHECKED = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC0-1.0", "Licensed under CC0 1.0."),
 ]
 
-KNOWN = [*CHECKED, ("Unlicense", UNLICENSE + UNLICENSE_REST)]
+KNOWN = [*CHECKED, ("Unlicense", UNLICENSE + UNLICENSE_REST)] + [(name, re.sub(r"\n[123]\. ", "\n* ", text)) for name, text in CHECKED if name.startswith("BSD")]
+# Digests of the canonical forms of long license texts, as they are commonly distributed: the whole
+# file, its terms with the line that ends them, and its terms without that line; of Apache-2.0 also the file with the holder filled in.
+DIGESTS = [
+    ("Apache-2.0", "b200db14d43f341836ccc14296f66944"), ("Apache-2.0", "d44d7dd7bb33c43e91c9d5e48b1d489e"), ("Apache-2.0", "2907559bf696d33fdfdc7da57023e979"), ("Apache-2.0", "77e1a2c8e9671a8095fa8108104daeae"),
+    ("Artistic-1.0-Perl", "c1b81bf4478b19597097b63e59382266"), ("BSD-3-Clause", "ddcd765ed0a3236bf96e15f76c36983a"), ("CC0-1.0", "93a180096f6cfcf2c0dd24f75c2eec48"),
+    ("GFDL-1.2", "46854b8246da92c7dbbd4e61312d796c"), ("GFDL-1.3", "0910c7ce68a828123e8374e5df51820c"),
+    ("GPL-1.0", "b37a688f44419d3168b23775b65749eb"), ("GPL-1.0", "42c3900f3df27526919a45781fcfaa40"), ("GPL-1.0", "144621ef5a09b5f767fa0f7461f93009"),
+    ("GPL-2.0", "422f821c6c0b1812cbde7c1c3be04922"), ("GPL-2.0", "26f606e3d78ac5cd21540a2d8adde537"), ("GPL-2.0", "955e1d1ea98abc4e1f72a0bf6055582b"),
+    ("GPL-3.0", "dd25740036eafeeb440b379ece56a8ae"), ("GPL-3.0", "2048533964f4a556d38eb2de2a0efac8"), ("GPL-3.0", "d868dcf55392e5f0012215d4d54644c4"),
+    ("LGPL-2.0", "ebf358251bfe9161668a8c8251261977"), ("LGPL-2.0", "ca1c6e193db1a4bac45393f980357c55"), ("LGPL-2.0", "31cdd18a73ea38d4ddf246a095937b20"),
+    ("LGPL-2.1", "1ff066c677365f47fea81c911a7c822e"), ("LGPL-2.1", "678176bc76eced93c061414ea9afa263"), ("LGPL-2.1", "5510b1a34afecb1c98ea298fa37ca7ec"),
+    ("LGPL-3.0", "b31b7335bc37919e8cdd79154e04d88d"), ("MPL-1.1", "9fa8ae3e869a929215034d82982372b5"), ("MPL-2.0", "b5b7a0cf4994910cd0204fba4637d6ec"),
+]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line with a copyright and a year or sign, or the words that go with it; holders without either, in the head.
@@ -91,9 +106,14 @@ def spellings() -> list[tuple[str, str]]:
 
 
 def known_licenses(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """license and digest of each known text: a table of fixed size, digested by the same expressions."""
-    rows = spark.createDataFrame(KNOWN if known is None else known, "license string, text string")
-    return rows.select("license", F.md5(canonical(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+    """license and digest of each known text: a table of fixed size, digested by the same expressions.
+
+    Without ``known`` these are the texts of ``KNOWN`` and the ready ``DIGESTS``.
+    """
+    rows = spark.createDataFrame(KNOWN if known is None else known, "license string, text string").select("license", F.md5(canonical(F.col("text"))).alias("digest"))
+    if known is None:
+        rows = rows.union(spark.createDataFrame(DIGESTS, "license string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
