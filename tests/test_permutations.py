@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import statistics
 from pathlib import Path
 
 import pytest
@@ -42,3 +43,17 @@ def test_registered_with_all_draws(spark, monkeypatch, name, test):
     monkeypatch.setattr(resample, test, noted)
     registry.UNCHECKED[name](spark, SMALL)
     assert seen == [C.DRAWS]
+
+
+def test_sums_of_draws_equal_brute_force(spark):
+    """Several counts over one pool with repeated rows, groups of one row, and counts over the pool's size."""
+    rows = [("a", k // 2, float(k % 5), [1, 3, 99]) for k in range(14)] + [("a", 0, 0.0, [1, 3, 99])] + [("b", 4, 2.0, [1])]
+    got = resample.draw_sums(spark.createDataFrame(rows, "g string, date long, y double, ns array<long>"), "y", 300, ["g"]).collect()
+    assert len(got) == 300 * 4 and {r["iteration"] for r in got} == set(range(1, 301))
+    for r in got:
+        pool = sorted((hashlib.md5(f"{C.SEED}|{r['iteration']}|{k}".encode()).hexdigest(), k, y) for g, k, y, _ in rows if g == r["g"])
+        drawn, rest = [y for *_, y in pool[: r["n"]]], [y for *_, y in pool[r["n"] :]]
+        for x, n, m, v in ((drawn, r["n_sig"], r["m_sig"], r["v_sig"]), (rest, r["n_ctl"], r["m_ctl"], r["v_ctl"])):
+            assert n == len(x)
+            assert m == (pytest.approx(statistics.mean(x)) if x else None)
+            assert v == (pytest.approx(statistics.variance(x)) if len(x) > 1 else None)

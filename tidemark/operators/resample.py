@@ -1,37 +1,77 @@
 """Permutation tests. P-values are (1 + draws at least as extreme) / (1 + draws), two-sided.
 
 A draw orders its pool by a hash of seed, iteration and key and takes the first n. That is the
-same under any partitioning and in any engine. Iterations and groups are ordinary keys, so all
+same under any partitioning and in any engine. Blocks of iterations are spread over the tasks, so all
 draws of all tests are one job; ``golden_means`` replays a sequential generator instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import config as C
 
 
-def hash_order(seed: int, iteration: Column, key: Column) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), iteration.cast("string"), key.cast("string")))
+#: Iterations of one block, which is one row of work.
+BLOCK = 250
 
 
-def draws(pool: DataFrame, n: Column, iterations: int, by: list[str], seed: int = C.SEED, key: str = "date") -> DataFrame:
-    """Rows of ``pool`` (by, key, ...) for each iteration, with ``drawn`` true for the first ``n`` by hash.
+def draw_sums(pool: DataFrame, y: str, iterations: int, by: list[str], seed: int = C.SEED, key: str = "date") -> DataFrame:
+    """Count, mean and variance of ``y`` over the drawn and the other rows of ``pool``, for each draw.
 
-    Iterations come from a sequence within each row, not from a join; the ranking is by
-    iteration and group, so the work is spread over as many tasks as there are iterations.
+    ``pool`` has ``by``, key, y and ns: the numbers of rows to draw, an array that is the same in a whole group. One row
+    for each of ``by``, n of ns and iteration: n_sig, m_sig, v_sig of the drawn, n_ctl, m_ctl, v_ctl of the rest.
+    A group of the pool is one array, as long as a calendar has days; it goes to the tasks with a block of iterations each, so
+    that no draw is shuffled, and all numbers of a group share the order of an iteration.
     """
-    rows = pool.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-    w = Window.partitionBy("iteration", *by).orderBy(hash_order(seed, F.col("iteration"), F.col(key)), key)
-    return rows.withColumn("drawn", F.row_number().over(w) <= n)
+    members = pool.select(*by, "ns", F.struct(F.col(key).cast("string").alias("k"), F.col(y).cast("double").alias("y")).alias("m"))
+    groups = members.groupBy(*by).agg(F.first("ns").alias("ns"), F.sort_array(F.collect_list("m")).alias("pool"))
+    blocks = -(-iterations // BLOCK)
+    work = groups.select(*by, "ns", F.col("pool.k").alias("k"), F.col("pool.y").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).repartition(blocks)
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in groups.select(*by).schema]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for r in rows.to_dict("records"):
+                keys, values, out = [k.encode() for k in r["k"]], np.asarray(r["y"], dtype=float), []
+                for i in range(r["block"] * BLOCK + 1, min((r["block"] + 1) * BLOCK, iterations) + 1):
+                    start = md5(f"{seed}|{i}|".encode())
+                    order = values[hashed_order(start, keys)]
+                    out += [(n, i, *moments(order[:n]), *moments(order[n:])) for n in r["ns"]]
+                found = pd.DataFrame(out, columns=["n", "iteration", "n_sig", "m_sig", "v_sig", "n_ctl", "m_ctl", "v_ctl"])
+                for c in by:
+                    found[c] = r[c]
+                yield found
+
+    schema = ", ".join([*kinds, "n long, iteration int, n_sig long, m_sig double, v_sig double, n_ctl long, m_ctl double, v_ctl double"])
+    return work.mapInPandas(run, schema)
+
+
+def hashed_order(start, keys: list[bytes]) -> np.ndarray:  # noqa: ANN001
+    """Positions of ``keys`` by the MD5 of what ``start`` has seen and the key."""
+    digests = []
+    for k in keys:
+        h = start.copy()
+        h.update(k)
+        digests.append(h.digest())
+    high, low = np.frombuffer(b"".join(digests), dtype=">u8").reshape(-1, 2).T
+    return np.lexsort((low, high))
+
+
+def moments(x: np.ndarray) -> tuple[int, float, float]:
+    """Count, mean and sample variance; exactly no variance for equal values, and NaN (null in the table) where it isn't defined."""
+    if not len(x):
+        return 0, np.nan, np.nan
+    if len(x) == 1 or x.min() == x.max():
+        return len(x), float(x[0]), 0.0 if len(x) > 1 else np.nan
+    return len(x), float(x.mean()), float(x.var(ddof=1))
 
 
 def p_value(extreme: Column, total: Column) -> Column:
@@ -52,11 +92,11 @@ def mean_test(events: DataFrame, pool: DataFrame, iterations: int, studentized:
     ev = events.where("ret IS NOT NULL").groupBy("signal_id").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"))
     usable = pool.where("ret IS NOT NULL").select("date", "ret")
     mu = usable.agg(F.avg("ret").alias("mu"))  # one row
-    # a handful of signals, each against the pool: the number of signals is the size of a registry
-    rows = usable.join(F.broadcast(ev.select("signal_id", "n")))
-    stat = draws(rows, F.col("n"), iterations, ["signal_id"], seed).where("drawn").groupBy("signal_id", "iteration").agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"))
+    # all signals draw from one pool; the number of signals is the size of a registry
+    rows = usable.join(F.broadcast(ev.agg(F.sort_array(F.collect_set("n")).alias("ns")))).withColumn("_one", F.lit(1))
+    stat = draw_sums(rows, "ret", iterations, ["_one"], seed).select("n", F.col("m_sig").alias("m"), F.sqrt("v_sig").alias("s"))
     root = F.sqrt(F.col("n").cast("double"))
-    scored = stat.join(F.broadcast(ev), "signal_id").join(F.broadcast(mu))
+    scored = stat.join(F.broadcast(ev), "n").join(F.broadcast(mu))
     if studentized:
         scored = scored.where("s > 0").withColumns({"drawn_t": F.abs((F.col("m") - F.col("mu")) / (F.col("s") / root)), "seen_t": F.abs((F.col("mean") - F.col("mu")) / (F.col("sd") / root))})
     else:
@@ -80,7 +120,12 @@ def stratified_test(rows: DataFrame, iterations: int, seed: int = C.SEED, least:
     c = kept.withColumns({"n_sig": F.count_if(sig).over(per), "mu": F.avg(F.when(~sig, F.col("ret"))).over(per)}).where(F.col("n_sig") >= least).withColumn("e", F.col("ret") - F.col("mu"))
     t = lambda: F.abs(F.avg("e") / (F.stddev_samp("e") / F.sqrt(F.count("e").cast("double"))))
     seen = c.where(sig).agg(F.count("*").alias("n"), F.avg("e").alias("mean_diff"), t().alias("statistic"))
-    drawn = draws(c.where(~sig), F.col("n_sig"), iterations, ["stratum"], seed).where("drawn").groupBy("iteration").agg(t().alias("drawn_t")).where("drawn_t IS NOT NULL")
+    sums = draw_sums(c.where(~sig).withColumn("ns", F.array("n_sig")), "e", iterations, ["stratum"], seed)
+    total, middle = F.sum("n_sig"), F.sum(F.col("n_sig") * F.col("m_sig")) / F.sum("n_sig")
+    square = F.sum((F.col("n_sig") - 1) * F.coalesce("v_sig", F.lit(0.0)) + F.col("n_sig") * F.col("m_sig") * F.col("m_sig")) - total * middle * middle
+    per_draw = sums.where("n_sig > 0").groupBy("iteration").agg(total.alias("n"), middle.alias("m"), square.alias("ss"))
+    spread = F.sqrt(F.greatest(F.col("ss"), F.lit(0.0)) / (F.col("n") - 1))
+    drawn = per_draw.where("n > 1").select("iteration", F.abs(F.try_divide("m", spread / F.sqrt(F.col("n").cast("double")))).alias("drawn_t")).where("drawn_t IS NOT NULL")
     both = drawn.join(F.broadcast(seen))
     out = both.agg(F.max("n").alias("n"), F.max("mean_diff").alias("mean_diff"), F.max("statistic").alias("statistic"), F.count_if(F.col("drawn_t") >= F.col("statistic")).alias("extreme"), F.count("*").alias("draws"))
     return out.withColumn("p", p_value(F.col("extreme"), F.col("draws")))
@@ -126,8 +171,7 @@ def label_test(frame: DataFrame, iterations: int, y: str = "log_vol_post", seed:
     per = Window.partitionBy("stratum")
     kept = frame.withColumns({"k": F.count_if("is_signal").over(per), "c": F.count_if(~F.col("is_signal")).over(per)}).where((F.col("k") >= C.LEAST_SIGNALS) & (F.col("c") >= C.LEAST_CONTROLS))
     seen = combined(kept.withColumn("_one", F.lit(1)).groupBy("_one", "stratum").agg(*stratum_sums([], "is_signal", y)), ["_one"]).select(F.col("delta").alias("seen_delta"), F.col("se").alias("seen_se"), F.col("t").alias("seen_t"))
-    shuffled = draws(kept.select("date", "stratum", "k", y), F.col("k"), iterations, ["stratum"], seed)
-    drawn = combined(shuffled.groupBy("iteration", "stratum").agg(*stratum_sums([], "drawn", y)), ["iteration"])
+    drawn = combined(draw_sums(kept.select("date", "stratum", F.array("k").alias("ns"), y), y, iterations, ["stratum"], seed), ["iteration"])
     both = drawn.join(F.broadcast(seen))
     out = both.agg(
         F.max("seen_delta").alias("delta"), F.max("seen_se").alias("se"), F.max("seen_t").alias("t"), F.count_if(F.abs("delta") >= F.abs("seen_delta")).alias("extreme_raw"), F.count_if(F.abs("t") >= F.abs("seen_t")).alias("extreme_stud"), F.count("*").alias("draws")
