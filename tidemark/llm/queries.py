@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from tidemark.llm.ann import nearest
+from tidemark.llm.codebooks import op11_sql, vector_codes, with_label_error
 from tidemark.llm.common import crc_of_id, shared_dir, table
 from tidemark.llm.decontam import contaminated
 from tidemark.llm.html import extract
@@ -73,6 +74,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = with_label_error(vector_codes(table(spark, sf_dir, "embeddings")))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
@@ -84,5 +90,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_neighbours": op9_neighbours,
     "op10_decontamination": op10_decontamination,
+    "op11_codebooks": op11_codebooks,
 }
-ORACLES: dict[str, str] = {"op5_licenses": scan_sql()}
+ORACLES: dict[str, str] = {"op5_licenses": scan_sql(), "op11_codebooks": op11_sql()}
