@@ -21,6 +21,7 @@ from tidemark.llm.sharding import shard_by_bytes
 from tidemark.llm.simhash import hex_of, near_groups
 from tidemark.llm.token_files import digests, read_token_files, with_starts, write_token_files
 from tidemark.llm.toxicity import score_toxicity, train_toxicity
+from tidemark.llm.tries import op13_sql, trie
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -79,6 +80,10 @@ def op11_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op13_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
@@ -91,5 +96,6 @@ QUERIES = {
     "op9_neighbours": op9_neighbours,
     "op10_decontamination": op10_decontamination,
     "op11_codebooks": op11_codebooks,
+    "op13_tries": op13_tries,
 }
-ORACLES: dict[str, str] = {"op5_licenses": scan_sql(), "op11_codebooks": op11_sql()}
+ORACLES: dict[str, str] = {"op5_licenses": scan_sql(), "op11_codebooks": op11_sql(), "op13_tries": op13_sql()}
