@@ -14,6 +14,7 @@ from tidemark.llm.codebooks import op11_sql, vector_codes, with_label_error
 from tidemark.llm.common import crc_of_id, shared_dir, table
 from tidemark.llm.decontam import contaminated
 from tidemark.llm.html import extract
+from tidemark.llm.jaccard import jaccard_groups, op12_sql
 from tidemark.llm.licenses import scan, scan_sql
 from tidemark.llm.packing import pack, token_pieces
 from tidemark.llm.quality import score_quality, train_quality
@@ -80,6 +81,10 @@ def op11_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op13_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(table(spark, sf_dir, "conversations"))
 
@@ -96,6 +101,7 @@ QUERIES = {
     "op9_neighbours": op9_neighbours,
     "op10_decontamination": op10_decontamination,
     "op11_codebooks": op11_codebooks,
+    "op12_jaccard": op12_jaccard,
     "op13_tries": op13_tries,
 }
-ORACLES: dict[str, str] = {"op5_licenses": scan_sql(), "op11_codebooks": op11_sql(), "op13_tries": op13_sql()}
+ORACLES: dict[str, str] = {"op5_licenses": scan_sql(), "op11_codebooks": op11_sql(), "op12_jaccard": op12_sql(), "op13_tries": op13_sql()}
