@@ -13,7 +13,7 @@ What is compared:
 * In the global order, a linking pair meets in an n-gram of the first n - ceil(0.8 n) + 1 of both. Documents meet there by n-gram, and only if
   their sizes and places in the order leave room for the overlap.
 
-No pair is made of documents known to be connected. Members of an n-gram meet in rounds, in blocks by a hash of the document that grow eightfold to the whole;
+No pair is made of documents known to be connected. Members of an n-gram meet in rounds, in blocks by a hash of the document that grow 64-fold to the whole;
 in each round only documents outside of the n-gram's largest component meet others. Copies of one text with a few changes are thus one component after
 a round or two, with some pairs a member; who stays alone has met all others at the end. No block or pair is left out.
 Words are split at ASCII white space and A to Z lower-cased; a null text is empty. Documents without words have no shingles and link with nothing.
@@ -36,7 +36,7 @@ from tidemark.llm.quality import text_bytes
 
 SHINGLE, PERCENT, SEED = 5, 80, 7
 #: Share of the range of hashes that the first pass counts; fragments of the order; documents of a first block, and by what blocks grow.
-FIRST, FRAGMENTS, BLOCK, GROWTH = 0.3, 8, 8, 8
+FIRST, FRAGMENTS, BLOCK, GROWTH = 0.3, 8, 8, 64
 #: Up to so many documents to be read again are broadcast (8 bytes each); more are joined.
 KEYS = 1 << 20
 #: Bytes of a text hashed at once.
@@ -231,6 +231,8 @@ def jaccard_links(sets: DataFrame, fragment: Column) -> DataFrame:
         labelled = cut(rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
         groups = cut(labelled.groupBy("h", "component").agg(F.count("*").alias("k")), "groups")
         main = cut(groups.groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("h", "main"), "main")
+        if main.isEmpty():  # all that meet are connected
+            break
         open_rows = cut(labelled.join(main, "h"), "open")
         # blocks of about ``block`` members: as many blocks as a power of two; those before lie inside them
         share = lambda size: F.pmod(F.xxhash64("node"), F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.col("m") / F.lit(float(size)))), F.lit(0))).cast("long"))
