@@ -351,7 +351,7 @@ def test_licenses_of_whole_files(spark):
     texts += [(n, "\n".join(f"  {x.strip()}" for x in t.upper().replace("HTTPS", "HTTP").splitlines())) for n, t in texts]
     texts += [(n, t.replace("[yyyy] [name of copyright owner]", "2021 A. Nother")) for n, t in texts if n == "Apache-2.0"]
     near = [(None, t.replace(" not ", " ", 1)) for n, t in texts if " not " in t] + [(None, t + "\nNo other terms.") for _, t in texts]
-    bullets = [(n, re.sub(r"\n\d\. ", "\n - ", t)) for n, t in licenses.CHECKED if n.startswith("BSD")]
+    bullets = [(n, re.sub(r"\n\d\. ", "\n - ", t)) for n, t in licenses.TEXTS if n.startswith("BSD")]
     rows = texts + near + bullets
     got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
     assert len(texts) > 20 and [got[i] for i in range(len(rows))] == [n for n, _ in rows]

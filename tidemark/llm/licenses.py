@@ -3,8 +3,8 @@
 A text is brought to canonical form: ASCII lower case, copyright statements (with a year or a sign, or of a
 holder in the head) dropped, equivalent spellings made one, and runs of ASCII punctuation and white space made one blank. The digest of the whole form is
 looked up among the digests of known licenses, by a hash join with that fixed table.
-A document is looked up as a whole, and so is each of its lines, because corpora also state
-a license in a line of its own.
+A document is looked up as a whole. Corpora also state a license in a line of its own: each line is looked up by
+the same join, among ``NOTICES`` and the whole texts. Patterns are of the kind that both Spark's and the checking SQL's engine know, so both have one rule.
 """
 
 from __future__ import annotations
@@ -56,18 +56,20 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
-#: The texts of the checking SQL; ``KNOWN`` holds more.
-CHECKED = [
+TEXTS = [
     ("MIT", MIT), ("MIT", "MIT License\n\n" + MIT), ("MIT", "The MIT License\n\n" + MIT), ("MIT", "The MIT License (MIT)\n\n" + MIT), ("ISC", ISC), ("ISC", "ISC License\n\n" + ISC),
     ("BSD-2-Clause", BSD_CONDITIONS + BSD_DISCLAIMER), ("BSD-2-Clause", "BSD 2-Clause License\n" + BSD_CONDITIONS + BSD_DISCLAIMER),
     ("BSD-3-Clause", BSD_CONDITIONS + BSD_THIRD + BSD_DISCLAIMER), ("BSD-3-Clause", "BSD 3-Clause License\n" + BSD_CONDITIONS + BSD_THIRD + BSD_DISCLAIMER),
-    ("Unlicense", UNLICENSE), ("Zlib", ZLIB), ("Zlib", "zlib License\n\n" + ZLIB),
+    ("Unlicense", UNLICENSE), ("Unlicense", UNLICENSE + UNLICENSE_REST), ("Zlib", ZLIB), ("Zlib", "zlib License\n\n" + ZLIB),
+]
+#: One-line notices that name a license.
+NOTICES = [
     ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("Apache-2.0", "Released under the Apache License, Version 2.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC0-1.0", "Licensed under CC0 1.0."),
 ]
 
-KNOWN = [*CHECKED, ("Unlicense", UNLICENSE + UNLICENSE_REST)] + [(name, re.sub(r"\n[123]\. ", "\n* ", text)) for name, text in CHECKED if name.startswith("BSD")]
+KNOWN = [*TEXTS, *NOTICES] + [(name, re.sub(r"\n[123]\. ", "\n* ", text)) for name, text in TEXTS if name.startswith("BSD")]
 # Digests of the canonical forms of long license texts, as they are commonly distributed: the whole
 # file, its terms with the line that ends them, and its terms without that line; of Apache-2.0 also the file with the holder filled in.
 DIGESTS = [
@@ -84,17 +86,19 @@ DIGESTS = [
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line with a copyright and a year or sign, or the words that go with it; holders without either, in the head.
-STATEMENT = r"(^|\n)[ \t]*(?:(?:copyright|\(c\)|©)(?:[ \t:,]|\(c\)|©|copyright){0,20}(?:19|20)[0-9][0-9]|copyright[ \t:]*(?:\(c\)|©)|©|all rights reserved\.?[ \t\r]*(?=\n|$))[^\n]*"
-HOLDER = r"^(\s*(?:[^\n]*licen[sc]e[^\n]*\n\s*)?)(?:copyright[ \t][^\n]*(?:\n\s*|$)){1,50}"
-#: The same in the checking SQL, which drops any line that starts so; and what is made one blank.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+STATEMENT = r"(^|\n)[ \t]*(?:(?:copyright|\(c\)|©)(?:[ \t:,]|\(c\)|©|copyright){0,20}(?:19|20)[0-9][0-9]|copyright[ \t:]*(?:\(c\)|©)|©)[^\n]*"
+#: Lines that follow one another share a line end, so this is put in force twice.
+RESERVED = r"(^|\n)[ \t]*all rights reserved\.?[ \t\r]*(\n|\z)"
+HOLDER = r"^([ \t\r\n\f\x0b]*(?:[^\n]*licen[sc]e[^\n]*\n[ \t\r\n\f\x0b]*)?)(?:copyright[ \t][^\n]*(?:\n[ \t\r\n\f\x0b]*|\z)){1,50}"
+STEPS = [(STATEMENT, 1), (RESERVED, 2), (RESERVED, 2), (HOLDER, 1)]
 OTHER = r"[\x00-/:-`{-\x7f]+"
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; a null text counts as empty."""
-    out = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), STATEMENT, r"$1")
-    out = F.regexp_replace(out, HOLDER, r"$1")
+    out = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    for pattern, groups in STEPS:
+        out = F.regexp_replace(out, pattern, "".join(f"${k + 1}" for k in range(groups)))
     out = F.concat(F.lit(" "), F.regexp_replace(out, OTHER, " "), F.lit(" "))
     for a, b in spellings():
         out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
@@ -123,18 +127,19 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFra
     known texts of; it is empty if there are none. Empty and null texts have the digest of the
     empty form. Repeated rows are looked up one by one; extra columns are ignored.
     """
-    table = known_licenses(docs.sparkSession, known)
-    names = F.create_map(*[F.lit(x) for r in table.collect() for x in (r["digest"], r["license"])])  # as many as ``known``
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.md5(canonical(line)))
-    found = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda d: F.element_at(names, d)), lambda x: x.isNotNull())))
-    whole = docs.select("doc_id", F.md5(canonical(F.col("text"))).alias("digest"), F.array_join(found, ",").alias("line_licenses"))
-    return whole.join(F.broadcast(table), "digest", "left").select("doc_id", "digest", "license", "line_licenses")
+    table = F.broadcast(known_licenses(docs.sparkSession, known))  # of fixed size
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_key"), "text")
+    whole = keyed.select("doc_id", "_key", F.md5(canonical(F.col("text"))).alias("digest")).join(table, "digest", "left")
+    lines = keyed.select("_key", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).select("_key", F.md5(canonical(F.col("line"))).alias("digest"))
+    named = lines.join(table, "digest").groupBy("_key").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"))  # as many names as licenses are known
+    return whole.join(named, "_key", "left").select("doc_id", "digest", "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"))
 
 
 def canonical_sql(text: str) -> str:
-    """``canonical`` for DuckDB, but for lines of terms that start like a copyright."""
-    quoted = COPYRIGHT_LINE.replace("\\n", "\n").replace("\\t", "\t")
-    out = f"regexp_replace(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{quoted}', '\\1', 'g')"
+    """``canonical`` for DuckDB."""
+    out = f"translate(coalesce({text}, ''), '{UPPER}', '{LOWER}')"
+    for pattern, groups in STEPS:
+        out = f"regexp_replace({out}, '{pattern}', '{''.join(chr(92) + str(k + 1) for k in range(groups))}', 'g')"
     out = f"concat(' ', regexp_replace({out}, '{OTHER}', ' ', 'g'), ' ')"
     for a, b in spellings():
         out = f"replace({out}, ' {a} ', ' {b} ')"
@@ -142,10 +147,11 @@ def canonical_sql(text: str) -> str:
 
 
 def scan_sql() -> str:
-    values = ", ".join(f"('{a}', '{b.replace(chr(39), chr(39) * 2)}')" for a, b in CHECKED)
+    values = ", ".join(f"('{a}', '{b.replace(chr(39), chr(39) * 2)}')" for a, b in KNOWN)
+    ready = ", ".join(f"('{a}', '{b}')" for a, b in DIGESTS)
     return f"""
     WITH texts(license, t) AS (VALUES {values}),
-    known AS (SELECT md5({canonical_sql("t")}) AS digest, min(license) AS license FROM texts GROUP BY 1),
+    known AS MATERIALIZED (SELECT digest, min(license) AS license FROM (SELECT md5({canonical_sql("t")}) AS digest, license FROM texts UNION ALL SELECT d, l FROM (VALUES {ready}) r(l, d)) GROUP BY 1),
     lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents),
     named AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses FROM lines JOIN known ON md5({canonical_sql("t")}) = digest GROUP BY doc_id)
     SELECT d.doc_id, md5({canonical_sql("d.text")}) AS digest, known.license, coalesce(line_licenses, '') AS line_licenses
