@@ -13,8 +13,8 @@ What is compared:
 * In the global order, a linking pair meets in an n-gram of the first n - ceil(0.8 n) + 1 of both. Documents meet there by n-gram, and only if
   their sizes and places in the order leave room for the overlap.
 
-No pair is made of documents known to be connected. Members of an n-gram meet in rounds, in blocks by a hash of the document that grow 64-fold to the whole;
-in each round only documents outside of the n-gram's largest component meet others. Copies of one text with a few changes are thus one component after
+Members of an n-gram meet in rounds: first in blocks of about ``BLOCK`` by a hash of the document, then in blocks that grow ``GROWTH``-fold to the whole, in which
+only documents outside of the n-gram's largest known component meet others. Copies of one text with a few changes are thus one component after
 a round or two, with some pairs a member; who stays alone has met all others at the end. No block or pair is left out.
 Words are split at ASCII white space and A to Z lower-cased; a null text is empty. Documents without words have no shingles and link with nothing.
 Documents of any length are whole; repeated rows and ties share a node; extra columns are ignored; an empty table gives no rows.
@@ -23,6 +23,7 @@ Documents of any length are whole; repeated rows and ties share a node; extra co
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ from tidemark.llm.common import components, cut, drop_cut, texts_of
 from tidemark.llm.quality import text_bytes
 
 SHINGLE, PERCENT, SEED = 5, 80, 7
-#: Share of the range of hashes that the first pass counts; fragments of the order; documents of a first block, and by what blocks grow.
-FIRST, FRAGMENTS, BLOCK, GROWTH = 0.3, 8, 8, 64
+#: Share of the range of hashes that the first pass counts; fragments of the order; documents of a first block, by what blocks grow, and rounds of spreading labels after each.
+FIRST, FRAGMENTS, BLOCK, GROWTH, HOPS = 0.3, 8, 32, 64, 3
 #: Up to so many documents to be read again are broadcast (8 bytes each); more are joined.
 KEYS = 1 << 20
 #: Bytes of a text hashed at once.
@@ -214,6 +215,31 @@ def verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b", "total").agg(overlap.alias("overlap")).where(F.col("overlap") * 100 >= (F.col("total") - F.col("overlap")) * PERCENT).select("a", "b")
 
 
+def spread_labels(links: DataFrame) -> DataFrame:
+    """node and component for nodes with links: the smallest node within ``HOPS`` + 1 links, which in a dense group is one for all.
+
+    It is only used to leave out pairs, so that long chains may still have several.
+    """
+    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
+    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")), "labels")
+    for _ in range(HOPS):
+        there = both.join(labels.select(F.col("a").alias("b"), "component"), "b").select("a", "component")
+        after = cut(there.unionByName(labels.select("a", "component")).groupBy("a").agg(F.min("component").alias("component")), "labels")
+        drop_cut(labels)
+        labels = after
+    drop_cut(both)
+    return labels.select(F.col("a").alias("node"), "component")
+
+
+def met_pairs(x: DataFrame, y: DataFrame, apart: Column) -> DataFrame:
+    """Distinct pairs (a, b, total) of rows (h, share, node, n, place, ...) of ``x`` and ``y`` that meet and leave room for the overlap."""
+    at = lambda side, rows: rows.select("h", "share", *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c not in ("h", "share")])
+    total, room = F.col("x_n") + F.col("y_n"), F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+    fits = (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * PERCENT) & (room * (100 + PERCENT) >= total * PERCENT)
+    met = at("x", x).join(at("y", y), ["h", "share"]).where(apart & fits)
+    return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), total.alias("total")).distinct()
+
+
 def jaccard_links(sets: DataFrame, fragment: Column) -> DataFrame:
     """node and component of all sets that link; rounds of pairs until each n-gram's documents are connected or have all met."""
     met = cut(meetings(sets), "met")
@@ -223,39 +249,33 @@ def jaccard_links(sets: DataFrame, fragment: Column) -> DataFrame:
     most = sizes.agg(F.max("m")).first()[0] or 0
     drop_cut(met)
     drop_cut(sizes)
-    spark = sets.sparkSession
-    found = spark.createDataFrame([], "node long, component long")
-    tried, old_pairs = None, []
-    block, before = BLOCK, 0
+    # blocks of about so many members: as many blocks as a power of two; those of a round before lie inside them
+    share = lambda size: F.pmod(F.xxhash64("node"), F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.col("m") / F.lit(float(size)))), F.lit(0))).cast("long"))
+    first = rows.select("h", "node", "n", "place", share(BLOCK).alias("share"))
+    pairs = cut(met_pairs(first, first, F.col("x_node") < F.col("y_node")), "pairs")
+    links = [cut(verified(pairs, parts), "links")]
+    tried, old = [pairs], []
+    whole = lambda tables: reduce(DataFrame.unionByName, [t.select("a", "b") for t in tables])
+    before, block = BLOCK, BLOCK * GROWTH
     while before < most:
-        labelled = cut(rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
+        found = spread_labels(whole(links))
+        labelled = cut(rows.where(F.col("m") > before).join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
         groups = cut(labelled.groupBy("h", "component").agg(F.count("*").alias("k")), "groups")
         main = cut(groups.groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("h", "main"), "main")
+        old += [labelled, groups, main]
         if main.isEmpty():  # all that meet are connected
             break
-        open_rows = cut(labelled.join(main, "h"), "open")
-        # blocks of about ``block`` members: as many blocks as a power of two; those before lie inside them
-        share = lambda size: F.pmod(F.xxhash64("node"), F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.col("m") / F.lit(float(size)))), F.lit(0))).cast("long"))
-        own = open_rows.select("h", "node", "n", "place", "component", "main", share(block).alias("share"), (share(before) if before else F.xxhash64("node", "h")).alias("was"))
-        x = own.where("component <> main").select("h", "share", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "place", "component", "was")])
-        y = own.select("h", "share", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "place", "component", "was")])
-        total, room = F.col("x_n") + F.col("y_n"), F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
-        apart = (F.col("x_component") != F.col("y_component")) & (F.col("x_was") != F.col("y_was"))
-        fits = (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * PERCENT) & (room * (100 + PERCENT) >= total * PERCENT)
-        pairs = x.join(y, ["h", "share"]).where(apart & fits).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), total.alias("total")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = cut(verified(pairs, parts), "links").select("a", "b")
-        edges = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        if not links.isEmpty():
-            found = cut(components(edges), "found").select("node", "component")
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        old_pairs.append(pairs)
-        for old in (labelled, groups, main, open_rows):
-            drop_cut(old)
+        own = cut(labelled.join(main, "h").select("h", "node", "n", "place", "component", "main", share(block).alias("share"), share(before).alias("was")), "open")
+        some = met_pairs(own.where("component <> main"), own, (F.col("x_component") != F.col("y_component")) & (F.col("x_was") != F.col("y_was")))
+        pairs = cut(some.join(whole(tried), ["a", "b"], "left_anti"), "pairs")
+        links.append(cut(verified(pairs, parts), "links"))
+        tried.append(pairs)
+        old.append(own)
         before, block = block, block * GROWTH
-    for old in (*old_pairs, rows, parts):
-        drop_cut(old)
-    return found
+    out = components(whole(links))
+    for table in (*old, *tried, rows, parts):
+        drop_cut(table)
+    return out
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
