@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,6 +59,22 @@ def texts_of(docs: DataFrame, *columns: str | Column) -> DataFrame:
     return docs.select(*columns)
 
 
+#: Bytes of a text whose words are held at once, and the bytes that part words.
+STRIP, BLANKS = 1 << 20, (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
+
+
+def strips(text: bytes, size: int = STRIP) -> Iterator[bytes]:
+    """The text in pieces of about ``size`` bytes that end between words."""
+    at = 0
+    while len(text) - at > size:
+        end = max(text.rfind(b, at, at + size) for b in BLANKS)
+        if end < at:  # one word longer than a strip
+            end = min((e for e in (text.find(b, at + size) for b in BLANKS) if e >= 0), default=len(text) - 1)
+        yield text[at : end + 1]
+        at = end + 1
+    yield text[at:]
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 

@@ -25,28 +25,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, cut, drop_cut, texts_of
+from tidemark.llm.common import components, cut, drop_cut, strips, texts_of
 from tidemark.llm.quality import text_bytes
 
 RADIUS, MASKS, SHINGLE, SEED = 3, 3, 3, 42
 
 
 def fingerprint(text: bytes) -> int:
-    """The 64-bit fingerprint of one text: bits set in over half of its shingles' hashes."""
-    words = text.lower().split()  # bytes: ASCII letters, and white space 0x20 and 0x09 to 0x0D
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= SHINGLE:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends]
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :], strict=False)], dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for lo in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    """The 64-bit fingerprint of one text: bits set in over half of its shingles' hashes. Words are held a strip at a time, whatever the length."""
+    digest, ones, n, held = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64), 0, []
+    for strip in strips(text):
+        words = held + strip.lower().split()  # bytes: ASCII letters, and white space 0x20 and 0x09 to 0x0D
+        held = words[1 - SHINGLE :]
+        if len(words) >= SHINGLE:
+            joined, ends = b" ".join(words), list(accumulate(len(w) + 1 for w in words))
+            h = np.array([digest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[SHINGLE - 1 :], strict=False)], dtype="<u8")
+            n += len(h)
+            for lo in range(0, len(h), 1 << 16):
+                ones += np.unpackbits(h[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    if not n:
+        return digest(b" ".join(held), SEED) if held else 0
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
