@@ -41,13 +41,15 @@ def token_lists(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, delta: bool = True) -> None:
     """Write the token lists of ``docs`` to ``path`` in ascending doc_id order (nulls first), over file after file.
 
-    There is a file for each ``FILE_BYTES`` of text, and no fewer than shuffle partitions.
+    There is a file for each ``FILE_BYTES`` of text, and no fewer than shuffle partitions. Rows of one doc_id stand in the order of a hash of their text, so
+    that a doc_id that a third of all rows have is dealt over many files.
     """
     spark = docs.sparkSession
     held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // FILE_BYTES))
-    ordered = texts_of(docs, "doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
-    writer = token_lists(ordered, tokenizer, end_id).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE)
+    order = ("doc_id", F.xxhash64("text"))
+    ordered = texts_of(docs, "doc_id", "text").repartitionByRange(files, *order).sortWithinPartitions(*order)
+    writer = token_lists(ordered, tokenizer, end_id).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).option("maxRecordsPerFile", 0)  # one file a partition: starts are summed by file
     # version 2 pages hold integers as binary-packed deltas where a dictionary isn't used
     (writer.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "false") if delta else writer).parquet(path)
 
