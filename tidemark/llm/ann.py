@@ -36,6 +36,8 @@ TARGET, HELD = 0.95, 8
 HIDDEN, EPOCHS, BATCH, RATE = 64, 40, 128, 0.01
 #: Queries whose distances are taken at once.
 QUERIES = 256
+#: Components beyond this are routed as if they were this large, and scaled before they are squared.
+LARGE = 1e100
 
 
 @dataclass
@@ -48,6 +50,7 @@ class Router:
     probes: int
 
     def scores(self, x: np.ndarray) -> np.ndarray:
+        x = np.clip(x, -LARGE, LARGE)
         return np.maximum((x - self.mean) @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
 
@@ -102,6 +105,7 @@ def fit(x: np.ndarray, parts: int = PARTS, seed: int = SEED) -> Router:
 
     Held-out vectors tell how many parts must be probed for ``TARGET`` of the neighbours.
     """
+    x = np.clip(x, -LARGE, LARGE)
     whole, x = x, x[len(x) // HELD :]
     rng = np.random.default_rng(seed)
     mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
@@ -223,8 +227,11 @@ def nearest(rows: DataFrame, queries: Column, k: int = K, parts: int | None = No
 def closest(x: np.ndarray, ids: np.ndarray, y: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query, row and distance of the ``k`` rows of ``x`` nearest to each of ``y``, but for its own; ties to the smaller id.
 
-    Candidates come from one matrix product, with room for its rounding; their distances are taken exactly.
+    Candidates come from one matrix product, with room for its rounding; their distances are taken exactly. Components too large to be squared are divided by a power of two.
     """
+    top = max(np.abs(x).max(initial=0.0), np.abs(y).max(initial=0.0))
+    unit = 2.0 ** int(np.log2(top)) if top > LARGE else 1.0
+    x, y = (x / unit, y / unit) if unit > 1 else (x, y)
     square = (x * x).sum(axis=1)
     d = square - 2 * (y @ x.T)  # but for the query's own square
     d[own[:, None] == ids] = np.inf
@@ -233,6 +240,6 @@ def closest(x: np.ndarray, ids: np.ndarray, y: np.ndarray, own: np.ndarray, k: i
     q, at = np.nonzero((d <= (edge + room)[:, None]) & np.isfinite(d))
     score = np.sqrt(((x[at] - y[q]) ** 2).sum(axis=1))
     order = np.lexsort((ids[at], score, q))
-    q, at, score = q[order], at[order], score[order]
+    q, at, score = q[order], at[order], score[order] * unit
     best = np.arange(len(q)) - np.searchsorted(q, q) < k
     return q[best], at[best], score[best]
