@@ -36,7 +36,7 @@ TARGET, HELD = 0.95, 8
 HIDDEN, EPOCHS, BATCH, RATE = 64, 40, 128, 0.01
 #: Queries whose distances are taken at once.
 QUERIES = 256
-#: Components beyond this are routed as if they were this large, and scaled before they are squared.
+#: Components beyond this are scaled before they are squared.
 LARGE = 1e100
 
 
@@ -48,12 +48,19 @@ class Router:
     w2: np.ndarray
     b2: np.ndarray
     probes: int
+    unit: float = 1.0  # what components are divided by first
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        x = np.clip(x, -LARGE, LARGE)
+        x = np.clip(x / self.unit, -LARGE, LARGE)
         return np.maximum((x - self.mean) @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
 
+def unit_of(x: np.ndarray) -> float:
+    """One, or a power of two about the largest magnitude if its square would be too large."""
+    top = np.abs(x).max(initial=0.0)
+    return 2.0 ** int(np.log2(top)) if top > LARGE else 1.0
+
+
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """The ``k`` nearest other rows of each row."""
     square = (x * x).sum(axis=1)
@@ -105,12 +112,13 @@ def fit(x: np.ndarray, parts: int = PARTS, seed: int = SEED) -> Router:
 
     Held-out vectors tell how many parts must be probed for ``TARGET`` of the neighbours.
     """
-    x = np.clip(x, -LARGE, LARGE)
+    unit = unit_of(x)
+    x = x / unit
     whole, x = x, x[len(x) // HELD :]
     rng = np.random.default_rng(seed)
     mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
     scale = float(np.sqrt(((x - mean) ** 2).sum(axis=1).mean())) if len(x) else 1.0
-    r = Router(mean, rng.normal(0, 1, (x.shape[1], HIDDEN)) / (scale or 1.0), np.zeros(HIDDEN), rng.normal(0, np.sqrt(2 / HIDDEN), (HIDDEN, parts)), np.zeros(parts), parts)
+    r = Router(mean, rng.normal(0, 1, (x.shape[1], HIDDEN)) / (scale or 1.0), np.zeros(HIDDEN), rng.normal(0, np.sqrt(2 / HIDDEN), (HIDDEN, parts)), np.zeros(parts), parts, unit)
     if len(x) < 2 * parts:
         return r
     near = neighbour_graph(x, NEIGHBOURS)
@@ -139,7 +147,7 @@ def fit(x: np.ndarray, parts: int = PARTS, seed: int = SEED) -> Router:
                 step = RATE * (1 - epoch / EPOCHS) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
                 setattr(r, k, getattr(r, k) - step)
     r.w1 /= scale or 1.0
-    score = r.scores(whole)
+    score = r.scores(whole * unit)
     lies = score.argmax(axis=1)[neighbour_graph(whole, K)[: len(whole) // HELD]]
     rank = np.argsort(np.argsort(-score[: len(lies)], axis=1, kind="stable"), axis=1)
     reached = np.bincount(np.take_along_axis(rank, lies, axis=1).ravel(), minlength=parts).cumsum() / max(1, lies.size)
@@ -229,8 +237,7 @@ def closest(x: np.ndarray, ids: np.ndarray, y: np.ndarray, own: np.ndarray, k: i
 
     Candidates come from one matrix product, with room for its rounding; their distances are taken exactly. Components too large to be squared are divided by a power of two.
     """
-    top = max(np.abs(x).max(initial=0.0), np.abs(y).max(initial=0.0))
-    unit = 2.0 ** int(np.log2(top)) if top > LARGE else 1.0
+    unit = max(unit_of(x), unit_of(y))
     x, y = (x / unit, y / unit) if unit > 1 else (x, y)
     square = (x * x).sum(axis=1)
     d = square - 2 * (y @ x.T)  # but for the query's own square
