@@ -11,9 +11,9 @@ What is compared:
   This is counted in two passes: over the n-grams whose hash lies in the lowest ``FIRST`` of the range, for all documents, then over all n-grams of the documents left.
   Both counts hold as they are, as every set has all its n-grams of that range counted.
 * In the global order, a linking pair meets in an n-gram of the first n - ceil(0.8 n) + 1 of both. Documents meet there by n-gram, and only if
-  their sizes and places in the order leave room for the overlap.
+  their sizes, their places in the order and the parity of their members leave room for the overlap.
 
-Members of an n-gram meet in rounds: first in blocks of about ``BLOCK`` by a hash of the document, then in blocks that grow ``GROWTH``-fold to the whole, in which
+Members of an n-gram meet in rounds: first the one with the fewest n-grams of its own, as the likeliest original, and those of their block of about ``BLOCK`` by a hash of the document, then in blocks that grow ``GROWTH``-fold to the whole, in which
 only documents outside of the n-gram's largest known component meet others. Copies of one text with a few changes are thus one component after
 a round or two, with some pairs a member; who stays alone has met all others at the end. No block or pair is left out.
 Words are split at ASCII white space and A to Z lower-cased; a null text is empty. Documents without words have no shingles and link with nothing.
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from tidemark.llm.common import components, cut, drop_cut, texts_of
+from tidemark.llm.common import components, cut, drop_cut, strips, texts_of
 from tidemark.llm.quality import text_bytes
 
 SHINGLE, PERCENT, SEED = 5, 80, 7
@@ -40,8 +40,8 @@ SHINGLE, PERCENT, SEED = 5, 80, 7
 FIRST, FRAGMENTS, BLOCK, GROWTH, HOPS = 0.3, 8, 32, 64, 3
 #: Up to so many documents to be read again are broadcast (8 bytes each); more are joined.
 KEYS = 1 << 20
-#: Bytes of a text hashed at once.
-STRIP = 1 << 20
+#: Longs of a set's parity bits.
+PARITY = 4
 LEAST = -(1 << 63)
 
 
@@ -60,20 +60,6 @@ def chained(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def strips(text: bytes) -> Iterator[bytes]:
-    """The text in pieces of about ``STRIP`` bytes that end between words."""
-    at = 0
-    while len(text) - at > STRIP:
-        ends = [text.rfind(b, at, at + STRIP) for b in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")]
-        end = max(ends)
-        if end < at:  # one word longer than a strip
-            ahead = [e for e in (text.find(b, at + STRIP) for b in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if e >= 0]
-            end = min(ahead, default=len(text) - 1)
-        yield text[at : end + 1]
-        at = end + 1
-    yield text[at:]
-
-
 def shingle_set(text: bytes) -> np.ndarray:
     """Sorted signed 64-bit hashes of the distinct shingles of a text."""
     digest, known = xxhash.xxh64_intdigest, {}
@@ -97,6 +83,12 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.sort(np.unique(np.concatenate(found)).view(np.int64))
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Whether an even or odd number of the hashes falls on each of 64 * ``PARITY`` bits. Two sets' parities differ in no more bits than the sets in members."""
+    odd = np.bincount((hashes & (64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def node_of(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.astype("<i8").tobytes(), SEED) + LEAST
 
@@ -147,16 +139,16 @@ def summaries(docs: DataFrame) -> DataFrame:
 
 
 def whole_sets(texts: DataFrame) -> DataFrame:
-    """node, n and ``all``, the hashes of the whole set, of each of ``texts``."""
+    """node, n, ``bits`` (``parity``) and ``all``, the hashes of the whole set, of each of ``texts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t) for t in text_bytes(batch.column(0))]
             for part in batches_of(sets):
                 some = sets[part]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in some], pa.int64()), pa.array([len(s) for s in some], pa.int64()), lists(some)], names=["node", "n", "all"])
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in some], pa.int64()), pa.array([len(s) for s in some], pa.int64()), lists([parity(s) for s in some]), lists(some)], names=["node", "n", "bits", "all"])
 
-    return texts_of(texts, "text").mapInArrow(run, "node long, n long, all array<long>")
+    return texts_of(texts, "text").mapInArrow(run, "node long, n long, bits array<long>, all array<long>")
 
 
 def survivors(docs: DataFrame, first: DataFrame) -> DataFrame:
@@ -177,7 +169,7 @@ def survivors(docs: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def ordered(sets: DataFrame) -> tuple[DataFrame, Column]:
-    """The sets that may still link (node, n, own, grams that other sets have too in the global order), and the fragment of an n-gram (count, h)."""
+    """The sets that may still link (node, n, own, bits, grams that other sets have too in the global order), and the fragment of an n-gram (count, h)."""
     counts = cut(sets.select(F.explode("all").alias("h"), "node").groupBy("h").agg(F.count("*").alias("count"), F.min("node").alias("node")).select(F.when(F.col("count") > 1, F.col("h")).alias("h"), "count", F.when(F.col("count") == 1, F.col("node")).alias("node")), "counts")
     own = counts.where("count = 1").groupBy("node").agg(F.count("*").alias("own"))
     nodes = cut(sets.select("node", "n").join(own, "node", "left").na.fill(0, ["own"]).where(F.col("own") < spare("n")), "nodes")
@@ -186,8 +178,8 @@ def ordered(sets: DataFrame) -> tuple[DataFrame, Column]:
     fragment = F.lit(0)
     for pivot in shared.select(at.alias("at")).approxQuantile("at", [k / FRAGMENTS for k in range(1, FRAGMENTS)], 0.01):
         fragment = fragment + (at > pivot).cast("int")
-    rows = sets.join(nodes.select("node", "own"), "node").select("node", "n", "own", F.explode("all").alias("h"))
-    placed = rows.join(shared, "h").groupBy("node", "n", "own").agg(F.array_sort(F.collect_list(F.struct("count", "h"))).alias("grams"))
+    rows = sets.join(nodes.select("node", "own"), "node").select("node", "n", "own", "bits", F.explode("all").alias("h"))
+    placed = rows.join(shared, "h").groupBy("node", "n", "own", "bits").agg(F.array_sort(F.collect_list(F.struct("count", "h"))).alias("grams"))
     out = cut(placed, "ordered")
     for old in (counts, nodes):
         drop_cut(old)
@@ -200,10 +192,10 @@ def segments(sets: DataFrame, fragment: Column) -> DataFrame:
 
 
 def meetings(sets: DataFrame) -> DataFrame:
-    """h, node, n and place (from 0, in the order) of the n-grams in which a linking pair must meet."""
+    """h, node, n, own, bits and place (from 0, in the order) of the n-grams in which a linking pair must meet."""
     room = F.greatest(spare("n") - F.col("own"), F.lit(0)).cast("int")
-    heads = sets.select("node", "n", "own", F.posexplode(F.slice("grams", F.lit(1), room)).alias("at", "g"))
-    return heads.select(F.col("g.h").alias("h"), "node", "n", (F.col("own") + F.col("at")).alias("place"))
+    heads = sets.select("node", "n", "own", "bits", F.posexplode(F.slice("grams", F.lit(1), room)).alias("at", "g"))
+    return heads.select(F.col("g.h").alias("h"), "node", "n", "own", "bits", (F.col("own") + F.col("at")).alias("place"))
 
 
 def verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -231,28 +223,42 @@ def spread_labels(links: DataFrame) -> DataFrame:
     return labels.select(F.col("a").alias("node"), "component")
 
 
-def met_pairs(x: DataFrame, y: DataFrame, apart: Column) -> DataFrame:
-    """Distinct pairs (a, b, total) of rows (h, share, node, n, place, ...) of ``x`` and ``y`` that meet and leave room for the overlap."""
-    at = lambda side, rows: rows.select("h", "share", *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c not in ("h", "share")])
+MET = ["node", "n", "place", "bits"]
+
+
+def may_link() -> Column:
+    """Whether x and y leave room for the overlap: by size, by what is left of both in the order, and by parity, as linking sets differ in at most a ninth of their members."""
     total, room = F.col("x_n") + F.col("y_n"), F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
-    fits = (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * PERCENT) & (room * (100 + PERCENT) >= total * PERCENT)
-    met = at("x", x).join(at("y", y), ["h", "share"]).where(apart & fits)
-    return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), total.alias("total")).distinct()
+    differ = sum((F.bit_count(F.col("x_bits")[k].bitwiseXOR(F.col("y_bits")[k])) for k in range(PARITY)), F.lit(0))
+    return (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * PERCENT) & (room * (100 + PERCENT) >= total * PERCENT) & (differ * (100 + PERCENT) <= total * (100 - PERCENT))
+
+
+def as_side(side: str, rows: DataFrame, keys: tuple[str, ...] = ("h", "share")) -> DataFrame:
+    return rows.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c not in keys])
+
+
+def pairs_of(met: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b, total: both sizes)."""
+    return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), (F.col("x_n") + F.col("y_n")).alias("total")).distinct()
 
 
 def jaccard_links(sets: DataFrame, fragment: Column) -> DataFrame:
     """node and component of all sets that link; rounds of pairs until each n-gram's documents are connected or have all met."""
     met = cut(meetings(sets), "met")
-    sizes = cut(met.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
-    rows = cut(met.join(sizes, "h"), "rows")
+    hub = F.min(F.struct("own", *MET)).alias("hub")
+    sizes = cut(met.groupBy("h").agg(F.count("*").alias("m"), hub).where("m > 1"), "sizes")
+    rows = cut(met.drop("own").join(sizes.select("h", "m"), "h"), "rows")
     parts = cut(segments(sets, fragment), "segments")
     most = sizes.agg(F.max("m")).first()[0] or 0
     drop_cut(met)
-    drop_cut(sizes)
     # blocks of about so many members: as many blocks as a power of two; those of a round before lie inside them
     share = lambda size: F.pmod(F.xxhash64("node"), F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.col("m") / F.lit(float(size)))), F.lit(0))).cast("long"))
-    first = rows.select("h", "node", "n", "place", share(BLOCK).alias("share"))
-    pairs = cut(met_pairs(first, first, F.col("x_node") < F.col("y_node")), "pairs")
+    first = rows.select("h", *MET, share(BLOCK).alias("share"))
+    near = as_side("x", first).join(as_side("y", first), ["h", "share"]).where((F.col("x_node") < F.col("y_node")) & may_link())
+    hubs = sizes.where(F.col("m") > BLOCK).select("h", *[F.col(f"hub.{c}").alias(f"y_{c}") for c in MET])
+    central = as_side("x", rows.select("h", *MET), ("h",)).join(hubs, "h").where((F.col("x_node") != F.col("y_node")) & may_link())
+    pairs = cut(pairs_of(near).unionByName(pairs_of(central)).distinct(), "pairs")
+    drop_cut(sizes)
     links = [cut(verified(pairs, parts), "links")]
     tried, old = [pairs], []
     whole = lambda tables: reduce(DataFrame.unionByName, [t.select("a", "b") for t in tables])
@@ -265,9 +271,10 @@ def jaccard_links(sets: DataFrame, fragment: Column) -> DataFrame:
         old += [labelled, groups, main]
         if main.isEmpty():  # all that meet are connected
             break
-        own = cut(labelled.join(main, "h").select("h", "node", "n", "place", "component", "main", share(block).alias("share"), share(before).alias("was")), "open")
-        some = met_pairs(own.where("component <> main"), own, (F.col("x_component") != F.col("y_component")) & (F.col("x_was") != F.col("y_was")))
-        pairs = cut(some.join(whole(tried), ["a", "b"], "left_anti"), "pairs")
+        own = cut(labelled.join(main, "h").select("h", *MET, "component", "main", share(block).alias("share"), share(before).alias("was")), "open")
+        outside = as_side("x", own.where("component <> main")).join(as_side("y", own), ["h", "share"])
+        some = outside.where((F.col("x_component") != F.col("y_component")) & (F.col("x_was") != F.col("y_was")) & may_link())
+        pairs = cut(pairs_of(some).join(whole(tried), ["a", "b"], "left_anti"), "pairs")
         links.append(cut(verified(pairs, parts), "links"))
         tried.append(pairs)
         old.append(own)
