@@ -55,10 +55,36 @@ def test_regimes_are_inclusive(spark):
 def test_audit_gate(spark):
     good = bars(spark, [1, 2, 3])
     assert audit.duplicates(good).first()["n_duplicate"] == 0
-    with pytest.raises(audit.DataQualityError, match="duplicate"):
-        audit.gate(good.unionByName(good), 365, 400)
-    with pytest.raises(audit.DataQualityError, match="inner"):
-        audit.gate(bars(spark, [5, 5], [4, 6], [5, 5]), 365, 1000)
+    assert audit.gated(good, 548, 5).count() == 3
+    for bad, named in ((good.unionByName(good), "repeated key"), (bars(spark, [5, 5], [4, 6], [5, 5]), "inner high or low")):
+        with pytest.raises(Exception, match=named):
+            audit.gated(bad, 365, 5000).count()
+    with pytest.raises(Exception, match="rows a year"):
+        audit.gated(good, 365, 10).count()
+    record = {(r["name"], r["item"]): r["ok"] for r in audit.gate_record(good.unionByName(bars(spark, [5, 5], [4, 6], [5, 5], "U")), 548, 50).collect()}
+    assert record == {("duplicates", ""): True, ("violations", "TEST"): True, ("violations", "U"): False, ("rows_per_year", "TEST"): True, ("rows_per_year", "U"): False}
+
+
+def test_trades_are_verified(spark):
+    rows = days(spark, 20, {0, 4, 9})
+    good = backtest.trade_positions(rows, (3,))
+    assert backtest.verified_trades(good).count() == 3
+    r = backtest.run_record(good, rows).first()
+    assert (r["signals"], r["trades"], r["overlapping"], r["wrong_length"], r["unsignalled"], r["verified"]) == (3, 3, 0, 0, 0, True)
+    bad = good.unionByName(spark.createDataFrame([("S", "T", 3, 7, 11)], good.schema))
+    with pytest.raises(Exception, match="not a trade"):
+        backtest.verified_trades(bad).count()
+    r = backtest.run_record(bad, rows).first()
+    assert (r["overlapping"], r["wrong_length"], r["unsignalled"], r["verified"]) == (2, 1, 1, False)
+
+
+def test_a_missing_benchmark_close_is_an_error(spark):
+    prices = spark.createDataFrame([("T", 0, dt.date(2000, 1, 3), 1.0), ("T", 1, dt.date(2000, 1, 4), None)], "ticker string, pos long, date date, close double")
+    rates = spark.createDataFrame([("T", dt.date(2000, 1, 3), 0.0), ("T", dt.date(2000, 1, 4), 0.0)], "ticker string, date date, risk_free double")
+    with pytest.raises(Exception, match="no close of the benchmark"):
+        backtest.benchmark_curves(prices, rates).count()
+    with pytest.raises(Exception, match="repeated key"):
+        backtest.benchmark_curves(prices.where("pos = 0"), rates.union(rates)).count()
 
 
 def test_normalize_and_round_trip(spark, tmp_path):

@@ -23,6 +23,21 @@ def test_the_library_does_not_import_the_subpackage():
             assert "tidemark.llm" not in f.read_text()
 
 
+def test_only_missing_modules_are_passed_over(monkeypatch):
+    def failing(name):
+        def load(_):
+            raise ImportError("no", name=name)
+
+        return load
+
+    for name in ("tidemark.llm", "xxhash", None):
+        monkeypatch.setattr(contract, "import_module", failing(name))
+        assert contract.optional("tidemark.llm.queries") is None
+    monkeypatch.setattr(contract, "import_module", failing("tidemark.llm.common"))
+    with pytest.raises(ImportError):
+        contract.optional("tidemark.llm.queries")
+
+
 @pytest.mark.skipif(not Path(contract.SMOKE_DIR).exists(), reason="no test tables")
 def test_entry(spark):
     assert contract.entry(spark).count() == 20

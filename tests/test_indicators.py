@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,13 +62,6 @@ def test_tickers_stay_apart(spark):
     assert {(r["ticker"], r["lo"], r["hi"]) for r in got.collect()} == {("A", 100.0, 100.0), ("B", 0.0, 0.0)}
 
 
-def test_rma_keeps_its_state_over_a_hole():
-    x = pd.Series([1.0, 2.0, 3.0, np.nan, 5.0])
-    got = indicators.rma(x, 2)
-    assert np.isnan(got[0]) and got[1] == 1.5 and got[2] == 2.25 and np.isnan(got[3]) and got[4] == 3.625
-    assert indicators.rma(pd.Series([1.0]), 2).isna().all()
-
-
 def test_edges_and_forward_returns(spark):
     b = bars(spark, [1, 2, 2, 2, 1, 2, 1])
     rule = [("X", "high", lambda: F.col("close") > 1)]

@@ -12,9 +12,7 @@ from tidemark.functions.windows import previous
 
 COLUMNS = ("open", "high", "low", "close", "adj_close", "volume")
 
-
-class DataQualityError(ValueError):
-    """Bars that fail a gate."""
+RULES = ("high < low", "high < open", "high < close", "low > open", "low > close")
 
 
 def coverage(bars: DataFrame) -> DataFrame:
@@ -36,8 +34,7 @@ def missing(bars: DataFrame) -> DataFrame:
 
 def violations(bars: DataFrame) -> DataFrame:
     """Bars whose high or low isn't outermost."""
-    rules = ("high < low", "high < open", "high < close", "low > open", "low > close")
-    return bars.where(reduce(lambda a, b: a | b, [F.expr(r) for r in rules]))
+    return bars.where(reduce(lambda a, b: a | b, [F.expr(r) for r in RULES]))
 
 
 def ohlc_summary(bars: DataFrame) -> DataFrame:
@@ -101,39 +98,54 @@ def markdown(table: DataFrame, digits: int = 4) -> str:
     return "\n".join(["| " + " | ".join(table.columns) + " |", "| " + " | ".join("---" for _ in table.columns) + " |", *(r["line"] for r in lines)])
 
 
-def all_matched(joined: DataFrame, column: str) -> DataFrame:
-    """``joined``, after a check that every row of the left side has found its ``column``."""
-    if lost := joined.where(F.col(column).isNull()).take(1):
-        raise DataQualityError(f"no {column} for {lost[0].asDict()}")
-    return joined
+def ensure(df: DataFrame, ok: Column, message: str, *shown: str) -> DataFrame:
+    """``df``, whose evaluation fails at a row for which ``ok`` isn't true. The check is part of the plan and no job of its own.
+
+    It looks at the rows of ``df`` only: a condition that isn't deterministic is not moved below joins or before earlier filters.
+    """
+    said = F.concat_ws(" ", F.lit(message), *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in shown])
+    return df.where(F.when(F.coalesce(ok, F.lit(False)), F.spark_partition_id() >= 0).otherwise(F.raise_error(said).cast("boolean")))
+
+
+def unique_on(df: DataFrame, *keys: str) -> DataFrame:
+    """``df``, which fails if a key repeats: what a many-to-one join needs on its right side. Rows are dealt by the key as the join deals them."""
+    counted = df.withColumn("_same", F.count("*").over(Window.partitionBy(*keys)))
+    return ensure(counted, F.col("_same") == 1, "repeated key:", *keys).drop("_same")
+
+
+def all_matched(joined: DataFrame, column: str, *shown: str) -> DataFrame:
+    """``joined``, which fails if a row of the left side has not found its ``column``."""
+    return ensure(joined, F.col(column).isNotNull(), f"no {column}:", *shown)
 
 
 def reconciled(joined: DataFrame, a: str, b: str, within: float = 1e-15) -> DataFrame:
-    """``joined`` without ``b``, after a check that both columns agree, nulls included."""
-    far = (F.col(a).isNull() != F.col(b).isNull()) | (F.abs(F.col(a) - F.col(b)) > within)
-    if off := joined.where(far).take(1):
-        raise DataQualityError(f"{a} and {b} differ: {off[0].asDict()}")
-    return joined.drop(b)
-
-
-def gate(bars: DataFrame, rows_per_year: float = C.TRADING_DAYS, tolerance: float = 10.0) -> None:
-    """Raise unless there are no duplicates, no violations, and about as many rows a year as expected."""
-    problems = []
-    if n := duplicates(bars).first()["n_duplicate"]:
-        problems.append(f"{n} duplicate rows")
-    if n := violations(bars).count():
-        problems.append(f"{n} bars with an inner high or low")
-    off = coverage(bars).where(F.abs(F.col("rows_per_year") - rows_per_year) > tolerance)
-    problems += [f"{r['ticker']}: {r['rows_per_year']} rows a year" for r in off.take(20)]
-    if problems:
-        raise DataQualityError("; ".join(problems))
+    """``joined`` without ``b``, which fails unless both columns agree, nulls included."""
+    same = (F.col(a).isNull() & F.col(b).isNull()) | (F.abs(F.col(a) - F.col(b)) <= within)
+    return ensure(joined, same, f"{a} and {b} differ:", a, b).drop(b)
 
 
-def unique_on(df: DataFrame, *keys: str) -> DataFrame:
-    """``df``, after a check that no key repeats: what a many-to-one join needs on its right side."""
-    if twice := df.groupBy(*keys).count().where("count > 1").take(1):
-        raise DataQualityError(f"repeated key: {twice[0].asDict()}")
-    return df
+def positive(frame: DataFrame, *columns: str) -> DataFrame:
+    """``frame``, which fails if a column has a null or a value at or below zero, of which no log can be taken."""
+    return ensure(frame, reduce(lambda x, y: x & y, [F.col(c) > 0 for c in columns]), "not above zero:", *columns)
+
+
+def gate_record(bars: DataFrame, rows_per_year: float = C.TRADING_DAYS, tolerance: float = 10.0) -> DataFrame:
+    """What the gate looks at: name, item, value and whether it passes. No duplicates, no inner highs or lows, about as many rows a year as expected."""
+    one = lambda df, name, item, value, ok: df.select(F.lit(name).alias("name"), item.alias("item"), F.col(value).cast("double").alias("value"), ok.alias("ok"))
+    ticker = F.col("ticker")
+    return reduce(DataFrame.unionByName, [
+        one(duplicates(bars), "duplicates", F.lit(""), "n_duplicate", F.col("n_duplicate") == 0), one(ohlc_summary(bars), "violations", ticker, "n_violation", F.col("n_violation") == 0),
+        one(coverage(bars), "rows_per_year", ticker, "rows_per_year", F.coalesce(F.abs(F.col("rows_per_year") - rows_per_year) <= tolerance, F.lit(False))),
+    ])
+
+
+def gated(bars: DataFrame, rows_per_year: float = C.TRADING_DAYS, tolerance: float = 10.0) -> DataFrame:
+    """``bars``, which fail if they don't pass the gate."""
+    outer = reduce(lambda a, b: a & b, [F.expr(f"NOT coalesce({r}, false)") for r in RULES])
+    whole = ensure(unique_on(bars, "ticker", "date"), outer, "inner high or low:", "ticker", "date")
+    rate = coverage(bars).select(F.col("ticker").alias("_t"), "rows_per_year")  # a row a ticker
+    joined = whole.join(rate, F.col("ticker").eqNullSafe(F.col("_t")))
+    return ensure(joined, F.abs(F.col("rows_per_year") - rows_per_year) <= tolerance, "rows a year:", "ticker", "rows_per_year").drop("_t", "rows_per_year")
 
 
 def calendar_differences(prices: DataFrame, rates: DataFrame) -> DataFrame:

@@ -37,23 +37,39 @@ def by_era(df: DataFrame, a: str, b: str, early: dt.date, late: dt.date, exact:
     return out.withColumn("kind", kind)
 
 
-def precision(df: DataFrame, a: str, b: str) -> DataFrame:
-    """How exactly two series agree: absolute and relative differences, equal values, equal null positions."""
-    rel = F.try_divide(F.abs(F.col(a) - F.col(b)), F.abs(F.col(b)))
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    d = df.withColumns({"_abs": F.when(both, F.abs(F.col(a) - F.col(b))), "_rel": F.when(both, rel)})
-    return d.groupBy("ticker").agg(
-        F.max("_abs").alias("max_abs"), F.max("_rel").alias("max_rel"), F.max_by("_rel", F.when(both, F.col("date"))).alias("last_rel"), F.count_if(F.col("_abs") > 0).alias("n_different"), F.bool_and(F.col(a).isNull() == F.col(b).isNull()).alias("same_nulls")
+def precision(df: DataFrame, a: str, b: str, noise: float = 1e-12) -> DataFrame:
+    """How exactly two series agree: absolute differences and those relative to the larger value, equal values, equal null positions, and a verdict."""
+    x, y = F.col(a), F.col(b)
+    both = x.isNotNull() & y.isNotNull()
+    gap = F.abs(x - y)
+    d = df.withColumns({"_abs": F.when(both, gap), "_rel": F.when(both, F.try_divide(gap, F.greatest(F.abs(x), F.abs(y))))})
+    out = d.groupBy("ticker").agg(
+        F.max("_abs").alias("max_abs"), F.max("_rel").alias("max_rel"), F.max_by("_rel", F.when(F.col("_rel").isNotNull(), F.col("date"))).alias("last_rel"), F.count_if(F.col("_abs") > 0).alias("n_different"), F.bool_and(x.isNull() == y.isNull()).alias("same_nulls")
     )
+    verdict = F.when(F.col("max_abs").isNull(), "nothing to compare").when(F.col("max_abs") == 0, "exact").when(F.col("max_abs") < noise, "float noise").when(F.coalesce("max_rel", F.lit(0.0)) < noise, "relative").otherwise("different")
+    return out.withColumn("verdict", verdict)
 
 
 def disagreement(df: DataFrame, a: str, b: str, around: int = 3) -> DataFrame:
-    """Rows on which two flags agree or not, and how many disagreements lie within ``around`` rows of the other flag."""
+    """Rows on which two flags agree or not, rates and containment, and how many disagreements lie within ``around`` rows of the other flag.
+
+    Rows on which a flag is null aren't judged and count as not fired, but they keep their place in the neighbourhood.
+    """
     w = by_date().rowsBetween(-around, around)
-    x, y = F.col(a), F.col(b)
-    d = df.where(x.isNotNull() & y.isNotNull()).withColumns({"_na": F.max(x.cast("int")).over(w) == 1, "_nb": F.max(y.cast("int")).over(w) == 1})
+    judged = F.col(a).isNotNull() & F.col(b).isNotNull()
+    fired = df.withColumns({"_ok": judged, "_a": F.coalesce(F.col(a) & judged, F.lit(False)), "_b": F.coalesce(F.col(b) & judged, F.lit(False))})
+    x, y = F.col("_a"), F.col("_b")
+    d = fired.withColumns({"_na": F.max(x.cast("int")).over(w) == 1, "_nb": F.max(y.cast("int")).over(w) == 1})
     only_a, only_b = x & ~y, y & ~x
-    return d.groupBy("ticker").agg(
-        F.count_if(x & y).alias("n_both"), F.count_if(only_a).alias("only_a"), F.count_if(only_b).alias("only_b"), F.count_if(~x & ~y).alias("neither"),
-        F.count_if((only_a & F.col("_nb")) | (only_b & F.col("_na"))).alias("timing"), F.count_if((only_a & ~F.col("_nb")) | (only_b & ~F.col("_na"))).alias("real"),
+    out = d.groupBy("ticker").agg(
+        F.count_if("_ok").alias("n_days"), F.count_if(x).alias("n_a"), F.count_if(y).alias("n_b"), F.count_if(x & y).alias("n_both"), F.count_if(only_a).alias("only_a"), F.count_if(only_b).alias("only_b"), F.count_if(~x & ~y & F.col("_ok")).alias("neither"),
+        F.count_if(only_a & F.col("_nb")).alias("only_a_timing"), F.count_if(only_b & F.col("_na")).alias("only_b_timing"),
     )
+    n = F.col
+    timing, either = n("only_a_timing") + n("only_b_timing"), n("n_both") + n("only_a") + n("only_b")
+    out = out.where("n_days > 0").withColumns({"timing": timing, "real": n("only_a") + n("only_b") - timing})
+    percent = lambda x, of: F.try_divide(x * 100.0, of)
+    return out.withColumns({
+        "rate_a": percent(n("n_a"), n("n_days")), "rate_b": percent(n("n_b"), n("n_days")), "frequency_ratio": F.try_divide(n("n_a").cast("double"), n("n_b")), "a_in_b": percent(n("n_both"), n("n_a")), "b_in_a": percent(n("n_both"), n("n_b")),
+        "disagreement": percent(n("only_a") + n("only_b"), either), "real_disagreement": percent(n("real"), either),
+    })

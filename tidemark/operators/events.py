@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark import config as C
+from tidemark.functions.quantiles import exact_quantiles, matched
+from tidemark.functions.tables import once
 from tidemark.functions.windows import by_date, log_return, position
+from tidemark.operators.audit import unique_on
 from tidemark.operators.regimes import regime_of
 from tidemark.operators.signals import by_horizon, forward_returns, make_signals
 
@@ -24,8 +27,7 @@ def frames(indicators: DataFrame, ticker: str | None = C.SIGNAL_TICKER) -> tuple
     kept = F.col("date") >= F.lit(C.START)
     if ticker is not None:
         kept &= F.col("ticker") == ticker
-    # the calendar has one row per date and ticker, so this join keeps the number of signal rows
-    rows = make_signals(indicators).join(fwd, ["date", "ticker"], "left")
+    rows = make_signals(indicators).join(unique_on(fwd, "date", "ticker"), ["date", "ticker"], "left")  # so it keeps the number of signal rows
     return rows.where(kept), fwd.where(kept)
 
 
@@ -36,9 +38,9 @@ def signal_counts(rows: DataFrame) -> DataFrame:
 
 def run_lengths(rows: DataFrame) -> DataFrame:
     """Lengths of unbroken level conditions."""
-    runs = rows.withColumn("run", F.sum(F.col("signal").cast("int")).over(by_signal())).where("condition").groupBy("signal_id", "ticker", "run").count()
-    n = F.col("count")
-    return runs.groupBy("signal_id").agg(F.count("*").alias("n"), F.avg(n).alias("mean"), F.median(n).alias("median"), F.percentile(n, 0.9).alias("p90"), F.max(n).alias("longest"))
+    runs = once(rows.withColumn("run", F.sum(F.col("signal").cast("int")).over(by_signal())).where("condition").groupBy("signal_id", "ticker", "run").count())
+    out = runs.groupBy("signal_id").agg(F.count("*").alias("n"), F.avg("count").alias("mean"), F.max("count").alias("longest"))
+    return matched(out, exact_quantiles(runs, ["signal_id"], "count", {"median": 0.5, "p90": 0.9}), ["signal_id"])
 
 
 def contingency(rows: DataFrame) -> DataFrame:
@@ -54,9 +56,9 @@ def baseline(calendar: DataFrame) -> DataFrame:
 
 def event_study(rows: DataFrame, calendar: DataFrame) -> DataFrame:
     r = F.col("ret")
-    events = by_horizon(rows.where("signal"), ["signal_id"]).groupBy("signal_id", "h").agg(
-        F.count(r).alias("n"), F.avg(r).alias("mean"), F.median(r).alias("median"), F.stddev_samp(r).alias("sd"), (F.avg((r > 0).cast("double")) * 100).alias("win_pct")
-    )
+    hits = once(by_horizon(rows.where("signal"), ["signal_id"]))
+    sums = hits.groupBy("signal_id", "h").agg(F.count(r).alias("n"), F.avg(r).alias("mean"), F.stddev_samp(r).alias("sd"), (F.avg((r > 0).cast("double")) * 100).alias("win_pct"))
+    events = matched(sums, exact_quantiles(hits, ["signal_id", "h"], "ret", {"median": 0.5}), ["signal_id", "h"], "left")
     return events.join(baseline(calendar), "h").withColumn("difference", F.col("mean") - F.col("mean_all"))
 
 
@@ -104,6 +106,24 @@ def without_worst(rows: DataFrame, h: int = 20, k: int = 3) -> DataFrame:
     return e.groupBy("signal_id").agg(F.count("*").alias("n"), F.avg(ret).alias("mean_full"), F.count_if(F.col("nth") > k).alias("n_kept"), F.avg(F.when(F.col("nth") > k, ret)).alias("mean_kept"))
 
 
+def without_dates(rows: DataFrame, calendar: DataFrame, dates: DataFrame, h: int = 20) -> DataFrame:
+    """Each signal's mean, deviation and t with and without its events on given ``dates`` (date), against all days of the calendar."""
+    ret = F.col(f"fwd_ret_{h}")
+    listed = dates.select("date").distinct().withColumn("_out", F.lit(True))
+    e = rows.where(F.col("signal") & ret.isNotNull()).join(listed, "date", "left").withColumn("_kept", F.col("_out").isNull())
+    kept = F.when(F.col("_kept"), ret)
+    sums = e.groupBy("signal_id").agg(F.count("*").alias("n_full"), F.count(kept).alias("n_kept"), F.avg(ret).alias("mean_full"), F.avg(kept).alias("mean_kept"), F.stddev_samp(ret).alias("sd_full"), F.stddev_samp(kept).alias("sd_kept"))
+    pool = calendar.agg(F.avg(ret).alias("mean_pool"), F.stddev_samp(ret).alias("sd_pool"))  # one row
+    t = lambda side: F.try_divide(F.col(f"mean_{side}") - F.col("mean_pool"), F.col(f"sd_{side}") / F.sqrt(F.col(f"n_{side}").cast("double")))
+    return sums.join(F.broadcast(pool)).withColumns({f"sd_ratio_{x}": F.try_divide(f"sd_{x}", "sd_pool") for x in ("full", "kept")} | {f"t_adj_{x}": t(x) for x in ("full", "kept")})
+
+
+def with_p(diagnostic: DataFrame, tested: DataFrame) -> DataFrame:
+    """A variance diagnostic with the permutation test's ``p`` (signal_id, h, p) of each row, null where none was made; a p given twice is an error."""
+    p = unique_on(tested.select("signal_id", "h", F.col("p").alias("p_perm")), "signal_id", "h")
+    return diagnostic.join(p, ["signal_id", "h"], "left")
+
+
 def concentration(rows: DataFrame, calendar: DataFrame, h: int = 20, k: int = 5) -> DataFrame:
     """Share of the ``k`` worst events in all losses, and in the deviation from the calendar's mean."""
     ret = F.col(f"fwd_ret_{h}")

@@ -2,36 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import config as C
-from tidemark.functions.windows import drawdown
-from tidemark.operators.backtest import by_run
+from tidemark.functions.blocks import DAYS, Prefix, prefixes
+from tidemark.functions.tables import once
+from tidemark.operators.backtest import RUN
 from tidemark.operators.regimes import near_boundary, regime_of
 
 #: Excess within float noise of zero, as on days in cash, is zero.
 NOISE = 1e-12
-KEYS = ["signal_id", "ticker", "holding_days"]
+KEYS = list(RUN)
 
 
-def curve_metrics(curves: DataFrame) -> DataFrame:
+def curve_metrics(curves: DataFrame, days: int = DAYS) -> DataFrame:
     """Return, growth, volatility, Sharpe, Sortino, drawdown and Calmar of each run.
 
     The Sharpe ratio of a run whose excess is float noise is null. Sortino takes the deviation of
     negative excess only, of which there must be two.
     """
-    c = curves.withColumns({"r": F.col("equity") / F.lag("equity").over(by_run()) - 1, "dd": drawdown(F.col("equity"), by_run().rowsBetween(Window.unboundedPreceding, 0))})
+    held = prefixes(curves, {"_top": Prefix("max", F.col("equity")), "_before": Prefix("last", F.struct("equity"), before=True)}, RUN, days=days)
+    c = held.withColumns({"r": F.col("equity") / F.col("_before.equity") - 1, "dd": F.col("equity") / F.col("_top") - 1})
     c = c.withColumn("x", F.col("r") - F.coalesce("risk_free", F.lit(0.0)))
-    x, days = F.col("x"), F.lit(float(C.TRADING_DAYS))
+    x, year = F.col("x"), F.lit(float(C.TRADING_DAYS))
     a = c.groupBy(*KEYS).agg(
         F.count("*").alias("n"), F.min_by("equity", "date").alias("e0"), F.max_by("equity", "date").alias("e1"), F.stddev_samp("r").alias("sd"), F.avg(x).alias("mx"), F.stddev_samp(x).alias("sx"),
         F.stddev_samp(F.when(x < -NOISE, x)).alias("sn"), F.min("dd").alias("mdd"),
     )
     growth = F.col("e1") / F.col("e0")
-    a = a.withColumns({"total_return": (growth - 1) * 100, "cagr": F.when(growth > 0, (F.pow(growth, days / F.col("n")) - 1) * 100), "volatility": F.col("sd") * F.sqrt(days) * 100, "max_drawdown": F.col("mdd") * 100})
+    a = a.withColumns({"total_return": (growth - 1) * 100, "cagr": F.when(growth > 0, (F.pow(growth, year / F.col("n")) - 1) * 100), "volatility": F.col("sd") * F.sqrt(year) * 100, "max_drawdown": F.col("mdd") * 100})
     return a.select(
-        *KEYS, "n", "total_return", "cagr", "volatility", F.when(F.col("sx") > NOISE, F.col("mx") / F.col("sx") * F.sqrt(days)).alias("sharpe"), F.when(F.col("sn") > NOISE, F.col("mx") / F.col("sn") * F.sqrt(days)).alias("sortino"),
+        *KEYS, "n", "total_return", "cagr", "volatility", F.when(F.col("sx") > NOISE, F.col("mx") / F.col("sx") * F.sqrt(year)).alias("sharpe"), F.when(F.col("sn") > NOISE, F.col("mx") / F.col("sn") * F.sqrt(year)).alias("sortino"),
         "max_drawdown", F.when(F.col("mdd") < 0, F.col("cagr") / F.abs("max_drawdown")).alias("calmar"),
     )
 
@@ -44,7 +46,10 @@ def trade_metrics(trades: DataFrame) -> DataFrame:
 
 
 def summarize(curves: DataFrame, trades: DataFrame) -> DataFrame:
-    return curve_metrics(curves).join(trade_metrics(trades), KEYS, "left")
+    """A row a run: the metrics of its curve and of its trades, and the percent of days in position."""
+    curves = once(curves)
+    exposure = curves.groupBy(*KEYS).agg((F.avg(F.col("in_position").cast("double")) * 100).alias("exposure"))
+    return curve_metrics(curves).join(trade_metrics(trades), KEYS, "left").join(exposure, KEYS)
 
 
 def without_cash(with_cash: DataFrame, no_cash: DataFrame) -> DataFrame:

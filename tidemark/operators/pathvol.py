@@ -2,43 +2,23 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import config as C
+from tidemark.functions.blocks import spaced
+from tidemark.functions.quantiles import exact_quantiles, matched
+from tidemark.functions.ranks import expanding_bins
+from tidemark.functions.tables import once
 from tidemark.functions.windows import framed, log_return, position, rolling
-from tidemark.operators.audit import DataQualityError
-from tidemark.operators.indicators import recursive
+from tidemark.operators.audit import ensure, positive, unique_on
 from tidemark.operators.resample import combined, stratum_sums
 
 BINS = 5
 #: Least ratio over all days at which a verdict is given, and the shares of its excess that part the verdicts.
 FLOOR, NONE_SHARE, EXISTS_SHARE = 1.15, 0.22, 0.44
-
-
-def expanding_bins(x: pd.Series, bins: int, least: int) -> pd.Series:
-    """1 to ``bins`` by quantiles of strictly earlier values, of which ``least`` must be there.
-
-    A value equal to an edge goes to the upper bin. The values so far stay sorted, so a series
-    takes one insertion and a few look-ups a row; a window percentile would sort its frame anew.
-    """
-    held: list[float] = []
-    out = np.full(len(x), np.nan)
-    for i, v in enumerate(x.to_numpy(dtype=float)):
-        if v != v:
-            continue
-        if bins <= 1:
-            out[i] = 1
-        elif len(held) >= least:
-            at = [(len(held) - 1) * k / bins for k in range(1, bins)]
-            edges = [held[int(a)] + (a - int(a)) * (held[min(int(a) + 1, len(held) - 1)] - held[int(a)]) for a in at]
-            out[i] = 1 + bisect_right(edges, v)
-        insort(held, v)
-    return pd.Series(out, index=x.index)
+#: Percent by which signals' earlier volatility may exceed that of their bin's other days.
+UNEVEN_GAP = 20.0
 
 
 def volatility_frame(bars: DataFrame, signals: DataFrame, signal_id: str, bins: int = BINS, least: int = C.LEAST_HISTORY) -> DataFrame:
@@ -54,21 +34,20 @@ def volatility_frame(bars: DataFrame, signals: DataFrame, signal_id: str, bins:
             "pre_vol": rolling(F.stddev_samp, F.col("lr"), C.PRE_WINDOW), "post_vol": framed(F.stddev_samp, F.col("lr"), k, k + n - 1), "post_vol_1": framed(F.stddev_samp, F.col("lr"), 1, n),
         }
     )
-    r = recursive(r, {"_bin": lambda t: expanding_bins(t["pre_vol"], bins, least)}).withColumn("stratum", F.col("_bin").cast("int")).drop("_bin")
-    mine = signals.where(F.col("signal_id") == signal_id).select("date", "ticker", "signal")
+    r = expanding_bins(r, "pre_vol", "stratum", bins, least)
+    mine = unique_on(signals.where(F.col("signal_id") == signal_id).select("date", "ticker", "signal"), "date", "ticker")
     return r.join(mine, ["date", "ticker"], "left").withColumn("is_signal", F.coalesce("signal", F.lit(False))).drop("signal")
 
 
-def analysis(frame: DataFrame, truncation: str = "d8b", strict: bool = False) -> DataFrame:
+def analysis(frame: DataFrame, truncation: str = "d8b", strict: bool = True) -> DataFrame:
     """Days from the analysis start on with a stratum and volatilities above zero, and their logs.
 
-    ``d8b`` keeps the days that have ``post_vol``; ``own`` those that have ``post_vol_1``. With ``strict`` a volatility at or below zero
-    is an error, not left out.
+    ``d8b`` keeps the days that have ``post_vol``; ``own`` those that have ``post_vol_1``. A volatility at or below zero
+    is an error; without ``strict`` it is left out.
     """
-    if strict:
-        positive(frame.where(F.col("date") >= F.lit(C.START)), "pre_vol", "post_vol_1")
     mask = "post_vol" if C.choose(truncation, ("d8b", "own"), "truncation") == "d8b" else "post_vol_1"
-    kept = frame.where((F.col("date") >= F.lit(C.START)) & F.col("stratum").isNotNull() & F.col(mask).isNotNull() & (F.col("pre_vol") > 0) & (F.col("post_vol_1") > 0))
+    there = frame.where((F.col("date") >= F.lit(C.START)) & F.col("stratum").isNotNull() & F.col(mask).isNotNull())
+    kept = positive(there, "pre_vol", "post_vol_1") if strict else there.where((F.col("pre_vol") > 0) & (F.col("post_vol_1") > 0))
     return kept.withColumns({"log_pre_vol": F.ln("pre_vol"), "log_vol_post": F.ln("post_vol_1")})
 
 
@@ -82,7 +61,9 @@ def path_ratio(frame: DataFrame, bins: int = BINS) -> DataFrame:
     )
     every = frame.sparkSession.range(bins + 1).select(F.col("id").cast("int").alias("bin"))
     out = every.join(cells, "bin", "left").na.fill(0, ["n_signal", "n_other"])
-    return out.select("bin", "n_signal", "n_other", "post_signal", "post_other", F.try_divide("post_signal", "post_other").alias("ratio"), ((F.try_divide("pre_signal", "pre_other") - 1) * 100).alias("pre_gap_pct"))
+    return out.select("bin", "n_signal", "n_other", "post_signal", "post_other", F.try_divide("post_signal", "post_other").alias("ratio"), ((F.try_divide("pre_signal", "pre_other") - 1) * 100).alias("pre_gap_pct")).withColumns({
+        "stratification": F.when(F.col("bin") == 0, None).when(F.col("pre_gap_pct").isNull(), "no sample").when(F.col("pre_gap_pct") >= UNEVEN_GAP, "incomplete").otherwise("good"), "in_mean": F.when(F.col("bin") > 0, F.col("n_signal") >= C.LEAST_SIGNALS),
+    })
 
 
 def weighted_ratio(ratios: DataFrame) -> DataFrame:
@@ -122,21 +103,17 @@ def gap_ratio(frame: DataFrame, within: int = C.POST_WINDOW, bins: int = BINS) -
     group = F.when(F.col("is_signal"), "signal").otherwise("control")
     g = frame.withColumn("grp", group)
     g = g.withColumn("gap", F.col("pos") - F.lag("pos").over(Window.partitionBy("ticker", "grp", "stratum").orderBy("pos")))
-    cells = g.groupBy("grp", "stratum").agg(F.count("*").alias("n"), F.count("gap").alias("n_gap"), F.count_if(F.col("gap") < within).alias("n_close"), F.median("gap").alias("median_gap"))
+    g, by = once(g.select("grp", "stratum", "gap")), ["grp", "stratum"]
+    sums = g.groupBy(*by).agg(F.count("*").alias("n"), F.count("gap").alias("n_gap"), F.count_if(F.col("gap") < within).alias("n_close"))
+    cells = matched(sums, exact_quantiles(g, by, "gap", {"median_gap": 0.5}), by, "left")
     every = frame.sparkSession.range(2 * bins).select(F.when(F.col("id") < bins, "signal").otherwise("control").alias("grp"), (F.col("id") % bins + 1).cast("int").alias("stratum"))
     out = every.join(cells, ["grp", "stratum"], "left").na.fill(0, ["n", "n_gap", "n_close"])
     return out.withColumn("overlap", F.try_divide(F.col("n_close").cast("double"), F.col("n_gap")))
 
 
 def thin(positions: DataFrame, by: list[str], least: int) -> DataFrame:
-    """Greedy thinning of ``pos`` by group: keep the first, then each one ``least`` or more after the last kept.
-
-    The fold runs over a group's sorted positions, as many as a series has signals.
-    """
-    start = F.array().cast("array<long>")
-    lists = positions.groupBy(*by).agg(F.array_sort(F.collect_list("pos")).alias("all"))
-    far = lambda kept, p: F.coalesce(p - F.try_element_at(kept, F.lit(-1)) >= least, F.lit(True))
-    return lists.select(*by, F.explode(F.aggregate("all", start, lambda kept, p: F.when(far(kept, p), F.concat(kept, F.array(p))).otherwise(kept))).alias("pos"))
+    """Greedy thinning of ``pos`` by group: keep the first, then each one ``least`` or more after the last kept."""
+    return spaced(positions.select(*by, F.col("pos").cast("long").alias("pos"), F.lit(least).alias("gap")), tuple(by)).drop("gap")
 
 
 def away_from(positions: DataFrame, anchors: DataFrame, by: list[str], least: int) -> DataFrame:
@@ -151,7 +128,9 @@ def away_from(positions: DataFrame, anchors: DataFrame, by: list[str], least: in
 
 def decluster(frame: DataFrame, least: int = C.POST_WINDOW) -> DataFrame:
     """Rows of ``frame`` after thinning signals, dropping controls near the kept ones, and thinning the rest."""
+    frame = once(frame)
     kept = thin(frame.where("is_signal").select("ticker", "pos"), ["ticker"], least)
+    kept = once(kept)
     controls = thin(away_from(frame.where(~F.col("is_signal")).select("ticker", "pos"), kept, ["ticker"], least), ["ticker"], least)
     wanted = kept.withColumn("is_signal", F.lit(True)).unionByName(controls.withColumn("is_signal", F.lit(False)))
     return frame.join(wanted, ["ticker", "pos", "is_signal"], "left_semi")
@@ -160,19 +139,28 @@ def decluster(frame: DataFrame, least: int = C.POST_WINDOW) -> DataFrame:
 def counts(frame: DataFrame, thinned: DataFrame) -> DataFrame:
     """Signals and controls by stratum before and after thinning, with a total row (stratum null)."""
     both = frame.select("stratum", "is_signal", F.lit(0).alias("after")).unionByName(thinned.select("stratum", "is_signal", F.lit(1).alias("after")))
+    # a row of no stratum and no kind, so that there is a total even if no other row is
+    both = both.unionByName(frame.sparkSession.createDataFrame([(None, None, None)], both.schema))
     n = lambda sig, after: F.count_if((F.col("is_signal") == sig) & (F.col("after") == after))
     sums = [n(True, 0).alias("signals"), n(False, 0).alias("controls"), n(True, 1).alias("signals_thinned"), n(False, 1).alias("controls_thinned")]
-    total = both.agg(*sums).select(F.lit(None).cast("int").alias("stratum"), "*")  # there even if no row is
-    return both.groupBy("stratum").agg(*sums).unionByName(total)
+    return both.rollup("stratum").agg(F.grouping_id().alias("_total"), *sums).where("_total = 1 OR stratum IS NOT NULL").drop("_total")
 
 
 def gap_distribution(frame: DataFrame) -> DataFrame:
     """Gaps between neighbouring signals of a stratum: quartiles, ends, and how many are under 1, 5, 10 and 20 days."""
     g = frame.where("is_signal").withColumn("gap", F.col("pos") - F.lag("pos").over(Window.partitionBy("ticker", "stratum").orderBy("pos")))
     under = [F.count_if(F.col("gap") < k).alias(f"under_{k}") for k in (1, 5, 10, 20)]
-    q = F.percentile("gap", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = g.groupBy("stratum").agg(F.count("*").alias("n"), F.min("gap").alias("least"), q.alias("_q"), F.max("gap").alias("most"), *under)
-    return out.withColumns({f"q{k}": F.col("_q")[i] for i, k in enumerate((25, 50, 75))}).drop("_q")
+    g = once(g.select("stratum", "gap"))
+    out = g.groupBy("stratum").agg(F.count("*").alias("n"), F.min("gap").alias("least"), F.max("gap").alias("most"), *under)
+    return matched(out, exact_quantiles(g, ["stratum"], "gap", {"q25": 0.25, "q50": 0.5, "q75": 0.75}), ["stratum"], "left")
+
+
+def stratum_gaps(rows: DataFrame, least: int = C.LEAST_SIGNALS) -> DataFrame:
+    """Median gap between neighbouring signals with a return, by stratum that has ``least`` of them. ``rows`` has ticker, pos, stratum, is_signal and ret."""
+    g = rows.where("is_signal AND ret IS NOT NULL AND stratum IS NOT NULL").withColumn("gap", F.col("pos") - F.lag("pos").over(Window.partitionBy("ticker", "stratum").orderBy("pos")))
+    g = once(g.select("stratum", "gap"))
+    sums = g.groupBy("stratum").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return matched(sums, exact_quantiles(g, ["stratum"], "gap", {"median_gap": 0.5}), ["stratum"], "left")
 
 
 # Limits of the diagnostics.
@@ -216,15 +204,11 @@ def p_shift(tested: DataFrame, alpha: float = C.ALPHA) -> DataFrame:
 
 
 def check_counts(found: DataFrame, expected: dict[int | None, tuple[int, int]]) -> DataFrame:
-    """``found`` (stratum, signals, controls), after a check against the numbers that a sample must have; a null stratum is the total."""
-    seen = {r["stratum"]: (r["signals"], r["controls"]) for r in found.select("stratum", "signals", "controls").collect()}  # a row a stratum
-    if off := {k: (seen.get(k, (0, 0)), want) for k, want in expected.items() if seen.get(k, (0, 0)) != want}:
-        raise DataQualityError(f"unexpected numbers of signals and controls (found, expected): {off}")
-    return found
-
-
-def positive(frame: DataFrame, *columns: str) -> DataFrame:
-    """``frame``, after a check that the columns have no value at or below zero, of which no log can be taken."""
-    if bad := frame.where(" OR ".join(f"{c} <= 0" for c in columns)).take(1):
-        raise DataQualityError(f"not above zero: {bad[0].asDict()}")
-    return frame
+    """``found`` (stratum, signals, controls), which fails unless the numbers are those that a sample must have; a null stratum is the total, and one not there has none."""
+    wanted = found.sparkSession.createDataFrame([(k, *v) for k, v in expected.items()], "_stratum int, _signals long, _controls long")
+    both = found.join(F.broadcast(wanted), F.col("stratum").eqNullSafe(F.col("_stratum")), "full")  # a row a stratum
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    same = (n("signals") == n("_signals")) & (n("controls") == n("_controls"))
+    shown = both.withColumns({"_name": F.coalesce("stratum", "_stratum")})
+    checked = ensure(shown, same, "unexpected numbers of signals and controls:", "_name", "signals", "_signals", "controls", "_controls")
+    return checked.where("signals is not null").select(found.columns)

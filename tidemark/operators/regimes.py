@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
+from heapq import heappop, heappush
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import config as C
+from tidemark.functions.quantiles import exact_quantiles, matched
 from tidemark.functions.stats import excess_kurtosis, skew
+from tidemark.functions.tables import once
 from tidemark.functions.windows import log_return
 
 
@@ -27,6 +33,59 @@ def near_boundary(date: Column, days: int = 1, regimes: tuple[C.Regime, ...] = C
     return F.exists(F.array(*edges), lambda b: F.abs(F.datediff(date, b)) <= days)
 
 
+#: Regimes of a table at most, which one process holds as sorted segments.
+MOST_REGIMES = 1 << 20
+
+
+def segments(regimes: list[tuple[str, dt.date, dt.date | None, int]]) -> tuple[np.ndarray, list[str | None]]:
+    """Days at which the regime in force changes, sorted, and the regime from each of them on: of several the one of the largest ordinal, of equal ordinals the last listed.
+
+    A sweep over starts and ends; the regimes that have begun wait in a heap and leave it when they have ended.
+    """
+    day = lambda d: (d - dt.date(1970, 1, 1)).days
+    opened = sorted((day(a), k) for k, (_, a, b, _) in enumerate(regimes) if a is not None and (b is None or b >= a))
+    marks = sorted({x for a, k in opened for x in (a, None if regimes[k][2] is None else day(regimes[k][2]) + 1) if x is not None})
+    heap: list[tuple[int, int, float, str]] = []
+    days, names, at = [], [], 0
+    for mark in marks:
+        while at < len(opened) and opened[at][0] <= mark:
+            k = opened[at][1]
+            key, _, b, ordinal = regimes[k]
+            heappush(heap, (-ordinal, -k, np.inf if b is None else day(b), key))
+            at += 1
+        while heap and heap[0][2] < mark:
+            heappop(heap)
+        days.append(mark)
+        names.append(heap[0][3] if heap else None)
+    return np.array(days, dtype=np.int64), names
+
+
+def tagged(df: DataFrame, table: DataFrame, date: str = "date", name: str = "regime", near: int | None = None) -> DataFrame:
+    """``df`` with the regime of each date from a table (key, start, end, ordinal), and with ``near`` whether a regime starts or ends within so many days (``near_boundary``).
+
+    Both ends are inclusive, a null end is open, and of regimes that overlap the one of the largest ordinal holds; regimes without a start hold nowhere. Segments are searched for each date that there is, not for each row.
+    """
+    found = table.select("key", "start", "end", "ordinal").limit(MOST_REGIMES + 1).collect()
+    if len(found) > MOST_REGIMES:
+        raise ValueError(f"more than {MOST_REGIMES} regimes")
+    rows = sorted((tuple(r) for r in found), key=lambda r: (r[3], str(r[0])))
+    days, names = segments(rows)
+    edges = np.array(sorted({(d - dt.date(1970, 1, 1)).days for _, a, b, _ in rows for d in (a, b) if d is not None}), dtype=np.int64)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = batch.column(0).cast(pa.int32()).to_numpy().astype(np.int64)
+            at = np.searchsorted(days, d, "right") - 1
+            columns = [batch.column(0), pa.array([names[k] if k >= 0 else None for k in at], pa.string())]
+            if near is not None:
+                columns.append(pa.array(np.searchsorted(edges, d + near, "right") > np.searchsorted(edges, d - near)))
+            yield pa.RecordBatch.from_arrays(columns, names=["_date", name, "near_boundary"][: len(columns)])
+
+    dates = df.select(F.col(date).alias("_date")).where("_date is not null").distinct()
+    looked = dates.mapInArrow(search, f"_date date, {name} string" + (", near_boundary boolean" if near is not None else ""))
+    return df.join(looked, F.col(date) == F.col("_date"), "left").drop("_date")
+
+
 def return_statistics(bars: DataFrame) -> DataFrame:
     """Return statistics by ticker and regime; the drawdown starts anew in each regime."""
     r = bars.withColumn("lr", log_return(F.col("close"))).withColumn("regime", regime_of(F.col("date"))).where("lr IS NOT NULL AND regime IS NOT NULL")
@@ -43,11 +102,12 @@ def return_statistics(bars: DataFrame) -> DataFrame:
 def distribution(df: DataFrame, value: str) -> DataFrame:
     """Distribution of a column by ticker and regime, with exact quantiles."""
     x = F.col(value)
-    q = F.percentile(x, F.array(*[F.lit(q) for q in C.QUANTILES]))
-    out = df.withColumn("regime", regime_of(F.col("date"))).where(x.isNotNull() & F.col("regime").isNotNull())
-    out = out.groupBy("ticker", "regime").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), q.alias("q"), F.min(x).alias("low"), F.max(x).alias("high"))
-    named = [F.col("q")[i].alias(f"q{round(100 * v):02d}") for i, v in enumerate(C.QUANTILES)]
-    return out.select("ticker", "regime", "n", "mean", "std", F.try_divide("std", F.abs("mean")).alias("cv"), *named, "low", "high")
+    kept = df.withColumn("regime", regime_of(F.col("date"))).where(x.isNotNull() & F.col("regime").isNotNull()).select("ticker", "regime", value)
+    kept, by = once(kept), ["ticker", "regime"]
+    out = kept.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"))
+    named = {f"q{round(100 * v):02d}": v for v in C.QUANTILES}
+    whole = matched(out, exact_quantiles(kept, by, value, named), by)
+    return whole.select(*by, "n", "mean", "std", F.try_divide("std", F.abs("mean")).alias("cv"), *named, "low", "high")
 
 
 def spread(distributions: DataFrame) -> DataFrame:
@@ -88,8 +148,8 @@ def inside_band(df: DataFrame, position: str = "bb_percent_b") -> DataFrame:
 
 def tails(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
     """Median, mean, percent beyond each threshold and their ratio, and the thresholds that would be as rare on both sides."""
-    x = F.col(value)
-    return df.where(x.isNotNull()).groupBy("ticker").agg(
-        F.count("*").alias("n"), F.median(x).alias("median"), F.avg(x).alias("mean"), (F.avg((x < low).cast("double")) * 100).alias("low_pct"), (F.avg((x > high).cast("double")) * 100).alias("high_pct"),
-        F.try_divide(F.avg((x > high).cast("double")), F.avg((x < low).cast("double"))).alias("ratio"), F.percentile(x, F.lit(0.05)).alias("even_low"), F.percentile(x, F.lit(0.95)).alias("even_high"),
-    )
+    x, kept = F.col(value), once(df.where(F.col(value).isNotNull()).select("ticker", value))
+    out = kept.groupBy("ticker").agg(
+        F.count("*").alias("n"), F.avg(x).alias("mean"), (F.avg((x < low).cast("double")) * 100).alias("low_pct"), (F.avg((x > high).cast("double")) * 100).alias("high_pct"), F.try_divide(F.avg((x > high).cast("double")), F.avg((x < low).cast("double"))).alias("ratio")
+    )
+    return matched(out, exact_quantiles(kept, ["ticker"], value, {"median": 0.5, "even_low": 0.05, "even_high": 0.95}), ["ticker"])

@@ -2,13 +2,12 @@
 
 A draw orders its pool by a hash of seed, iteration and key and takes the first n. That is the
 same under any partitioning and in any engine. Blocks of iterations are spread over the tasks, so all
-draws of all tests are one job; ``golden_means`` replays a sequential generator instead.
+draws of all tests are one job.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from hashlib import md5
 
 import numpy as np
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import config as C
+from tidemark.functions.tables import once
 
 
 #: Iterations of one block, which is one row of work.
@@ -79,9 +79,10 @@ def p_value(extreme: Column, total: Column) -> Column:
 
 
 def mc_interval(p: Column, b: int) -> dict[str, Column]:
-    """Monte Carlo error of a p-value and its 95 % interval, cut at zero."""
-    se = F.sqrt(p * (1.0 - p) / float(b))
-    return {"mc_se": se, "ci_low": F.greatest(p - 1.96 * se, F.lit(0.0)), "ci_high": p + 1.96 * se}
+    """Monte Carlo error of a p-value, its 95 % interval, cut at zero, how many errors it lies under the level of one of all tests, and whether the interval holds that level."""
+    se, level = F.sqrt(p * (1.0 - p) / float(b)), C.ALPHA / C.TESTS
+    low, high = F.greatest(p - 1.96 * se, F.lit(0.0)), p + 1.96 * se
+    return {"mc_se": se, "ci_low": low, "ci_high": high, "distance": F.try_divide(level - p, se), "straddles": (low < level) & (high > level)}
 
 
 def mean_test(events: DataFrame, pool: DataFrame, iterations: int, studentized: bool = False, seed: int = C.SEED) -> DataFrame:
@@ -106,46 +107,61 @@ def mean_test(events: DataFrame, pool: DataFrame, iterations: int, studentized:
     return out.withColumns({"p": p, "passes": p < C.ALPHA / C.TESTS} | mc_interval(p, iterations))
 
 
-def stratified_test(rows: DataFrame, iterations: int, seed: int = C.SEED, least: int = C.LEAST_SIGNALS, drop: int | None = None) -> DataFrame:
-    """Studentized mean of signals, centred on the non-signal days of their stratum, against draws from these.
+def stratum_draws(rows: DataFrame, iterations: int, seed: int = C.SEED) -> tuple[DataFrame, DataFrame]:
+    """By stratum: count and sums of the signals' returns, centred on the stratum's other days; and by stratum and iteration the count, mean and variance of as many drawn from these.
 
-    ``rows`` has date, stratum, is_signal and ret. Strata with fewer than ``least`` signals are out;
-    ``drop`` leaves one more out.
+    A stratum's draws don't depend on which other strata are looked at, so they are made once for all tests.
     """
     kept = rows.where("ret IS NOT NULL AND stratum IS NOT NULL")
-    if drop is not None:
-        kept = kept.where(F.col("stratum") != drop)
-    per = Window.partitionBy("stratum")
-    sig = F.col("is_signal")
-    c = kept.withColumns({"n_sig": F.count_if(sig).over(per), "mu": F.avg(F.when(~sig, F.col("ret"))).over(per)}).where(F.col("n_sig") >= least).withColumn("e", F.col("ret") - F.col("mu"))
-    t = lambda: F.abs(F.avg("e") / (F.stddev_samp("e") / F.sqrt(F.count("e").cast("double"))))
-    seen = c.where(sig).agg(F.count("*").alias("n"), F.avg("e").alias("mean_diff"), t().alias("statistic"))
+    per, sig = Window.partitionBy("stratum"), F.col("is_signal")
+    c = once(kept.withColumns({"n_sig": F.count_if(sig).over(per), "mu": F.avg(F.when(~sig, F.col("ret"))).over(per)}).where("n_sig > 0").withColumn("e", F.col("ret") - F.col("mu")).select("date", "stratum", "is_signal", "n_sig", "e"))
+    seen = c.where(sig & F.col("e").isNotNull()).groupBy("stratum").agg(F.count("*").alias("n_sig"), F.sum("e").alias("s1"), F.sum(F.col("e") * F.col("e")).alias("s2"))
     sums = draw_sums(c.where(~sig).withColumn("ns", F.array("n_sig")), "e", iterations, ["stratum"], seed)
-    total, middle = F.sum("n_sig"), F.sum(F.col("n_sig") * F.col("m_sig")) / F.sum("n_sig")
-    square = F.sum((F.col("n_sig") - 1) * F.coalesce("v_sig", F.lit(0.0)) + F.col("n_sig") * F.col("m_sig") * F.col("m_sig")) - total * middle * middle
-    per_draw = sums.where("n_sig > 0").groupBy("iteration").agg(total.alias("n"), middle.alias("m"), square.alias("ss"))
-    spread = F.sqrt(F.greatest(F.col("ss"), F.lit(0.0)) / (F.col("n") - 1))
-    drawn = per_draw.where("n > 1").select("iteration", F.abs(F.try_divide("m", spread / F.sqrt(F.col("n").cast("double")))).alias("drawn_t")).where("drawn_t IS NOT NULL")
-    both = drawn.join(F.broadcast(seen))
-    out = both.agg(F.max("n").alias("n"), F.max("mean_diff").alias("mean_diff"), F.max("statistic").alias("statistic"), F.count_if(F.col("drawn_t") >= F.col("statistic")).alias("extreme"), F.count("*").alias("draws"))
+    return once(seen), once(sums.select("stratum", "iteration", "n_sig", "m_sig", "v_sig"))
+
+
+def student(n: Column, s1: Column, s2: Column) -> Column:
+    """|mean / (deviation / sqrt(n))| from a count, a sum and a sum of squares."""
+    spread = F.sqrt(F.greatest(s2 - s1 * s1 / n, F.lit(0.0)) / (n - 1))
+    return F.when(n > 1, F.abs(F.try_divide(s1 / n, spread / F.sqrt(n.cast("double")))))
+
+
+def tested_strata(seen: DataFrame, sums: DataFrame, variants: DataFrame) -> DataFrame:
+    """The studentized test for each of ``variants`` (variant, least, dropped): on the strata with ``least`` signals, without the dropped one. They are a few rows."""
+    fits = lambda s: (F.col(f"{s}.n_sig") >= F.col("v.least")) & ~F.col(f"{s}.stratum").eqNullSafe(F.col("v.dropped"))
+    v = F.broadcast(variants).alias("v")
+    n, s1, s2 = F.sum("n_sig"), F.sum("s1"), F.sum("s2")
+    whole = seen.alias("s").join(v, fits("s")).groupBy("variant").agg(n.alias("n"), (s1 / n).alias("mean_diff"), student(n, s1, s2).alias("statistic"))
+    parts = sums.withColumns({"s1": F.col("n_sig") * F.col("m_sig"), "s2": (F.col("n_sig") - 1) * F.coalesce("v_sig", F.lit(0.0)) + F.col("n_sig") * F.col("m_sig") * F.col("m_sig")}).where("n_sig > 0")
+    drawn = parts.alias("d").join(v, fits("d")).groupBy("variant", "iteration").agg(student(n, s1, s2).alias("drawn_t")).where("drawn_t IS NOT NULL")
+    out = drawn.join(F.broadcast(whole), "variant").groupBy("variant").agg(
+        F.max("n").alias("n"), F.max("mean_diff").alias("mean_diff"), F.max("statistic").alias("statistic"), F.count_if(F.col("drawn_t") >= F.col("statistic")).alias("extreme"), F.count("*").alias("draws")
+    )
     return out.withColumn("p", p_value(F.col("extreme"), F.col("draws")))
 
 
-def leave_one_out(rows: DataFrame, strata: list[int], iterations: int, seed: int = C.SEED) -> DataFrame:
-    """``stratified_test`` without each of the strata in turn: dropped, and the test's columns."""
-    return reduce(DataFrame.unionByName, [stratified_test(rows, iterations, seed, drop=k).withColumn("dropped", F.lit(k)) for k in strata])
+VARIANT = "variant string, least int, dropped int"
+
+
+def stratified_test(rows: DataFrame, iterations: int, seed: int = C.SEED, least: int = C.LEAST_SIGNALS, drop: int | None = None) -> DataFrame:
+    """Studentized mean of signals, centred on the non-signal days of their stratum, against draws from these.
+
+    ``rows`` has date, stratum, is_signal and ret. Strata with fewer than ``least`` signals are out;
+    ``drop`` leaves one more out.
+    """
+    variants = rows.sparkSession.createDataFrame([("one", least, drop)], VARIANT)
+    return tested_strata(*stratum_draws(rows, iterations, seed), variants).drop("variant")
 
 
 def stratified_report(rows: DataFrame, iterations: int, seed: int = C.SEED, least: int = C.LEAST_SIGNALS) -> DataFrame:
-    """The stratified test, its largest p without one stratum, its p with all strata, and whether few draws were extreme."""
-    counted = rows.where("ret IS NOT NULL AND stratum IS NOT NULL AND is_signal").groupBy("stratum").count().where(F.col("count") >= least)
-    strata = sorted(r["stratum"] for r in counted.collect())  # a handful of bins
-    whole, every = stratified_test(rows, iterations, seed, least), stratified_test(rows, iterations, seed, 1)
-    out = whole.withColumn("low_resolution", F.col("extreme") < 10).join(F.broadcast(every.select(F.col("p").alias("p_all_strata"))))
-    if len(strata) < 2:
-        return out.withColumn("p_leave_one_out", F.lit(None).cast("double")).withColumn("dominated", F.lit(False))
-    most = leave_one_out(rows, strata, iterations, seed).agg(F.max("p").alias("p_leave_one_out"))
-    return out.join(F.broadcast(most)).withColumn("dominated", F.col("p_leave_one_out") > C.ALPHA)
+    """The stratified test, its largest p without one stratum, its p with all strata, and whether few draws were extreme. All of them share the draws."""
+    seen, sums = stratum_draws(rows, iterations, seed)
+    fixed = rows.sparkSession.createDataFrame([("whole", least, None), ("every", 1, None)], VARIANT)
+    out = seen.where(F.col("n_sig") >= least).select(F.concat(F.lit("without "), F.col("stratum").cast("string")).alias("variant"), F.lit(least).alias("least"), F.col("stratum").cast("int").alias("dropped"))
+    found = once(tested_strata(seen, sums, fixed.unionByName(out)))
+    rest = found.agg(F.max(F.when(F.col("variant") == "every", F.col("p"))).alias("p_all_strata"), F.max(F.when(F.col("variant").startswith("without"), F.col("p"))).alias("p_leave_one_out"))
+    whole = found.where("variant = 'whole'").drop("variant").withColumn("low_resolution", F.col("extreme") < 10)
+    return whole.join(F.broadcast(rest)).withColumn("dominated", F.coalesce(F.col("p_leave_one_out") > C.ALPHA, F.lit(False)))
 
 
 def stratum_sums(by: list[str], flag: str, y: str) -> list[Column]:
@@ -177,24 +193,3 @@ def label_test(frame: DataFrame, iterations: int, y: str = "log_vol_post", seed:
         F.max("seen_delta").alias("delta"), F.max("seen_se").alias("se"), F.max("seen_t").alias("t"), F.count_if(F.abs("delta") >= F.abs("seen_delta")).alias("extreme_raw"), F.count_if(F.abs("t") >= F.abs("seen_t")).alias("extreme_stud"), F.count("*").alias("draws")
     )
     return out.withColumns({"p_raw": p_value(F.col("extreme_raw"), F.col("draws")), "p_stud": p_value(F.col("extreme_stud"), F.col("draws"))})
-
-
-def golden_means(tests: DataFrame, draws_each: int = C.DRAWS, seed: int = C.SEED) -> DataFrame:
-    """The mean test with one sequential generator over all tests in order, as published results need it.
-
-    ``tests`` has test (its place in the order), n, mean and the array ``pool``: a bounded number of
-    rows, and inherently one task, since each draw depends on those before it.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("test")
-        rng = np.random.default_rng(seed)
-        out = []
-        for r in rows.itertuples():
-            pool = np.asarray(r.pool, dtype=float)
-            seen = abs(r.mean - pool.mean())
-            extreme = sum(abs(rng.choice(pool, size=r.n, replace=False).mean() - pool.mean()) >= seen for _ in range(draws_each))
-            out.append((r.test, extreme, (1 + extreme) / (1 + draws_each)))
-        yield pd.DataFrame(out, columns=["test", "extreme", "p"])
-
-    return tests.coalesce(1).mapInPandas(run, "test int, extreme long, p double")

@@ -45,13 +45,16 @@ def write_bars(bars: DataFrame, path: str) -> None:
     bars.orderBy("ticker", "date").write.mode("overwrite").parquet(path)
 
 
-def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).withColumn("date", F.to_date("date"))
+def read_bars(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+    """Bars in the canonical schema; a file without one of its columns gives nulls there. ``ordered`` sorts them by ticker and date."""
+    bars = spark.read.schema(SCHEMA).parquet(path)
+    return bars.orderBy("ticker", "date") if ordered else bars
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV with a header; for reports of bounded size."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """One CSV with a header; for reports of bounded size. With ``mark`` it starts with a UTF-8 byte-order mark, which goes before the first column's name."""
+    named = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]) if mark else df
+    named.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_trades_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -11,19 +11,20 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemark import config as C
 
 OUT = "ticker string, date date, rsi double, signal boolean"
-STATE = "n long, close double, gain double, loss double, low boolean"
+STATE = "n long, close double, gain double, loss double, low boolean, last date"
 
 
 def rsi_edges(bars: DataFrame, n: int = C.RSI_PERIOD, low: float = C.RSI_LOW) -> DataFrame:
     """date, ticker, rsi and whether the RSI has just fallen below ``low``, for a stream of bars.
 
-    Bars of a ticker must arrive in date order over batches; inside a batch they are sorted. The
-    results equal those of the batch operators over the same bars.
+    Inside a batch bars are sorted. A bar that isn't later than the last one of its ticker in an earlier batch comes too late: it is passed over, changes nothing and has no
+    row. Else the results equal those of the batch operators over the same bars.
     """
 
     def step(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, close, gain, loss, below = state.get if state.exists else (0, float("nan"), 0.0, 0.0, False)
+        seen, close, gain, loss, below, last = state.get if state.exists else (0, float("nan"), 0.0, 0.0, False, None)
         rows = pd.concat(list(batches)).sort_values("date")
+        rows = rows if last is None else rows[rows["date"] > last]
         out = []
         for date, price in zip(rows["date"], rows["close"], strict=True):
             rsi = None
@@ -39,7 +40,7 @@ def rsi_edges(bars: DataFrame, n: int = C.RSI_PERIOD, low: float = C.RSI_LOW) ->
             now = rsi is not None and rsi < low
             out.append((key[0], date, rsi, now and not below))
             below = now
-        state.update((seen, close, gain, loss, below))
+        state.update((seen, close, gain, loss, below, rows["date"].iloc[-1] if len(rows) else last))
         yield pd.DataFrame(out, columns=["ticker", "date", "rsi", "signal"])
 
     return bars.select("ticker", "date", "close").groupBy("ticker").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
