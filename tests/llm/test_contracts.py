@@ -19,6 +19,7 @@ TABLES = {
     "pages": "page_id long, url string, html string, text string, n_chars long",
     "benchmark": "item_id long, text string, doc_id long",
     "embeddings": "vec_id long, embedding array<float>, label int, query_id long, rank int, part int",
+    "conversations": "conv_id long, turn long, role string, text string, d int, name string",
 }
 COLUMNS = {
     "op1_quality": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
@@ -31,6 +32,9 @@ COLUMNS = {
     "op8_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op9_neighbours": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
     "op10_decontamination": {"doc_id": "bigint"},
+    "op11_codebooks": {"vec_id": "bigint", "code": "string", "error": "bigint", "label_error": "bigint", "codebooks_sha256": "string"},
+    "op12_jaccard": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
+    "op13_tries": dict.fromkeys(("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"), "bigint") | {"ends_sha256": "string"},
 }
 LEAK = "the harbour master counts every lantern twice before the winter ferry leaves its mooring"
 
@@ -55,6 +59,7 @@ def odd(spark, tmp_path_factory):
         "benchmark": [(1, LEAK, 4), (2, None, None), (3, "", None), (None, "an item that has no id of its own at all", None), (1, LEAK, 4)],
         "embeddings": [(i, [float(x) for x in np.random.default_rng(i).normal(size=6)], 1, 2, 3, 4) for i in range(120)]
         + [(200, None, 1, 2, 3, 4), (300, [0.0] * 6, 1, 2, 3, 4), (400, [float("nan")] * 6, 1, 2, 3, 4), (500, [1.0, None, 1.0, 1.0, 1.0, 1.0], 1, 2, 3, 4), (501, [float("inf")] * 6, 1, 2, 3, 4)],
+        "conversations": [(1, 0, "user", "hello", 9, "n"), (1, None, None, None, 9, "n"), (1, None, None, None, 9, "n"), (None, 0, "user", "x", 9, "n"), (100, 3, "user", "y" * 100000, None, None)],
     }
     return write(spark, tmp_path_factory.mktemp("odd"), rows)
 
@@ -93,7 +98,7 @@ def test_odd_tables(spark, odd, name):
     rows = out.collect()
     docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{odd}/documents.parquet").collect()]
     by_id = lambda x: (x is None, x or 0)
-    if name not in ("op3_html", "op4_packing", "op9_neighbours", "op10_decontamination"):
+    if name not in ("op3_html", "op4_packing", "op9_neighbours", "op10_decontamination", "op11_codebooks", "op13_tries"):
         assert sorted((r["doc_id"] for r in rows), key=by_id) == sorted((i for i, _ in docs), key=by_id)
     if name in ("op1_quality", "op8_toxicity"):
         n, rest = (3, 1) if name == "op1_quality" else (5, 0)
@@ -140,6 +145,13 @@ def test_odd_tables(spark, odd, name):
             assert all(x == pytest.approx(far[i], rel=1e-12) for _, i, x in found)
             assert [(x, i) for _, i, x in found] == sorted((x, i) for _, i, x in found)
         assert {r["query_id"] for r in rows} == {0, 100}
+    elif name == "op11_codebooks":
+        assert sorted(r["vec_id"] for r in rows) == [*range(120), 300] and all(len(r["code"]) == 32 for r in rows)
+    elif name == "op12_jaccard":
+        assert {r["component_id"] for r in rows if r["doc_id"] in (4, 63, 64)} == {4}
+        assert all(r["n_shingles"] == 0 and r["component_id"] == r["doc_id"] for r in rows if r["doc_id"] in (0, 1, 2))
+    elif name == "op13_tries":
+        assert [(r["conv_id"], r["n_convs"]) for r in rows if r["depth"] == 0] == [(1, 2)]
     elif name == "op10_decontamination":
         leaks = [i for i, t in docs if LEAK in t]
         assert {r["doc_id"] for r in rows} == set(leaks) and None in leaks
