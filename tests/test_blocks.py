@@ -48,7 +48,7 @@ def wilder(x, n):
     return out
 
 
-@pytest.mark.parametrize("days", [1, 2, 3, 7, 40, 10_000])
+@pytest.mark.parametrize("days", [1, 7, 10_000])
 def test_recursive_means_at_any_block_size(spark, days):
     x = np.concatenate((holed(5, 1, 1.0), [50.0] * 4, holed(120, 2)))  # no hole among the first rows that have a value
     frame = series(spark, x)
@@ -58,7 +58,7 @@ def test_recursive_means_at_any_block_size(spark, days):
         np.testing.assert_allclose(column(got, name), want, rtol=1e-12, equal_nan=True)
 
 
-@pytest.mark.parametrize("days", [1, 3, 40])
+@pytest.mark.parametrize("days", [1, 40])
 def test_a_hole_in_the_seed_leaves_no_mean_and_short_series_none(spark, days):
     assert all(v != v for v in column(indicators.recursive(series(spark, [1, 2, None, 4, 5, 6, 7, 8]), {"w": indicators.rma("close", 4)}, days), "w"))
     assert all(v != v for v in column(indicators.recursive(series(spark, [1, 2, 3]), {"w": indicators.rma("close", 4)}, days), "w"))
@@ -77,7 +77,7 @@ def test_rsi_with_holes_at_any_block_size(spark, seed):
     g, low = mean(side(1)), mean(side(-1))
     with np.errstate(all="ignore"):
         want = np.where(np.isnan(g) | np.isnan(low), np.nan, np.where(low == 0, np.where(g == 0, 50.0, 100.0), 100 - 100 / (1 + g / low)))
-    for days in (1, 5, 1000):
+    for days in (1, 1000):
         np.testing.assert_allclose(column(indicators.rsi_wilder(frame, 3, seed, days), name), want, rtol=1e-9, equal_nan=True)
 
 
@@ -95,7 +95,7 @@ def test_one_ticker_runs_in_many_tasks(spark):
     assert got >= 8 and binned >= 8
 
 
-@pytest.mark.parametrize("days", [1, 4, 1000])
+@pytest.mark.parametrize("days", [1, 7])
 def test_prefixes(spark, days):
     x = holed(40, 5)
     got = prefixes(series(spark, x), {"s": Prefix("sum", F.col("close")), "top": Prefix("max", F.col("close")), "low": Prefix("min", F.col("close"), before=True), "p": Prefix("product", 1 + F.col("close") / 1000), "l": Prefix("last", F.col("close")), "one": Prefix("first", F.col("close"))}, days=days)
@@ -154,7 +154,7 @@ def plain_bins(x, bins, least):
 def test_expanding_bins(spark, days, kind):
     x = holed(150, 6)
     x = {"smooth": x, "tied": np.round(x / 3), "same": np.where(np.isnan(x), x, 2.0)}[kind]
-    for bins, least in ((5, 20), (2, 1), (3, 2)):
+    for bins, least in ((5, 20), (2, 1)):
         got = column(expanding_bins(series(spark, x), "close", "bin", bins, least, days=days), "bin")
         np.testing.assert_allclose(got, plain_bins(x, bins, least), equal_nan=True)
     assert column(expanding_bins(series(spark, [3, None]), "close", "bin", 1, 9, days=days), "bin") == pytest.approx([1, math.nan], nan_ok=True)
