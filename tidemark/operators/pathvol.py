@@ -140,7 +140,7 @@ def counts(frame: DataFrame, thinned: DataFrame) -> DataFrame:
     """Signals and controls by stratum before and after thinning, with a total row (stratum null)."""
     both = frame.select("stratum", "is_signal", F.lit(0).alias("after")).unionByName(thinned.select("stratum", "is_signal", F.lit(1).alias("after")))
     # a row of no stratum and no kind, so that there is a total even if no other row is
-    both = both.unionByName(frame.sparkSession.createDataFrame([(None, None, None)], both.schema))
+    both = both.unionByName(frame.sparkSession.createDataFrame([(None, None, None)], "stratum int, is_signal boolean, after int"))
     n = lambda sig, after: F.count_if((F.col("is_signal") == sig) & (F.col("after") == after))
     sums = [n(True, 0).alias("signals"), n(False, 0).alias("controls"), n(True, 1).alias("signals_thinned"), n(False, 1).alias("controls_thinned")]
     return both.rollup("stratum").agg(F.grouping_id().alias("_total"), *sums).where("_total = 1 OR stratum IS NOT NULL").drop("_total")
