@@ -137,7 +137,8 @@ def tested_strata(seen: DataFrame, sums: DataFrame, variants: DataFrame) -> Data
     out = drawn.join(F.broadcast(whole), "variant").groupBy("variant").agg(
         F.max("n").alias("n"), F.max("mean_diff").alias("mean_diff"), F.max("statistic").alias("statistic"), F.count_if(F.col("drawn_t") >= F.col("statistic")).alias("extreme"), F.count("*").alias("draws")
     )
-    return out.withColumn("p", p_value(F.col("extreme"), F.col("draws")))
+    every = variants.select("variant").join(out, "variant", "left").na.fill(0, ["extreme", "draws"])  # also where no stratum has enough signals
+    return every.withColumn("p", p_value(F.col("extreme"), F.col("draws")))
 
 
 VARIANT = "variant string, least int, dropped int"
