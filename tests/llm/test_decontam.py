@@ -125,3 +125,30 @@ def test_operator_on_odd_rows(spark):
     assert left.columns == d.columns and sorted(map(tuple, left.collect()), key=key) == sorted(((*r, 1.0, "n") for k, r in enumerate(rows) if k not in leaks), key=key)
     assert decontam.contaminated(d.limit(0), bench).count() == 0 and decontam.contaminated(d, bench.limit(0)).count() == 0
     assert decontam.decontaminate(d, bench.limit(0)).count() == len(rows)
+
+
+def test_thresholds_come_from_every_item(spark):
+    rng = random.Random(3)
+    one_size = lambda n: " ".join("".join(rng.choice(LETTERS) for _ in range(n)) for _ in range(200 // (n + 1)))
+    # edits of one a word lie evenly in short words, and leave fewer signatures; only every second item has long ones
+    items = [(i, one_size((39, 4)[i % 2])) for i in range(16)]
+    index = decontam.index_items(items)
+    texts = [f"{words(rng, 40)} {edited(rng, t, 'typos', 0.95)} {words(rng, 40)}" for i, t in items if i % 2 for _ in range(10)]
+    found = {(r[0], index.ids[r[1]]) for r in decontam.search(texts, index)}
+    assert sum((k, 2 * (k // 10) + 1) in found for k in range(len(texts))) >= 0.95 * len(texts)
+    other = decontam.index_items(items[1:] + items[:1])
+    assert set(index.least.tolist()) == set(other.least.tolist())
+    bench = spark.createDataFrame([*items, (90, None), (91, ""), (92, "ka ti"), (None, items[1][1])], "item_id long, text string").repartition(3)
+    many = decontam.item_thresholds(bench, decontam.SIMILARITY)
+    assert many == decontam.shapes_and_thresholds(lambda k, c: decontam.tally(((flat(t), 1 + (i == 1)) for i, t in items), decontam.SIMILARITY, k, c))
+    held = decontam.indexes(bench, decontam.SIMILARITY)[0].value
+    assert {(many[decontam.length_class(len(t))][1]) for t in held.texts if len(t) >= decontam.LEAST_BYTES} == set(held.least[held.sizes >= decontam.LEAST_BYTES].tolist())
+
+
+def test_copies_of_a_long_item_are_simulated_a_few_at_a_time(monkeypatch):
+    item, rows = flat(words(random.Random(1), 400)), []
+    made = decontam.copies
+    monkeypatch.setattr(decontam, "COPIES", 20 * len(item))
+    monkeypatch.setattr(decontam, "copies", lambda *a: rows.append(made(*a)) or rows[-1])
+    assert decontam.kept_signatures(item, 100, 0).shape == (2, decontam.TRIALS)
+    assert max(x.nbytes for x in rows) <= 20 * len(item) and sum(map(len, rows)) == 2 * decontam.TRIALS

@@ -10,9 +10,9 @@ and an item is embedded from each of its own bytes: each start within it is one
 
 Agreeing signatures are counted by item and alignment (place in the document less place in the item, in
 bins that hold the drift of all edits allowed). A window of an item's size becomes a candidate from the
-item's threshold on. Thresholds come from ``RECALL``: for each class of length, copies with
-the edits allowed, at random places and one to a word, are embedded, and all but a share of 1 - ``RECALL`` of the
-worse of the two must reach the threshold. An item uses the first of ``SHAPES``, the most selective first, for which
+item's threshold on. Thresholds come from ``RECALL``: for each class of length, copies of every item with
+the edits allowed, at random places and one to a word, are embedded in tasks, and all but a share of 1 - ``RECALL`` of the
+worse of the two must reach the threshold; only counts by class reach the driver. An item uses the first of ``SHAPES``, the most selective first, for which
 that is at least one, or else the last. Candidates are verified by exact edit distance (Myers' bit vectors over the
 bytes), after those are left out whose parts alone are too far away.
 
@@ -26,7 +26,9 @@ Repeated rows are searched one by one, null ids are ids like any other, extra co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -41,8 +43,10 @@ from tidemark.llm.common import texts_of
 SIMILARITY = 0.8
 #: (steps of a walk, places sampled, walks), from the most selective on.
 SHAPES = ((24, 8, 3), (16, 8, 3), (12, 6, 3), (9, 4, 3))
-#: Share of the copies at the least similarity that must become candidates; copies simulated of an item, items of a class, growth of classes.
-RECALL, TRIALS, MEMBERS, CLASS = 0.98, 60, 8, 1.2
+#: Share of the copies at the least similarity that must become candidates; copies simulated of an item, growth of classes.
+RECALL, TRIALS, CLASS = 0.98, 60, 1.2
+#: Bytes of copies simulated at once.
+COPIES = 1 << 20
 LEAST_BYTES, PART_BYTES, SEED = 20, 4 << 20, 11
 #: Walks start at every so many bytes of a document.
 STRIDE = 3
@@ -134,13 +138,13 @@ def signatures(raw: np.ndarray, walk: Walk, step: int = 1) -> tuple[np.ndarray,
     return sig * np.uint64(BASE), at
 
 
-def copies(text: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
-    """``TRIALS`` rows with edits at random places, and as many with one edit in each word before all others."""
+def copies(text: np.ndarray, edits: int, rng: np.random.Generator, trials: int) -> np.ndarray:
+    """``trials`` rows with edits at random places, and as many with one edit in each word before all others."""
     start, end = borders(text)
-    out = np.tile(text, (2 * TRIALS, 1))
+    out = np.tile(text, (2 * trials, 1))
     order = rng.random(out.shape)
-    place = start + (rng.random((TRIALS, len(start))) * (end - start)).astype(np.int64)
-    first = order[TRIALS:]
+    place = start + (rng.random((trials, len(start))) * (end - start)).astype(np.int64)
+    first = order[trials:]
     np.put_along_axis(first, place, np.take_along_axis(first, place, 1) - 1, 1)
     if edits:
         at = np.argpartition(order, edits - 1, 1)[:, :edits]
@@ -148,36 +152,80 @@ def copies(text: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray
     return out
 
 
-def kept_signatures(text: bytes, edits: int, shape: int, rng: np.random.Generator) -> np.ndarray:
-    """In how many cells of the item each simulated copy shares a signature with it at its own place: 2 x ``TRIALS``."""
+def kept_signatures(text: bytes, edits: int, shape: int) -> np.ndarray:
+    """In how many cells of the item each simulated copy shares a signature with it at its own place: 2 x ``TRIALS``. The draws depend on the text alone."""
     raw = np.frombuffer(text, dtype=np.uint8)
-    made = copies(raw, edits, rng)
-    padded = np.concatenate((made, np.zeros((len(made), 1), np.uint8)), axis=1)  # walks of a copy don't reach the next
-    n = np.zeros(len(made), np.int64)
+    rng = np.random.default_rng([SEED, shape, zlib.crc32(text)])
     cells = np.arange(0, len(raw), CELL)
-    for walk in WALKS[shape]:
-        sig, end = signatures(raw, walk)
-        own = signatures(padded.ravel(), walk)[0].reshape(padded.shape)[:, :-1]
-        n += np.logical_or.reduceat((own == sig) & (end < len(raw)) & (np.arange(len(raw)) % STRIDE == 0), cells, axis=1).sum(axis=1)
-    return n.reshape(2, -1)
-
-
-def shapes_and_thresholds(texts: list[bytes], edits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The shape of each text's signatures, and how many of them a candidate must share; alike within a class of length."""
-    rng = np.random.default_rng(SEED)
-    size = np.array([len(t) for t in texts])
-    group = (np.log(np.maximum(size, 1)) / np.log(CLASS)).astype(np.int64)
-    shape, least = np.full(len(texts), len(SHAPES) - 1), np.ones(len(texts), np.int64)
-    for g in np.unique(group):
-        members = np.flatnonzero(group == g)
-        some = members[:: max(1, len(members) // MEMBERS)][:MEMBERS]
-        for k in range(len(SHAPES)):
-            found = np.concatenate([kept_signatures(texts[i], int(edits[i]), k, rng) for i in some.tolist()], axis=1)
-            enough = int(np.quantile(found, 1 - RECALL, axis=1, method="lower").min())
+    own = [signatures(raw, walk) for walk in WALKS[shape]]
+    step = max(1, COPIES // (2 * len(raw)))
+    parts = []
+    for lo in range(0, TRIALS, step):
+        made = copies(raw, edits, rng, min(step, TRIALS - lo))
+        padded = np.concatenate((made, np.zeros((len(made), 1), np.uint8)), axis=1)  # walks of a copy don't reach the next
+        n = np.zeros(len(made), np.int64)
+        for walk, (sig, end) in zip(WALKS[shape], own, strict=True):
+            met = signatures(padded.ravel(), walk)[0].reshape(padded.shape)[:, :-1]
+            n += np.logical_or.reduceat((met == sig) & (end < len(raw)) & (np.arange(len(raw)) % STRIDE == 0), cells, axis=1).sum(axis=1)
+        parts.append(n.reshape(2, -1))
+    return np.concatenate(parts, axis=1)
+
+
+def words_of(text: str) -> bytes:
+    return b" ".join(clean(text).split())
+
+
+def allowed(size: int, similarity: float) -> int:
+    """The edits of a copy of an item of ``size`` bytes."""
+    return 0 if size < LEAST_BYTES else int((1 - similarity) * size + 1e-9)
+
+
+def length_class(size: int) -> int:
+    return int(np.log(size) / np.log(CLASS))
+
+
+#: How many simulated copies of a class of length and kind of edits share how many signatures: class, kind, shared -> copies.
+Tally = Mapping[tuple[int, int, int], int]
+
+
+def tally(texts: Iterable[tuple[bytes, int]], similarity: float, shape: int, classes: set[int] | None) -> Tally:
+    """The tally of the texts, each with its number, in ``classes`` (all, if none are given); texts under ``LEAST_BYTES`` have none."""
+    out: Counter = Counter()
+    for text, times in texts:
+        group = length_class(len(text)) if len(text) >= LEAST_BYTES else None
+        if group is None or classes is not None and group not in classes:
+            continue
+        for kind, n in enumerate(kept_signatures(text, allowed(len(text), similarity), shape).tolist()):
+            for shared, copied in Counter(n).items():
+                out[group, kind, shared] += copied * times
+    return out
+
+
+def shapes_and_thresholds(tallied: Callable[[int, set[int] | None], Tally]) -> dict[int, tuple[int, int]]:
+    """The shape of the signatures of each class of length, and how many of them a candidate must share, from the tallies of all its items by shape."""
+    made: dict[int, tuple[int, int]] = {}
+    open_classes: set[int] | None = None
+    for k in range(len(SHAPES)):
+        counts: dict[tuple[int, int], dict[int, int]] = {}
+        for (group, kind, shared), n in tallied(k, open_classes).items():
+            counts.setdefault((group, kind), {})[shared] = n
+        open_classes = set()
+        for group in sorted({g for g, _ in counts}):
+            enough = min(lower_quantile(counts[group, kind], 1 - RECALL) for kind in (0, 1))
             if enough >= 1 or k + 1 == len(SHAPES):
-                shape[members], least[members] = k, max(1, enough)
-                break
-    return shape, least
+                made[group] = k, max(1, enough)
+            else:
+                open_classes.add(group)
+        if not open_classes:
+            break
+    return made
+
+
+def lower_quantile(counts: dict[int, int], share: float) -> int:
+    """The exact quantile of the values that ``counts`` counts, the lower one of two."""
+    values = sorted(counts)
+    upto = np.cumsum([counts[v] for v in values])
+    return values[int(np.searchsorted(upto, int(share * (int(upto[-1]) - 1)), side="right"))]
 
 
 @dataclass
@@ -221,16 +269,22 @@ class Items:
     first_part: np.ndarray
 
 
-def index_items(rows: list[tuple[int | None, str]], similarity: float = SIMILARITY) -> Items:
-    """Signatures of the items at each of their bytes, for walks that stay within the item."""
-    known = [(i, b" ".join(clean(t).split())) for i, t in rows]
+def index_items(rows: list[tuple[int | None, str]], similarity: float = SIMILARITY, chosen_by_class: dict[int, tuple[int, int]] | None = None) -> Items:
+    """Signatures of the items at each of their bytes, for walks that stay within the item.
+
+    Shapes and thresholds are those of ``chosen_by_class``, or come from these rows.
+    """
+    known = [(i, words_of(t)) for i, t in rows]
     known = [(i, t) for i, t in known if t]
     texts = [t for _, t in known]
     size = np.array([len(t) for t in texts], np.int64)
-    edits = np.where(size < LEAST_BYTES, 0, ((1 - similarity) * size + 1e-9).astype(np.int64))
+    edits = np.array([allowed(n, similarity) for n in size.tolist()], np.int64)
     long = np.flatnonzero(size >= LEAST_BYTES)
     shape, least = np.zeros(len(texts), np.int64), np.ones(len(texts), np.int64)
-    shape[long], least[long] = shapes_and_thresholds([texts[i] for i in long.tolist()], edits[long])
+    if chosen_by_class is None:
+        chosen_by_class = shapes_and_thresholds(lambda k, classes: tally(((t, 1) for t in texts), similarity, k, classes))
+    for i in long.tolist():
+        shape[i], least[i] = chosen_by_class[length_class(len(texts[i]))]
     seeds = []
     for k in range(len(SHAPES)):
         chosen = long[shape[long] == k].tolist()
@@ -525,14 +579,32 @@ def search(texts: list[str], items: Items) -> list[tuple[int, int, int, int, int
     return out
 
 
+def item_thresholds(benchmark: DataFrame, similarity: float) -> dict[int, tuple[int, int]]:
+    """``shapes_and_thresholds`` of all items: each is simulated in a task, equal ones once, and tallies are summed by class."""
+    tasks = int(benchmark.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = benchmark.where(F.col("text").isNotNull()).repartition(tasks, "text").groupBy("text").agg(F.count("*").alias("n"))
+
+    def tallied(k: int, classes: set[int] | None) -> Tally:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = ((words_of(t), n) for b in batches for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            found = [(*key, n) for key, n in tally(rows, similarity, k, classes).items()]
+            columns = zip(*found, strict=True) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["class", "kind", "shared", "n"])
+
+        parts = texts_of(texts, "text", "n").mapInArrow(run, "class long, kind long, shared long, n long")
+        return {(r[0], r[1], r[2]): r[3] for r in parts.groupBy("class", "kind", "shared").agg(F.sum("n")).collect()}
+
+    return shapes_and_thresholds(tallied)
+
+
 def indexes(benchmark: DataFrame, similarity: float) -> list:
     """Broadcast tables of the items, each of about ``PART_BYTES`` of their texts."""
     known = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
     parts = max(1, -(-(known.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
-    made = []
+    chosen, made = item_thresholds(known, similarity), []
     for part in range(parts):
         rows = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
-        made.append(known.sparkSession.sparkContext.broadcast(index_items([tuple(r) for r in rows], similarity)))
+        made.append(known.sparkSession.sparkContext.broadcast(index_items([tuple(r) for r in rows], similarity, chosen)))
     return made
 
 
