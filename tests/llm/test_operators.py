@@ -131,6 +131,29 @@ def test_token_ids_equal_the_librarys(monkeypatch):
     assert ids.tolist() == [2, 2, *t.encode("a").ids, 2] and at.tolist() == [0, 1, 2, 4]
 
 
+def test_unknown_cuts_go_to_the_library_many_at_a_time(monkeypatch):
+    calls = []
+
+    class Counted:
+        def __init__(self, own):
+            self.own = own
+
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return self.own.encode_batch_fast(texts, **options)
+
+    texts = [f"w{'abc'[k % 3] * (k % 40)}\u00e9{k}, {k} \u6f22{k}\n" + "#" * (k % 90) for k in range(1500)] + ["", " ", "a\u00a0b \u2003c\u0085 d\x1c e", "\u1e9e\u0250 x"]
+    for kept in (tokens.KEPT, 100):
+        monkeypatch.setattr(tokens, "KEPT", kept)
+        made = tokens.Encoder(PATH)
+        library, made.tokenizer = made.tokenizer, Counted(made.tokenizer)
+        for part in (texts, texts[::-1]):
+            ids, at = made.encode(pa.array(part))
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode(x, add_special_tokens=False).ids for x in part]
+        assert max(len(made.new), len(made.old)) <= kept
+    assert 100 < max(calls) <= 256
+
+
 def test_packing(docs, rows, empty):
     t = Tokenizer.from_file(PATH)
     ids = {r[0]: [*t.encode(r[1] or "", add_special_tokens=False).ids, 2] for r in rows}
