@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -152,3 +153,39 @@ def test_copies_of_a_long_item_are_simulated_a_few_at_a_time(monkeypatch):
     monkeypatch.setattr(decontam, "copies", lambda *a: rows.append(made(*a)) or rows[-1])
     assert decontam.kept_signatures(item, 100, 0).shape == (2, decontam.TRIALS)
     assert max(x.nbytes for x in rows) <= 20 * len(item) and sum(map(len, rows)) == 2 * decontam.TRIALS
+
+
+@pytest.mark.parametrize("few", [0, 1 << 40])
+def test_distances_by_arrays_and_by_integers(monkeypatch, few):
+    rng = random.Random(5)
+    monkeypatch.setattr(decontam, "FEW", few)
+    texts = [flat(words(rng, 60))[:n] for n in (1, 2, 20, 63, 64, 65, 127, 128, 129, 200)]
+    windows = [flat(f"{words(rng, 3)} {edited(rng, t.decode(), kind, 0.2)} {words(rng, 8)}") for t in texts for kind in ("letters", "mixed")]
+    windows += [b"", b"ka\0ka", *texts]
+    item = np.repeat(np.arange(len(texts)), len(windows))
+    best, stop = decontam.nearest(decontam.Patterns(texts), item, [np.frombuffer(w, np.uint8) for w in windows] * len(texts))
+    for k, i in enumerate(item.tolist()):
+        own, window = texts[i], windows[k % len(windows)]
+        assert best[k] == slow_distance(own, window) == slow_distance(own, window[: stop[k]]), (own, window)
+        assert stop[k] == 0 or slow_distance(own, window[: stop[k] - 1]) > best[k]
+
+
+def test_few_windows_take_no_array_step_for_each_word():
+    rng = random.Random(5)
+    item, lines = flat(words(rng, 400)), 0
+    window = np.frombuffer(flat(f"{words(rng, 9)} {edited(rng, item.decode(), 'letters', 0.1)}"), np.uint8)
+    patterns = decontam.Patterns([item])
+    patterns.mask(0)
+
+    def count(frame, event, arg):
+        nonlocal lines
+        lines += event == "line"
+        return count
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        best, _ = decontam.nearest(patterns, np.array([0]), [window])
+    finally:
+        sys.settrace(before)
+    assert 0 < best[0] <= 0.1 * len(item) and lines < 30 * len(window)

@@ -56,6 +56,8 @@ CELL = 8
 PART = 64
 #: Bytes of a block, of the blocks whose candidates are verified together, and windows verified at once.
 BLOCK, HELD, BATCH = 1 << 17, 8 << 20, 4_096
+#: Windows, by machine word of the pattern, up to which a step of Python's integers costs less than one of arrays.
+FEW = 60
 BLANKS = bytes(32 if c < 48 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 127 else c for c in range(256))
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -105,8 +107,8 @@ def word_hashes(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 @dataclass
 class Walk:
-    shift: list[bytes]  # of each step: whether the walker moves on, by byte
-    places: frozenset[int]  # sampled steps
+    words: np.ndarray  # of each byte: the byte in the upper 8 bits, and in bit j whether the walker moves on at step j
+    places: list[int]  # sampled steps, ascending
 
 
 def walks(shape: tuple[int, int, int]) -> list[Walk]:
@@ -114,8 +116,9 @@ def walks(shape: tuple[int, int, int]) -> list[Walk]:
     rng = np.random.default_rng(SEED + steps)
     made = []
     for _ in range(count):
-        shift = [x.tobytes() for x in (rng.random((steps, 256)) < 0.5).astype(np.uint8)]
-        made.append(Walk(shift, frozenset(((np.arange(sampled) + rng.random(sampled)) * steps // sampled).astype(int).tolist())))
+        moves = (rng.random((steps, 256)) < 0.5).astype(np.uint32)  # 24 steps at most
+        words = (moves << np.arange(steps, dtype=np.uint32)[:, None]).sum(axis=0, dtype=np.uint32) | np.arange(256, dtype=np.uint32) << np.uint32(24)
+        made.append(Walk(words, sorted(set(((np.arange(sampled) + rng.random(sampled)) * steps // sampled).astype(int).tolist()))))
     return made
 
 
@@ -124,17 +127,22 @@ WALKS = [walks(shape) for shape in SHAPES]
 
 def signatures(raw: np.ndarray, walk: Walk, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The sampled bytes of the walk from every ``step``-th byte of ``raw``, hashed one to one, and the last byte sampled."""
-    last = max(walk.places)
-    padded = raw.tobytes() + bytes(last + 1)
-    byte = np.frombuffer(padded, np.uint8)
+    last = walk.places[-1]
+    words = np.take(walk.words, np.concatenate((raw, np.zeros(last + 1, np.uint8))))
     at = np.arange(0, len(raw), step)
-    sig, held = np.zeros(len(at), dtype=np.uint64), np.empty(len(at), np.uint8)
+    held, byte = np.empty(len(at), np.uint32), np.empty(len(at), np.uint32)
+    high, low = np.zeros(len(at), np.uint32), np.zeros(len(at), np.uint32)  # the bytes sampled, the last four in ``low``
     for j in range(last + 1):
+        np.take(words, at, out=held, mode="clip")
         if j in walk.places:
-            sig <<= np.uint64(8)
-            sig |= np.take(byte, at, out=held, mode="clip")
+            half = low if j in walk.places[-4:] else high
+            half <<= np.uint32(8)
+            half |= np.right_shift(held, np.uint32(24), out=byte)
         if j < last:
-            at += np.take(np.frombuffer(padded.translate(walk.shift[j]), np.uint8), at, out=held, mode="clip")
+            held >>= np.uint32(j)
+            held &= np.uint32(1)
+            at += held
+    sig = high.astype(np.uint64) << np.uint64(32) | low
     return sig * np.uint64(BASE), at
 
 
@@ -311,10 +319,30 @@ def index_items(rows: list[tuple[int | None, str]], similarity: float = SIMILARI
     return Items([i for i, _ in known], texts, size, counts, seeds, least, edits, table, Patterns(texts), Patterns([x for c in cut for x in c]), first)
 
 
+def nearest_one(mask: dict[int, int], size: int, window: bytes) -> tuple[int, int]:
+    """``nearest`` for one pattern of ``size`` bytes, on Python's integers."""
+    full, last = (1 << size) - 1, 1 << size - 1
+    plus, minus, score, least, end = full, 0, size, size, 0
+    for j, c in enumerate(window, 1):
+        eq = mask.get(c, 0)
+        xv = eq | minus
+        d = ((eq & plus) + plus ^ plus) | eq
+        hp, hm = minus | full & ~(d | plus), plus & d
+        if hp & last:
+            score += 1
+        elif hm & last:
+            score -= 1
+            if score < least:
+                least, end = score, j
+        hp <<= 1
+        plus, minus = (hm << 1 | ~(xv | hp)) & full, hp & xv & full
+    return least, end
+
+
 def nearest(patterns: Patterns, item: np.ndarray, windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Least edit distance of each pattern to any stretch of its window, and where that stretch ends.
 
-    Patterns of as many machine words are handled together, one place of all their windows a step.
+    Patterns of as many machine words are handled together, one place of all their windows a step; few windows one by one.
     """
     best, stop = np.zeros(len(item), np.int64), np.zeros(len(item), np.int64)
     sizes = np.array([len(patterns.texts[i]) for i in item.tolist()], np.int64)
@@ -325,38 +353,65 @@ def nearest(patterns: Patterns, item: np.ndarray, windows: list[np.ndarray]) ->
         for lo in range(0, len(part), BATCH):
             at = part[lo : lo + BATCH]
             n, width = len(at), int(sizes[at[0]] + 63) // 64
+            if lengths[at].sum() < FEW * width * lengths[at].max():
+                for x in at.tolist():
+                    best[x], stop[x] = nearest_one(patterns.mask(int(item[x])), int(sizes[x]), windows[x].tobytes())
+                continue
             text = np.zeros((n, lengths[at].max()), np.uint8)  # no pattern has a zero byte
             for k, x in enumerate(at.tolist()):
                 text[k, : lengths[x]] = windows[x]
             text = np.ascontiguousarray(text.T)
             which, own = np.unique(item[at], return_inverse=True)
-            table = np.zeros((width, len(which) * 256), np.uint64)
+            # patterns end at the top bit; the bits below a pattern match any byte at no cost
+            table, plus = np.zeros((width, len(which) * 256), np.uint64), np.full((width, n), ~np.uint64(0))
+            below = (-sizes[at] % 64).astype(np.uint64)
+            plus[0] <<= below
             for k, i in enumerate(which.tolist()):
+                lead = -len(patterns.texts[i]) % 64
+                table[0, k * 256 : k * 256 + 256] = (1 << lead) - 1
                 for c, mask in patterns.mask(i).items():
-                    table[:, k * 256 + c] = np.frombuffer(mask.to_bytes(width * 8, "little"), np.uint64)
+                    table[:, k * 256 + c] |= np.frombuffer((mask << lead).to_bytes(width * 8, "little"), np.uint64)
+            minus = np.zeros((width, n), np.uint64)
             row = own.reshape(-1) * 256
-            final = ((sizes[at] - 1) % 64).astype(np.uint64)
-            plus = [np.full(n, ~np.uint64(0)) for _ in range(width)]
-            minus = [np.zeros(n, np.uint64) for _ in range(width)]
             score = sizes[at].copy()
             least, end = score.copy(), np.zeros(n, np.int64)
+            spot, better, sign = np.empty(n, np.int64), np.empty(n, bool), np.empty(n, np.int64)
+            eq, xv, d, hp, hm, up, down, rise, fall = np.empty((9, n), np.uint64)
             for j in range(len(text)):
-                spot = row + text[j]
-                up = down = np.uint64(0)  # carried from the word before
-                for w in range(width):
-                    p, eq = plus[w], table[w][spot]
-                    xv = eq | minus[w]
-                    eq |= down
-                    d = (((eq & p) + p) ^ p) | eq
-                    hp, hm = minus[w] | ~(d | p), p & d
-                    if w + 1 == width:
-                        score += ((hp >> final) & one).astype(np.int64) - ((hm >> final) & one).astype(np.int64)
-                    shifted, lowered = hp << one | up, hm << one | down
-                    up, down = hp >> top, hm >> top
-                    plus[w], minus[w] = lowered | ~(xv | shifted), shifted & xv
-                better = score < least
+                np.add(row, text[j], out=spot)
+                for w, (p, m) in enumerate(zip(plus, minus, strict=True)):
+                    np.take(table[w], spot, out=eq, mode="clip")
+                    np.bitwise_or(eq, m, out=xv)
+                    if w:
+                        eq |= down
+                    np.bitwise_and(eq, p, out=d)
+                    d += p
+                    d ^= p
+                    d |= eq
+                    np.bitwise_or(d, p, out=hp)
+                    np.invert(hp, out=hp)
+                    hp |= m
+                    np.bitwise_and(p, d, out=hm)
+                    if w + 1 < width:
+                        np.right_shift(hp, top, out=rise)
+                        np.right_shift(hm, top, out=fall)
+                    else:
+                        score -= np.right_shift(hp.view(np.int64), 63, out=sign)
+                        score += np.right_shift(hm.view(np.int64), 63, out=sign)
+                    hp <<= one
+                    hm <<= one
+                    if w:  # carried from the word before
+                        hp |= up
+                        hm |= down
+                    up, down, rise, fall = rise, fall, up, down
+                    np.bitwise_and(hp, xv, out=m)
+                    xv |= hp
+                    np.invert(xv, out=xv)
+                    np.bitwise_or(hm, xv, out=p)
+                np.less(score, least, out=better)
                 if better.any():
-                    least[better], end[better] = score[better], j + 1
+                    np.minimum(score, least, out=least)
+                    end[better] = j + 1
             best[at], stop[at] = least, end
     return best, stop
 
@@ -384,38 +439,46 @@ def crowded(key: np.ndarray, least: np.ndarray) -> np.ndarray:
     """Which keys may lie in two neighbouring bins with at least ``least`` keys: by counts in hashed cells, never too few."""
     out = np.zeros(len(key), dtype=bool)
     for shift in (0, 1):
-        cell = (((key + shift) >> 1).astype(np.uint64) * np.uint64(BASE) >> np.uint64(46)).astype(np.int64)
-        out |= np.bincount(cell, minlength=1 << 18)[cell] >= least
+        cell = ((key + shift >> 1).view(np.uint64) * np.uint64(BASE) >> np.uint64(46)).view(np.int64)
+        out |= np.take(np.bincount(cell, minlength=1 << 18), cell) >= least
     return out
 
 
 def seeded(items: Items, flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Segment, item, first and last place of the windows that share enough signatures with the item."""
     count = max(1, len(items.ids))
-    seg_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    seg_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[::STRIDE]
     pad = int(items.sizes.max(initial=0))
-    wide = items.edits + 1
+    share = 1 / (items.edits + 1)  # of a bin
     parts = []
     for k in sorted({s.shape for s in items.seeds}):
-        keys, offsets, diagonals = [], [], []
-        for r, s in enumerate(x for x in items.seeds if x.shape == k):
+        keys, held, places, diagonals = [], [], [], []
+        tables = [x for x in items.seeds if x.shape == k]
+        for s in tables:
             h = signatures(flat, s.walk, STRIDE)[0]
-            slot = h >> np.uint64(44)
-            near = np.flatnonzero(s.some[slot])
-            slot = slot[near].astype(np.int64)
-            lo = s.start[slot]
-            n = s.start[slot + 1] - lo
+            slot = (h >> np.uint64(44)).view(np.int64)
+            near = np.flatnonzero(np.take(s.some, slot))
+            slot = np.take(slot, near)
+            lo = np.take(s.start, slot)
+            n = np.take(s.start, slot + 1) - lo
             place = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
-            at = STRIDE * np.repeat(near, n)
-            same = s.hashes[place] == h[at // STRIDE]
-            place, at = place[same], at[same]
-            item, offset = s.item[place].astype(np.int64), s.offset[place].astype(np.int64)
-            keys.append((seg_of[at] * count + item) << 24 | (at - offset + pad) // wide[item])
-            diagonals.append(at - offset)
-            offsets.append(offset // CELL * len(WALKS[k]) + r)
-        key, offset, far = np.concatenate(keys), np.concatenate(offsets), np.concatenate(diagonals)
-        likely = np.flatnonzero(crowded(key, items.least[(key >> 24) % count]))
-        key, offset, far = key[likely], offset[likely], far[likely]
+            at = np.repeat(near, n)
+            same = np.flatnonzero(np.take(s.hashes, place) == np.take(h, at))
+            place, at = np.take(place, same), np.take(at, same)
+            item = np.take(s.item, place)
+            far = STRIDE * at - np.take(s.offset, place)
+            # half a place more, so that rounding never falls short of a whole bin
+            keys.append((np.take(seg_of, at) * count + item) << 24 | ((far + (pad + 0.5)) * np.take(share, item)).astype(np.int64))
+            held.append(item)
+            places.append(place)
+            diagonals.append(far)
+        key, item, far = np.concatenate(keys), np.concatenate(held), np.concatenate(diagonals)
+        likely = np.flatnonzero(crowded(key, np.take(items.least, item)))
+        key, far = np.take(key, likely), np.take(far, likely)
+        begins = np.cumsum([0, *map(len, places)])
+        cuts = np.searchsorted(likely, begins)
+        kept = [np.take(x, likely[lo:hi] - begin) for x, lo, hi, begin in zip(places, cuts[:-1], cuts[1:], begins[:-1], strict=True)]
+        offset = np.concatenate([np.take(s.offset, x).astype(np.int64) // CELL * len(tables) + r for r, (s, x) in enumerate(zip(tables, kept, strict=True))])
         if not len(key):
             continue
         bins, own, n = np.unique(key, return_inverse=True, return_counts=True)
